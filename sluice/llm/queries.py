@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import decontaminate, packing, quality, secret_scan, simhash, token_counts, token_files
 from .common import shared_dir, table
 from .tokens import vocabulary_path
 
@@ -22,6 +22,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_scan.Ledger(spark, shared_dir(spark))
+    ledger.update(docs)
+    found = secret_scan.report(docs, ledger)
+    kinds = [r.kind for r in secret_scan.BASE]
+
+    def spans_of(*some: str):
+        return F.filter("spans", lambda s: s.kind.isin(*some))
+
+    counts = [F.size(spans_of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(spans_of(*kinds)), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, end = shared_dir(spark), 49407
     token_counts.write_flat_files(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), "word", end)
@@ -29,9 +47,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(token_counts.document_keys(spark, path), ["part", "ordinal"]).select("doc_id", "part", "ordinal", "start", "n_tokens")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "log_ppl", "low", "high")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontaminate.LEAKS_SQL}
