@@ -1,0 +1 @@
+"""Semi-structured text and tables as Spark DataFrames, through one declarative query."""
