@@ -140,7 +140,7 @@ def infer_pattern(lines: list[str], share: float = 0.7, least: float = 0.6) -> L
     names: list[str] = []
     parts: list[str] = []
     group = {name: look for name, _, look in KINDS}
-    for k in range(min(len(s) for s in split)):
+    for k in range(min(len(s) for s in split) - 1):
         kind, n = Counter(classify(s[k].strip()) for s in split).most_common(1)[0]
         if kind is None and sep == " " or n < share * len(rows):
             break
