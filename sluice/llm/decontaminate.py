@@ -68,8 +68,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, in which no item leaked."""
-    bad = leaks(docs, items).select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    bad = leaks(docs, items).select(F.col("doc_id").alias("sluice_leaked")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("sluice_leaked")), "left_anti")
 
 
 LEAKS_SQL = r"""

@@ -225,22 +225,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, their other columns as they are, with n_lines and n_deleted and the text without later copies.
 
     Texts are split at newlines.  A null text stays null; an empty one has no
-    line.  All rows of docs stay, also those that lose every line.
+    line.  All rows of docs stay, also those that lose every line.  Columns of
+    docs named n_lines or n_deleted give way.
     """
+    made = ("n_lines", "n_deleted")
+    names = [c for c in docs.columns if c not in made]
     runs = runs_to_delete(docs, min_words).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
-    names = docs.columns
-    joined = docs.withColumn("_of", F.xxhash64(whole_text())).join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_th")), "left")
-    n = F.size(F.split("text", "\n", -1))
+    runs = runs.select(F.col("doc_id").alias("sluice_id"), F.col("th").alias("sluice_th"), F.col("runs").alias("sluice_runs"))
+    same = F.col("doc_id").eqNullSafe(F.col("sluice_id")) & (F.xxhash64(whole_text()) == F.col("sluice_th"))
+    joined = docs.select(*[f"`{c}`" for c in names]).join(runs, same, "left")
 
     def cut(batches):
         for batch in batches:
-            texts = [t if not r else without_lines(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist())]
-            left = [None if t is None else t.count("\n") + 1 if t else 0 for t in texts]
-            columns = {f: batch.column(f) for f in names} | {"text": pa.array(texts, pa.string()), "n_lines": batch.column("n_lines"), "left": pa.array(left, pa.int64())}
+            old = batch.column("text").to_pylist()
+            texts = [t if not r else without_lines(t, r) for t, r in zip(old, batch.column("sluice_runs").to_pylist())]
+            n, left = ([t.count("\n") + 1 if t else 0 for t in x] for x in (old, texts))
+            columns = {f: batch.column(f) for f in names} | {"text": pa.array(texts, pa.string())}
+            columns |= {"n_lines": pa.array(n, pa.int64()), "n_deleted": pa.array([a - b for a, b in zip(n, left)], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    some = joined.select(*names, "_runs", n.cast("long").alias("n_lines"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = some.mapInArrow(cut, f"{kinds}, n_lines long, left long")
-    return out.select(*names, "n_lines", (F.col("n_lines") - F.col("left")).alias("n_deleted"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    return joined.select(*[f"`{c}`" for c in names], "sluice_runs").mapInArrow(cut, f"{kinds}, n_lines long, n_deleted long")
