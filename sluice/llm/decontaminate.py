@@ -29,13 +29,13 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(hashes: DataFrame, columns: list[str]) -> DataFrame:
-    """columns, w, at and seed, for each position and each mask that fits into the hashes w."""
-    placed = hashes.select(*columns, "w", F.posexplode("w").alias("at", "_"))
+    """columns, at and seed, for each position and each mask that fits into the hashes w."""
+    placed = hashes.select(*dict.fromkeys([*columns, "w"]), F.posexplode("w").alias("at", "_"))
     of_mask = [
         F.when(F.col("at") + (mask[-1] + 1) <= F.size("w"), F.xxhash64(F.lit(k), *[F.get("w", F.col("at") + p) for p in mask]))
         for k, mask in enumerate(MASKS)
     ]
-    return placed.select(*columns, "w", "at", F.explode(F.array(*of_mask)).alias("seed")).filter("seed is not null")
+    return placed.select(*columns, "at", F.explode(F.array(*of_mask)).alias("seed")).filter("seed is not null")
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -48,14 +48,17 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     """
     tests = items.select("item_id", word_hashes(whole_text()).alias("w")).distinct()
     test_seeds = seeds(tests, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
-    texts = docs.select("doc_id", word_hashes(whole_text()).alias("w"))
-    small = test_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    if small:
-        test_seeds = F.broadcast(test_seeds)
-    hits = seeds(texts, ["doc_id"]).join(test_seeds, "seed").select("doc_id", "item_id", "w", (F.col("at") - F.col("item_at")).alias("at"))
+    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("th"), word_hashes(whole_text()).alias("w"))
     items_w = tests.select("item_id", F.col("w").alias("item_w"))
-    if small:
+    shift = (F.col("at") - F.col("item_at")).alias("at")
+    if test_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        # nothing is shuffled, so the words stay beside the seeds
+        hits = seeds(texts, ["doc_id", "w"]).join(F.broadcast(test_seeds), "seed").select("doc_id", "item_id", "w", shift)
         items_w = F.broadcast(items_w)
+    else:
+        # the join shuffles seeds only; the words come back to the few places that are hit
+        places = seeds(texts, ["doc_id", "th"]).join(test_seeds, "seed").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "item_id", shift).distinct()
+        hits = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "item_id", "w", "at")
     same = F.transform("item_w", lambda x, k: F.when(F.get("w", k + F.col("at")) == x, 1).otherwise(0))
     matched = F.aggregate(same, F.lit(0), lambda a, b: a + b)
     return (
