@@ -30,7 +30,7 @@ from .tokens import encoded, encoder
 MAGIC = b"SLTOKIDS"
 HEAD = "<8sIIQQQQ16x"
 #: Ids of a shard at most, unless one document has more.
-SHARD_IDS = 12_000_000
+SHARD_IDS = 6_000_000
 
 
 def key_bytes(key) -> bytes:
@@ -132,22 +132,21 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(content)
                 keys = shard.keys()
                 first, runs = shard.find(keys)
-                seen: dict[int, int] = {}
-                rows: list[tuple] = []
-                size = 0
-                for k, (f, n) in enumerate(zip(first.tolist(), runs.tolist())):
-                    if not n:
-                        raise ValueError("a key is missing from its index")
-                    record = f + seen.get(f, 0)
-                    seen[f] = seen.get(f, 0) + 1
-                    ids = shard.at(record)
-                    rows.append((part, number, record, None if keys[k] == b"\0" else int(keys[k]), int(shard.starts[record]), len(ids), ids.astype("<u4").tobytes()))
-                    size += len(ids)
-                    if size > 1_000_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+                if not runs.all():
+                    raise ValueError("a key is missing from its index")
+                # the k-th record of a repeated key is its first record and k
+                record = first + np.arange(len(keys)) - np.searchsorted(first, first)
+                starts = shard.starts[record].astype(np.int64)
+                sizes = shard.starts[record + 1].astype(np.int64) - starts
+                ids = [None if k == b"\0" else int(k) for k in keys]
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 1_000_000, prepend=-1))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                    n = b - a
+                    payload = pa.array([shard.at(r).astype("<u4").tobytes() for r in record[a:b].tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, part)), pa.array(np.full(n, number)), pa.array(record[a:b]), pa.array(ids[a:b], pa.int64()), pa.array(starts[a:b]), pa.array(sizes[a:b]), payload],
+                        schema=schema,
+                    )
 
     schema = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("record", pa.int64()), ("doc_id", pa.int64()), ("start_in_shard", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     out = "part long, number long, record long, doc_id long, start_in_shard long, n_tokens long, ids binary"

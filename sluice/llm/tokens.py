@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -17,6 +19,8 @@ from .common import worker_state
 
 #: White space other than space, tab, newline and carriage return.
 UNUSUAL = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Letters, then ASCII marks: a pre-tokeniser always cuts between the two, and no normaliser joins them.
+MARKED = re.compile(r"([ \n]*[^\W\d_]*[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-^`{-~]+)")
 PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
@@ -38,32 +42,48 @@ def byte_level_pieces(text: str) -> list[str]:
 
 
 def word_pieces(text: str) -> list[str]:
-    """Pieces of a text for a tokenizer that drops white space."""
+    """Pieces of a text for a tokenizer that composes, lower-cases and drops white space.
+
+    Lower-casing here makes pieces alike; it is left to the tokenizer where the
+    order of composing and lower-casing, or a final sigma, could matter.
+    """
     if UNUSUAL.search(text):
         return [text]
-    return text.split()
+    if not text.isascii():
+        low = text.lower()
+        if "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return text.split()
+        return low.split()
+    return text.lower().split()
 
 
 class PieceEncoder:
     """Texts to little-endian ids, two bytes each if the vocabulary allows, else four."""
 
-    def __init__(self, path: str, pieces: str, generation: int = 300_000):
+    def __init__(self, path: str, pieces: str, generation: int = 450_000, plain: bool = False):
+        """plain: special tokens' strings in a text are ordinary text, so their ids mark nothing else."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.pieces = {"byte": byte_level_pieces, "word": word_pieces}[pieces]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.generation = generation
 
-    def _learn(self, wanted: list[str]) -> None:
-        step = 20_000
-        for k in range(0, len(wanted), step):
-            part = wanted[k : k + step]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[piece] = np.array(e.ids, self.dtype).tobytes()
+    def _learn(self, wanted: set[str]) -> None:
+        marked = {p: m.groups() for p in wanted if not p[-1].isalpha() and (m := MARKED.fullmatch(p))}
+        parts = wanted.difference(marked).union(*marked.values())
+        new = [p for p in parts if p not in self.young]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.young[piece] = array(code, e.ids).tobytes()
+        for p, (head, tail) in marked.items():
+            self.young[p] = self.young[head] + self.young[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none.
@@ -77,7 +97,7 @@ class PieceEncoder:
         wanted = set().union(*parts).difference(self.young)
         again = wanted & self.old.keys()
         self.young.update((p, self.old[p]) for p in again)
-        self._learn(list(wanted - again))
+        self._learn(wanted - again)
         get = self.young.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         for p in wanted:
@@ -86,17 +106,17 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, pieces: str) -> PieceEncoder:
+def encoder(path: str, pieces: str, plain: bool = False) -> PieceEncoder:
     """The worker's encoder of this file."""
-    state = worker_state()
-    if ("encoder", path) not in state:
-        state["encoder", path] = PieceEncoder(path, pieces)
-    return state["encoder", path]
+    state, key = worker_state(), ("encoder", path, plain)
+    if key not in state:
+        state[key] = PieceEncoder(path, pieces, plain=plain)
+    return state[key]
 
 
-def encoded(batches, path: str, pieces: str, end_id: int, chars: int = 2_000_000):
+def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 2_000_000):
     """(doc_id, ids with the end id) of each row (doc_id, text) of Arrow batches, in order."""
-    enc = encoder(path, pieces)
+    enc = encoder(path, pieces, plain)
     end = np.array([end_id], enc.dtype).tobytes()
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1)
