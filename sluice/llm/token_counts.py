@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_blobs, saved, whole_text, write_blobs
-from .tokens import encoded, encoder
+from .tokens import encoded
 
 #: A file that starts so lists the doc_ids of a part; all others are ids only.
 KEYS_MAGIC = bytes.fromhex("8f53c1d207b94e6aa1d95be0374c2f16")
@@ -27,14 +27,15 @@ NULL_KEY = -(1 << 63)
 def write_flat_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> None:
     """Encode (doc_id, text), append end_id, and write ids in blocks of block_bytes, and the doc_ids apart.
 
-    A null text is an empty one.  Documents follow in the order in which tasks
+    A null text is an empty one; in texts, strings of special tokens are ordinary
+    text, so end_id occurs at ends only.  Documents follow in the order in which tasks
     read them; nothing is shuffled.  A block's file ends in one newline byte,
     which is not part of the ids.
     """
 
     def blocks(batches):
         keys, parts, size = [], [], 0
-        for key, ids in encoded(batches, tokenizer, pieces, end_id):
+        for key, ids in encoded(batches, tokenizer, pieces, end_id, plain=True):
             keys.append(NULL_KEY if key is None else key)
             parts.append(ids)
             size += len(ids)
