@@ -59,10 +59,11 @@ def empty(spark):
     return table(spark, []).limit(0)
 
 
-def encode(name, texts, end):
+def encode(name, texts, end, plain=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
+    t.encode_special_tokens = plain
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for x in texts]
 
 
@@ -121,7 +122,7 @@ def test_op7_counts(spark, docs, empty):
     token_counts.write_flat_files(docs, path, P.path("word_bpe_49k.json"), "word", end, block_bytes=512)
     got = token_counts.count_tokens(spark, path, end, 2).join(token_counts.document_keys(spark, path), ["part", "ordinal"]).collect()
     rows = corpus()
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((d, len(x)) for (d, _), x in zip(rows, encode("word_bpe_49k.json", [t for _, t in rows], end)))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((d, len(x)) for (d, _), x in zip(rows, encode("word_bpe_49k.json", [t for _, t in rows], end, True)))
     for part in {r["part"] for r in got}:
         at = 0
         for r in sorted((r for r in got if r["part"] == part), key=lambda r: r["ordinal"]):
@@ -230,7 +231,7 @@ def test_op1_words_of_real_pages(spark):
         ("<table><tr><td colspan=2>wide cell<tr><td>a<td>b</table>", "wide cell\na  b"),
         ("x<script>var a='</p>';</script>y<style>p{}</style><!-- c -->z", "xyz"), ("<p hidden>a</p><p style='display: none'>b</p><p style='visibility:hidden'>c<b style='visibility:visible'>d</b></p>e", "d\n\ne"),
         ("<pre>\n a\n   b\n</pre>", " a\n   b"), ("<title>t</title>body &amp; &lt;b&gt;", "body & <b>"), ("<details><summary>s</summary>in</details><details open>out</details>", "s\nout"),
-        ("<b><p>a</b>b</p>c", "ab\n\nc"), ("<div>" * 3000 + "deep", "deep"), ("<a href='x>y\">z", 'z'), ("<blockquote>q<p>r</blockquote>s", "> q\n>\n> r\n\ns"), ("a < b & c", "a < b & c"), ("</p></td>a", "a"),
+        ("<b><p>a</b>b</p>c", "ab\n\nc"), ("<div>" * 3000 + "deep", "deep"), ("<a href='x>y\">z", 'y">z'), ("<blockquote>q<p>r</blockquote>s", "> q\n>\n> r\n\ns"), ("a < b & c", "a < b & c"), ("</p></td>a", "a"),
     ],
 )
 def test_op1_layout(source, text):
@@ -321,6 +322,13 @@ def test_op4_is_better_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
+def test_op4_shapes():
+    r = random.Random(6)
+    words = ["".join(r.choice("abzé ñü1.,*_-{[9") for _ in range(r.randint(1, 12))).replace(" ", "").encode() or b"x" for _ in range(500)]
+    assert lm_score.shapes_of(words).tolist() == [lm_score.shape(w) for w in words]
+    assert lm_score.shapes_of([*words, b""]).tolist()[-1] == lm_score.shape(b"")
+
+
 def test_op4_probabilities_sum_to_one():
     known = [(w, 9 - k % 7) for k, w in enumerate(dict.fromkeys(WORDS))]
     v = lm_score.Vocabulary(known, 100, len(known), np.full(lm_score.SHAPES, 0.5))
@@ -328,7 +336,7 @@ def test_op4_probabilities_sum_to_one():
     state = np.random.default_rng(1).normal(0, 1, (1, gru.HIDDEN)).astype(np.float32)
     inputs = v.encode([w.encode() for w, _ in known])
     own = np.exp(gru.log_probabilities(p, np.repeat(state, len(known), 0), inputs[1], inputs[2])).sum()
-    rest = np.exp(gru.log_softmax(state @ p["C"] + p["c"]))[0, v.word_classes :].sum()
+    rest = gru.softmax(state @ p["C"] + p["c"])[0, v.word_classes :].sum()
     assert own + rest == pytest.approx(1, abs=1e-4)
 
 
