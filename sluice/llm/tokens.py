@@ -60,7 +60,7 @@ def word_pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Texts to little-endian ids, two bytes each if the vocabulary allows, else four."""
 
-    def __init__(self, path: str, pieces: str, generation: int = 450_000, plain: bool = False):
+    def __init__(self, path: str, pieces: str, generation: int | None = None, plain: bool = False):
         """plain: special tokens' strings in a text are ordinary text, so their ids mark nothing else."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -71,7 +71,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.generation = generation
+        self.generation = generation or {"byte": 450_000, "word": 200_000}[pieces]
 
     def _learn(self, wanted: set[str]) -> None:
         marked = {p: m.groups() for p in wanted if not p[-1].isalpha() and (m := MARKED.fullmatch(p))}
