@@ -322,6 +322,28 @@ def test_op4_is_better_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
+def test_op4_learns_from_every_token(spark, docs, monkeypatch):
+    def exact(like, values):
+        weights.append(values)
+        return like
+
+    seen, weights, rows = {}, [], docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).coalesce(1)
+    vocab = spark.sparkContext.broadcast(lm_score.vocabulary(lm_score.count_words(rows)))
+    start = gru.init(vocab.value.start + 1, *vocab.value.logs())
+    for folds in lm_score.ROUNDS:
+        monkeypatch.setattr(lm_score.gru, "unflat", exact)
+        lm_score.train_round(rows, vocab, spark.sparkContext.broadcast(start), folds)
+        trainer, h = gru.Trainer(start), np.zeros((lm_score.TRAIN_LANES, gru.HIDDEN), np.float32)
+        own = [(None, *vocab.value.encode(lm_score.words_of(t))[:3]) for d, t in rows.collect() if lm_score.fold(d) in folds]
+        for tokens_, fresh, classes, places, mask, _ in gru.lanes_of(own, lm_score.TRAIN_LANES, vocab.value.start):
+            h[fresh] = 0
+            h = trainer.window(tokens_, h, (classes, places), mask)
+        seen[folds] = trainer.seen
+        assert trainer.seen == sum(len(x[1]) for x in own)
+        np.testing.assert_allclose(weights[-1], gru.flat(trainer.p), atol=1e-4)
+    assert sum(seen.values()) == vocab.value.tokens
+
+
 def test_op4_shapes():
     r = random.Random(6)
     words = ["".join(r.choice("abzé ñü1.,*_-{[9") for _ in range(r.randint(1, 12))).replace(" ", "").encode() or b"x" for _ in range(500)]
