@@ -468,6 +468,18 @@ def test_op8_counts_and_bands(spark, docs, empty):
     assert quality.rate(empty).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def test_op8_learns_from_good_documents_and_spread(spark):
+    r = random.Random(8)
+    good = [(k, prose(300, r)) for k in range(40)]
+    bad = [(100, "zq xj " * 30 + prose(20, r)), (101, "kw vb")]  # repeats, too short
+    marked = [(200 + k, " ".join(w + "###" if j % 6 == 0 else w for j, w in enumerate(prose(300, r).split()))) for k in range(3)]
+    counts = [{x["gram"]: x["n"] for x in quality.count_grams(table(spark, rows)).collect()} for rows in (good, good + bad)]
+    assert counts[0] == counts[1] and counts[0]
+    rated = {x["doc_id"]: x for x in quality.rate(table(spark, good + bad + marked)).collect()}
+    assert not any(rated[d]["kept"] for d, _ in bad + marked) and sum(rated[d]["kept"] for d, _ in good) >= 38
+    assert not any(rated[d]["base_failed"] for d, _ in marked)
+
+
 def test_op8_kneser_ney_sums_to_one():
     table_ = quality.alphabet()
     g = np.concatenate([quality.grams(prose(300).encode().split(), table_) for _ in range(5)])
