@@ -4,7 +4,9 @@ A seed looks at five words of a window and ignores the others, as a fixed mask
 says, so a substituted word spoils only the seeds that look at it.  The seeds of
 all test items are joined to those at every position of every training text; a
 hit fixes an alignment, and there all words of the item are compared with the
-text.  An item counts as leaked where at least 0.8 of its words agree.
+text.  An item counts as leaked where at least 0.8 of its words agree.  The masks
+alone could miss that in items of 5, 6, 7 and 10 words, which get seeds of fewer
+words, one of which no allowed substitution spoils.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .common import WORD_GAP, whole_text
 
 #: Word positions that a seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 8))
+#: Words of a run that serves as a seed too, by the words of an item that the masks can miss; LEAST: the shortest items.
+RUNS, LEAST = {5: 2, 6: 3, 7: 3, 10: 3}, 5
 SIMILARITY = 0.8
 #: Seeds of test items up to which they are broadcast (about 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
@@ -28,12 +32,13 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: DataFrame, columns: list[str]) -> DataFrame:
-    """columns, at and seed, for each position and each mask that fits into the hashes w."""
+def seeds(hashes: DataFrame, columns: list[str], runs: dict[int, Column] | None = None) -> DataFrame:
+    """columns, at and seed, for each position and each mask that fits into the hashes w; runs: where seeds of so many words are taken."""
     placed = hashes.select(*dict.fromkeys([*columns, "w"]), F.posexplode("w").alias("at", "_"))
+    masks = [(k, mask, F.lit(True)) for k, mask in enumerate(MASKS)] + [(-n, tuple(range(n)), where) for n, where in (runs or {}).items()]
     of_mask = [
-        F.when(F.col("at") + (mask[-1] + 1) <= F.size("w"), F.xxhash64(F.lit(k), *[F.get("w", F.col("at") + p) for p in mask]))
-        for k, mask in enumerate(MASKS)
+        F.when(where & (F.col("at") + (mask[-1] + 1) <= F.size("w")), F.xxhash64(F.lit(k), *[F.get("w", F.col("at") + p) for p in mask]))
+        for k, mask, where in masks
     ]
     return placed.select(*columns, "at", F.explode(F.array(*of_mask)).alias("seed")).filter("seed is not null")
 
@@ -43,21 +48,25 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
 
     docs: (doc_id, text); items: (item_id, text).  at: the text's word under the
     item's first, negative if the text starts inside the item.  Words outside the
-    text don't agree.  Items of fewer words than the smallest mask, null and
-    empty texts have no seeds and so no leaks.  Repeated rows give one row.
+    text don't agree.  Items of fewer words than LEAST, null and empty texts have
+    no leaks.  Repeated rows give one row.
     """
     tests = items.select("item_id", word_hashes(whole_text()).alias("w")).distinct()
-    test_seeds = seeds(tests, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
+    tests = tests.filter(F.size("w") >= LEAST)
+    sizes = [r[0] for r in tests.select(F.size("w")).filter(F.size("w").isin(list(RUNS))).distinct().collect()]
+    of_items = {n: F.size("w").isin([k for k in sizes if RUNS[k] == n]) & (F.col("at") % n == 0) for n in {RUNS[k] for k in sizes}}
+    of_texts = {n: F.lit(True) for n in of_items}
+    test_seeds = seeds(tests, ["item_id"], of_items).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
     texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("th"), word_hashes(whole_text()).alias("w"))
     items_w = tests.select("item_id", F.col("w").alias("item_w"))
     shift = (F.col("at") - F.col("item_at")).alias("at")
     if test_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         # nothing is shuffled, so the words stay beside the seeds
-        hits = seeds(texts, ["doc_id", "w"]).join(F.broadcast(test_seeds), "seed").select("doc_id", "item_id", "w", shift)
+        hits = seeds(texts, ["doc_id", "w"], of_texts).join(F.broadcast(test_seeds), "seed").select("doc_id", "item_id", "w", shift)
         items_w = F.broadcast(items_w)
     else:
         # the join shuffles seeds only; the words come back to the few places that are hit
-        places = seeds(texts, ["doc_id", "th"]).join(test_seeds, "seed").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "item_id", shift).distinct()
+        places = seeds(texts, ["doc_id", "th"], of_texts).join(test_seeds, "seed").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "item_id", shift).distinct()
         hits = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "item_id", "w", "at")
     same = F.transform("item_w", lambda x, k: F.when(F.get("w", k + F.col("at")) == x, 1).otherwise(0))
     matched = F.aggregate(same, F.lit(0), lambda a, b: a + b)

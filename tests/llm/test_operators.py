@@ -1,6 +1,7 @@
 """The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -399,6 +400,17 @@ def test_op5_leaks(spark, docs, empty, monkeypatch):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_op5_short_items(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 16)]
+    rows = []
+    for n, t in items:
+        for spoiled in itertools.chain.from_iterable(itertools.combinations(range(n), m) for m in range(n // 5 + 1)):
+            rows.append((len(rows), "a b c " + " ".join("x" if k in spoiled else w for k, w in enumerate(t.split())) + " d e"))
+    df, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in decontaminate.leaks(df, bench).select("doc_id", "item_id", "at", "item_words", "matched").collect()}
+    assert got == naive_leaks(rows, items) and {x[1] for x in got} == set(range(5, 16))
+
+
 # secrets
 
 
