@@ -25,10 +25,14 @@ SIMILARITY = 0.8
 BROADCAST_SEEDS = 1_000_000
 
 
-def word_hashes(text: Column) -> Column:
-    """The hashes of a text's words, A-Z lower-cased."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, WORD_GAP), lambda w: w != "")
+def a_to_z(text: Column) -> Column:
+    """A-Z lower-cased."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def word_hashes(text: Column, fold=a_to_z) -> Column:
+    """The hashes of a folded text's words."""
+    words = F.filter(F.split(fold(text), WORD_GAP), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -43,21 +47,15 @@ def seeds(hashes: DataFrame, columns: list[str], runs: dict[int, Column] | None
     return placed.select(*columns, "at", F.explode(F.array(*of_mask)).alias("seed")).filter("seed is not null")
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, at, item_words, matched): each place of a text where an item leaked.
-
-    docs: (doc_id, text); items: (item_id, text).  at: the text's word under the
-    item's first, negative if the text starts inside the item.  Words outside the
-    text don't agree.  Items of fewer words than LEAST, null and empty texts have
-    no leaks.  Repeated rows give one row.
-    """
-    tests = items.select("item_id", word_hashes(whole_text()).alias("w")).distinct()
+def compared(docs: DataFrame, items: DataFrame, fold=a_to_z) -> DataFrame:
+    """(doc_id, item_id, at, same) of each alignment that a seed hits: same has 1 for each word of the item that agrees, else 0."""
+    tests = items.select("item_id", word_hashes(whole_text(), fold).alias("w")).distinct()
     tests = tests.filter(F.size("w") >= LEAST)
     sizes = [r[0] for r in tests.select(F.size("w")).filter(F.size("w").isin(list(RUNS))).distinct().collect()]
     of_items = {n: F.size("w").isin([k for k in sizes if RUNS[k] == n]) & (F.col("at") % n == 0) for n in {RUNS[k] for k in sizes}}
     of_texts = {n: F.lit(True) for n in of_items}
     test_seeds = seeds(tests, ["item_id"], of_items).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
-    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("th"), word_hashes(whole_text()).alias("w"))
+    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("th"), word_hashes(whole_text(), fold).alias("w"))
     items_w = tests.select("item_id", F.col("w").alias("item_w"))
     shift = (F.col("at") - F.col("item_at")).alias("at")
     if test_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
@@ -69,18 +67,33 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
         places = seeds(texts, ["doc_id", "th"], of_texts).join(test_seeds, "seed").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "item_id", shift).distinct()
         hits = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "item_id", "w", "at")
     same = F.transform("item_w", lambda x, k: F.when(F.get("w", k + F.col("at")) == x, 1).otherwise(0))
-    matched = F.aggregate(same, F.lit(0), lambda a, b: a + b)
+    return hits.join(items_w, "item_id").select("doc_id", "item_id", "at", same.alias("same"))
+
+
+def agreed(same: Column) -> Column:
+    return F.aggregate(same, F.lit(0), lambda a, b: a + b)
+
+
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, fold=a_to_z) -> DataFrame:
+    """(doc_id, item_id, at, item_words, matched): each place of a text where an item leaked.
+
+    docs: (doc_id, text); items: (item_id, text).  at: the text's word under the
+    item's first, negative if the text starts inside the item.  Words outside the
+    text don't agree.  Items of fewer words than LEAST, null and empty texts have
+    no leaks.  Repeated rows give one row.  fold: what makes cases of letters one.
+    """
+    matched = agreed(F.col("same"))
     return (
-        hits.join(items_w, "item_id")
-        .select("doc_id", "item_id", "at", F.size("item_w").alias("item_words"), matched.alias("matched"))
+        compared(docs, items, fold)
+        .select("doc_id", "item_id", "at", F.size("same").alias("item_words"), matched.alias("matched"))
         .filter(F.col("matched") >= similarity * F.col("item_words"))
         .distinct()
     )
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no item leaked."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("sluice_leaked")).distinct()
+    """The rows of docs, all columns as they are, in which no item leaked, in whichever case of letters."""
+    bad = leaks(docs, items, fold=F.lower).select(F.col("doc_id").alias("sluice_leaked")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("sluice_leaked")), "left_anti")
 
 

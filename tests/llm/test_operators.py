@@ -411,6 +411,14 @@ def test_op5_short_items(spark):
     assert got == naive_leaks(rows, items) and {x[1] for x in got} == set(range(5, 16))
 
 
+def test_op5_capitals_with_marks(spark):
+    item = "doesbo dora el ñ es, quéasarjarr mente, ciónmiírr éonleeau"
+    df, bench = table(spark, [(1, "a b " + item.upper() + " c"), (2, prose(30))]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()] == [2]
+    assert decontaminate.leaks(df, bench).count() == 0  # as LEAKS_SQL folds
+    assert [r["matched"] for r in decontaminate.leaks(df, bench, fold=F.lower).collect()] == [9]
+
+
 # secrets
 
 
