@@ -113,7 +113,8 @@ class Ledger:
         pairs = saved(one.select("blob", "doc_id", F.explode(keys).alias("rule")).join(self.scanned(), ["blob", "rule"], "left_anti"))
         todo = pairs.groupBy("blob", "doc_id").agg(F.collect_set("rule").alias("todo"))
         todo = todo.select(F.col("blob").alias("new_blob"), F.col("doc_id").alias("new_id"), "todo")
-        fresh = named.join(todo, named.doc_id.eqNullSafe(F.col("new_id")) & (named.blob == F.col("new_blob")))
+        # rows of one doc_id, or of none, may repeat a text
+        fresh = named.join(todo, named.doc_id.eqNullSafe(F.col("new_id")) & (named.blob == F.col("new_blob"))).dropDuplicates(["blob"])
         scan(fresh.select("blob", "text", "todo"), rules).write.mode("append").parquet(f"{self.path}/findings")
         pairs.select("blob", "rule").write.mode("append").parquet(f"{self.path}/scanned")
 

@@ -459,6 +459,15 @@ def test_op6_spans_and_ledger(spark, empty):
     assert secret_scan.report(empty, ledger).count() == 0
 
 
+def test_op6_repeated_rows(spark):
+    rows = [(1, SECRETS[0]), (1, SECRETS[0]), (2, SECRETS[0]), (None, SECRETS[2]), (None, SECRETS[2])]
+    df = table(spark, rows)
+    ledger = secret_scan.Ledger(spark, shared_dir(spark))
+    ledger.update(df, secret_scan.BASE)
+    got = Counter((r["doc_id"], tuple((s["start"], s["place"], s["end"], s["kind"]) for s in r["spans"])) for r in secret_scan.report(df, ledger, secret_scan.BASE).collect())
+    assert got == Counter((d, tuple(naive_spans(t))) for d, t in rows) and all(len(x[1]) > 1 for x in got)
+
+
 # quality
 
 
