@@ -6,7 +6,8 @@ all test items are joined to those at every position of every training text; a
 hit fixes an alignment, and there all words of the item are compared with the
 text.  An item counts as leaked where at least 0.8 of its words agree.  The masks
 alone could miss that in items of 5, 6, 7 and 10 words, which get seeds of fewer
-words, one of which no allowed substitution spoils.
+words, one of which no allowed substitution spoils.  Training texts are cleaned of
+items that leaked in part as well: of runs of at least OVERLAP words around a hit.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 8))
 #: Words of a run that serves as a seed too, by the words of an item that the masks can miss; LEAST: the shortest items.
 RUNS, LEAST = {5: 2, 6: 3, 7: 3, 10: 3}, 5
 SIMILARITY = 0.8
+#: Words of a partial overlap, at least: from 11 on, no run that agrees to 0.8 can escape all masks.
+OVERLAP = 11
 #: Seeds of test items up to which they are broadcast (about 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
 
@@ -91,9 +94,31 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, fol
     )
 
 
+def overlaps(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, least: int = OVERLAP, fold=F.lower) -> DataFrame:
+    """(doc_id, item_id, at, item_words, start, words, matched): the longest run of each alignment that agrees.
+
+    A run is of at least ``least`` words of the item, from its word start on, or
+    the whole item, and at least similarity of the run's words agree.  Of equally
+    long runs the first is given.  Words that a text adds or leaves out part an
+    item into runs of two alignments.
+    """
+    size, agree = F.size("same"), agreed(F.col("same"))
+    found = compared(docs, items, fold).filter(agree >= similarity * F.least(size, F.lit(least)))
+    # counts of agreeing words before each place; after distinct they aren't computed anew for each pair of places
+    counts = F.aggregate("same", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    found = found.select("doc_id", "item_id", "at", size.alias("item_words"), counts.alias("before")).distinct()
+
+    each = found.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("item_words") - F.least("item_words", F.lit(least)))))
+    ends = F.filter(F.sequence(F.col("i") + F.least("item_words", F.lit(least)), F.col("item_words")), lambda j: F.get("before", j) - F.get("before", F.col("i")) >= similarity * (j - F.col("i")))
+    each = each.withColumn("end", F.array_max(ends)).filter("end is not null")
+    run = F.struct((F.col("end") - F.col("i")).alias("words"), (-F.col("i")).alias("minus"), (F.get("before", F.col("end")) - F.get("before", F.col("i"))).alias("matched"))
+    longest = each.groupBy("doc_id", "item_id", "at", "item_words", "before").agg(F.max(run).alias("run"))
+    return longest.select("doc_id", "item_id", "at", "item_words", (-F.col("run.minus")).alias("start"), "run.words", "run.matched")
+
+
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no item leaked, in whichever case of letters."""
-    bad = leaks(docs, items, fold=F.lower).select(F.col("doc_id").alias("sluice_leaked")).distinct()
+    """The rows of docs, all columns as they are, that overlap with no item, whole or in part, in whichever case of letters."""
+    bad = overlaps(docs, items).select(F.col("doc_id").alias("sluice_leaked")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("sluice_leaked")), "left_anti")
 
 

@@ -419,6 +419,32 @@ def test_op5_capitals_with_marks(spark):
     assert [r["matched"] for r in decontaminate.leaks(df, bench, fold=F.lower).collect()] == [9]
 
 
+def test_op5_partial_overlaps(spark):
+    r = random.Random(6)
+    words = [f"v{k}" for k in range(59)]
+    part = [w if k % 6 else "x" for k, w in enumerate(words[10:40])]
+    texts = {
+        1: [prose(20, r), *words[:45], prose(9, r)], 2: [*words[30:], prose(20, r)], 3: [prose(5, r), *words[:30], "added", *words[30:]], 4: [*words[:20], *words[21:40]],
+        5: [prose(5, r), *part, prose(5, r)], 6: ["y", *words[:7], "y", "y", "y"], 7: [prose(40, r)], 8: ["y", *words[20:31], "y", "y", "y"], 9: ["U1", "u2", "U3", "u4", "U5"],
+    }
+    df = table(spark, [(d, " ".join(t)) for d, t in texts.items()])
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "u1 u2 u3 u4 u5")], "item_id long, text string")
+    got = defaultdict(set)
+    for x in decontaminate.overlaps(df, bench).collect():
+        got[x["doc_id"]].add((x["item_id"], x["start"], x["words"], x["matched"]))
+    assert set(got) == {1, 2, 3, 4, 5, 8, 9} and got[9] == {(2, 0, 5, 5)}
+    for d, t in texts.items():  # the longest run of each alignment, by trying all
+        t, runs = " ".join(t).split(), set()
+        for at in range(-58, len(t)) if d != 9 else ():
+            same = [0 <= at + k < len(t) and t[at + k] == w for k, w in enumerate(words)]
+            found = [(j - i, -i, sum(same[i:j])) for i in range(59) for j in range(i + 11, 60) if sum(same[i:j]) >= 0.8 * (j - i)]
+            if found:
+                n, i, m = max(found)
+                runs.add((1, -i, n, m))
+        assert d == 9 or got.get(d, set()) == runs
+    assert {x["doc_id"] for x in decontaminate.decontaminated(df, bench).collect()} == {6, 7}
+
+
 # secrets
 
 
