@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-UNSHOWN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist meta link base param source track svg math map rp".split())
+UNSHOWN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist meta link base param source track map rp".split())
+#: Elements of other vocabularies, and what inside them isn't shown where it stands.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_UNSHOWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul dir menu".split())
 TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
@@ -144,7 +147,10 @@ def parse(source: str) -> Node:
             stack.pop()
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             open_("tr", {})
-        if tag in VOID:
+        foreign = (tag in FOREIGN_UNSHOWN or m[3].endswith("/")) and any(x.tag in FOREIGN for x in stack)
+        if foreign and tag in FOREIGN_UNSHOWN:
+            attrs["hidden"] = ""
+        if tag in VOID or foreign and m[3].endswith("/"):
             open_(tag, attrs, False)
         elif tag in RAW or tag in RCDATA:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
@@ -256,6 +262,10 @@ def layout(node: Node, out: Lines, shown: bool = True, listed: int = 0) -> None:
             out.edge(tag == "blockquote")
             out.put(inside(child, visible, listed, "    " if tag == "dd" else "> "))
             out.edge(tag == "blockquote")
+        elif tag in ("text", "mtd"):  # labels of drawings and cells of formulas stand apart
+            out.open.append(" ")
+            layout(child, out, visible, listed)
+            out.open.append(" ")
         elif tag in BLOCKS or tag in TABLE_PARTS:
             out.edge(tag in SPACED)
             layout(child, out, visible, listed)
@@ -330,20 +340,28 @@ def span(cell: Node, name: str) -> int:
 def table(node: Node, shown: bool, listed: int) -> list[str]:
     """Caption and rows; head first and foot last; cells in their columns, padded to the widest."""
     head, body, foot, before = [], [], [], []
-    for child in node.children:
-        if isinstance(child, str):
-            if shown and child.strip(" \t\n\f\r"):
-                before.append(SPACE.sub(" ", child).strip(" "))
-        elif removed(child):
-            continue
-        elif child.tag == "tr":
-            body.append(child)
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            {"thead": head, "tfoot": foot}.get(child.tag, body).extend(x for x in child.children if isinstance(x, Node) and x.tag == "tr" and not removed(x))
-        elif child.tag not in ("colgroup", "col"):
-            holder = Node("div")
-            holder.children = [child]
-            before += inside(holder, shown, listed)
+
+    def take(x: Node, rows: list[Node]) -> None:
+        """Rows of a table or a part of one; what is neither a row nor a cell goes in front."""
+        for child in x.children:
+            if isinstance(child, str):
+                if shown and child.strip(" \t\n\f\r"):
+                    before.append(SPACE.sub(" ", child).strip(" "))
+            elif removed(child):
+                continue
+            elif child.tag == "tr":
+                rows.append(child)
+                strays = Node("div")
+                strays.children = [c for c in child.children if isinstance(c, str) and c.strip(" \t\n\f\r")]
+                before.extend(inside(strays, shown, listed) if strays.children else ())
+            elif x is node and child.tag in ("thead", "tbody", "tfoot"):
+                take(child, {"thead": head, "tfoot": foot}.get(child.tag, body))
+            elif child.tag not in ("colgroup", "col"):
+                holder = Node("div")
+                holder.children = [child]
+                before.extend(inside(holder, shown, listed))
+
+    take(node, body)
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell from above still fills
     for row in head + body + foot:

@@ -239,6 +239,19 @@ def test_op1_layout(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><tbody>one<b>two</b><tr>three<td>a</td><td>b</td></tr></tbody></table>", "one\ntwo\nthree\na  b"),
+        ("<p>x <svg><defs><text>no</text></defs><circle r=1 /><title>no</title><text>up</text><text>down</text></svg> y", "x up down y"),
+        ("<p>so <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></math> holds", "so a+b holds"),
+        ("<p><svg><defs/><text>shown</text></svg><defs>too</defs>", "shown too"),
+    ],
+)
+def test_op1_stray_and_foreign(source, text):
+    assert html_text.visible_text(source) == text
+
+
 def test_op1_table(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None), (None, "b")], "page_id long, html string")
     assert Counter(tuple(r) for r in html_text.extract_text(df).collect()) == {(1, "a"): 2, (2, ""): 1, (None, "b"): 1}
