@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from unicodedata import is_normalized
 
 import numpy as np
@@ -49,6 +48,8 @@ def word_pieces(text: str) -> list[str]:
     """
     if UNUSUAL.search(text):
         return [text]
+    if "<|" in text:  # special tokens are found before letters are lowered
+        return text.split()
     if not text.isascii():
         low = text.lower()
         if "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low)):
@@ -71,20 +72,39 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.generation = generation or {"byte": 450_000, "word": 200_000}[pieces]
+        self.generation = generation or {"byte": 300_000, "word": 200_000}[pieces]
+        # a special token always stands apart, so many pieces go through the tokenizer as one text, parted by it
+        specials = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark, self.between = min(specials, default=(-1, ""))
+        self.joiner = Tokenizer.from_file(path) if plain and specials else self.tokenizer
 
     def _learn(self, wanted: set[str]) -> None:
         marked = {p: m.groups() for p in wanted if not p[-1].isalpha() and (m := MARKED.fullmatch(p))}
-        parts = wanted.difference(marked).union(*marked.values())
+        parts = wanted.difference(marked).union(*marked.values()) if marked else wanted
         new = [p for p in parts if p not in self.young]
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        odd = [p for p in new if "<|" in p or len(p) > 1000] if self.between else new
+        if odd and self.between:
+            alone = set(odd)
+            new = [p for p in new if p not in alone]
+        for k in range(0, len(odd), 2_000):
+            some = odd[k : k + 2_000]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.young[piece] = array(code, e.ids).tobytes()
+                self.young[piece] = np.array(e.ids, self.dtype).tobytes()
+        if self.between:
+            self._learn_joined(new)
         for p, (head, tail) in marked.items():
             self.young[p] = self.young[head] + self.young[tail]
 
+    def _learn_joined(self, new: list[str], size: int = 200) -> None:
+        width = self.dtype.itemsize
+        for k in range(0, len(new), 20_000):
+            groups = [new[j : j + size] for j in range(k, min(k + 20_000, len(new)), size)]
+            for group, e in zip(groups, self.joiner.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = (width * np.flatnonzero(ids == self.mark)).tolist()
+                data = ids.tobytes()
+                self.young.update(zip(group, [data[a + width : b] for a, b in zip([-width, *ends], [*ends, len(data)])]))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none.
 
@@ -106,6 +126,13 @@ class PieceEncoder:
         return out
 
 
+def release() -> None:
+    """Forget the worker's encoders, whose pieces would take memory from the stages that follow."""
+    state = worker_state()
+    for key in [k for k in state if isinstance(k, tuple) and k[0] == "encoder"]:
+        del state[key]
+
+
 def encoder(path: str, pieces: str, plain: bool = False) -> PieceEncoder:
     """The worker's encoder of this file."""
     state, key = worker_state(), ("encoder", path, plain)
