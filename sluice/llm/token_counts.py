@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_blobs, saved, whole_text, write_blobs
-from .tokens import encoded
+from .tokens import encoded, release
 
 #: A file that starts so lists the doc_ids of a part; all others are ids only.
 KEYS_MAGIC = bytes.fromhex("8f53c1d207b94e6aa1d95be0374c2f16")
@@ -30,7 +30,8 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, en
     A null text is an empty one; in texts, strings of special tokens are ordinary
     text, so end_id occurs at ends only.  Documents follow in the order in which tasks
     read them; nothing is shuffled.  A block's file ends in one newline byte,
-    which is not part of the ids.
+    which is not part of the ids.  Repeated rows are documents of their own, an empty
+    table leaves no block, and other columns are not looked at.
     """
 
     def blocks(batches):
@@ -39,10 +40,12 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, en
             keys.append(NULL_KEY if key is None else key)
             parts.append(ids)
             size += len(ids)
-            while size >= block_bytes:
+            if size >= block_bytes:
                 data = b"".join(parts)
-                yield pa.RecordBatch.from_pydict({"blob": pa.array([data[:block_bytes]], pa.binary())})
-                parts, size = [data[block_bytes:]], size - block_bytes
+                whole = size - size % block_bytes
+                for k in range(0, whole, block_bytes):
+                    yield pa.RecordBatch.from_pydict({"blob": pa.array([data[k : k + block_bytes]], pa.binary())})
+                parts, size = [data[whole:]], size - whole
         if size:
             yield pa.RecordBatch.from_pydict({"blob": pa.array([b"".join(parts)], pa.binary())})
         if keys:
@@ -59,6 +62,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, width: int) -> Dat
     dtype = np.dtype(f"<u{width}")
 
     def search(batches):
+        release()
         for batch in batches:
             for part, number, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if content.startswith(KEYS_MAGIC):
