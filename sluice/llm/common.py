@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Only where neither the session nor its context names one (tests on one
-    machine) is a temporary folder made and set as the checkpoint folder.
+    Only in local mode, where the executors are the driver, may a session name
+    none: then a temporary folder is made and set as the checkpoint folder.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sluice-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
@@ -48,9 +50,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def source_of(df: DataFrame) -> list[str]:
-    """The path of a table that ``saved`` returned."""
-    return [f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]]
+def file_range(spark: SparkSession, file: str, at: int, n: int) -> bytes:
+    """n bytes of a file from at on, through Spark's own file systems; nothing else of it is read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        stream.seek(at)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+    finally:
+        stream.close()
 
 
 def write_blobs(df: DataFrame, column: str, path: str) -> None:
@@ -68,19 +77,16 @@ def write_blobs(df: DataFrame, column: str, path: str) -> None:
     )
 
 
+def blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content, part, number) of each file that ``write_blobs`` made; content is read only where it is used."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    part, number = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1)
+    return found.select("path", "length", "content", part.cast("long").alias("part"), number.cast("long").alias("number")).filter("length > 0")
+
+
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """(part, number, content) of each file that ``write_blobs`` made."""
-    name = F.col("path")
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "part-*")
-        .load(path)
-        .select(
-            F.regexp_extract(name, r"part-(\d+)-[^/]*$", 1).cast("long").alias("part"),
-            F.regexp_extract(name, r"-c(\d+)[^/]*$", 1).cast("long").alias("number"),
-            F.col("content"),
-        )
-    )
+    return blobs(spark, path).select("part", "number", "content")
 
 
 def worker_state() -> dict:

@@ -18,7 +18,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary_path("byte_bpe_50k.json"), "byte", 0)
     records = token_files.read_token_files(spark, path).select("part", "number", "doc_id", "start_in_shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return token_files.with_global_starts(records).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.with_global_starts(records, token_files.directory(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

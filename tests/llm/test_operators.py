@@ -97,10 +97,10 @@ def test_keys_that_never_part():
     assert h.slots(np.array([9, 5, 7], np.uint64)).tolist() == [1, 0, -1]
 
 
-def test_op2_files(spark, docs, empty):
+def test_op2_files(spark, docs, empty, monkeypatch):
     path = shared_dir(spark)
     token_files.write_token_files(docs, path, P.path("byte_bpe_50k.json"), "byte", 0, shard_ids=5000)
-    got = token_files.with_global_starts(token_files.read_token_files(spark, path)).orderBy("start").collect()
+    got = token_files.with_global_starts(token_files.read_token_files(spark, path), token_files.directory(spark, path)).orderBy("start").collect()
     rows = corpus()
     expected = Counter((d, x.tobytes()) for (d, _), x in zip(rows, encode("byte_bpe_50k.json", [t for _, t in rows], 0)))
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == expected
@@ -113,9 +113,20 @@ def test_op2_files(spark, docs, empty):
     found = token_files.lookup(spark, path, [3, None, 999_999]).collect()
     assert Counter(r["doc_id"] for r in found) == {3: 3, None: 2}
     assert {bytes(r["ids"]) for r in found} == {b for (d, b) in expected if d in (3, None)}
+    shards = token_files.directory(spark, path)
+    assert shards.count() > 3 and shards.agg(F.sum("ids"), F.sum("records")).first()[:] == (at, len(rows))
+    opened = []
+    whole = token_files.file_range
+    monkeypatch.setattr(token_files, "file_range", lambda s, file, start, n: opened.append((file, n)) or whole(s, file, start, n))
+    reader = token_files.Reader(spark, path)
+    for key in (7, 7, None, 3, 999_999):
+        assert Counter(x.astype("<u4").tobytes() for x in reader.get(key)) == Counter({b: n for (d, b), n in expected.items() if d == key})
+    opened.clear()
+    token_files.Reader(spark, path).get(7)  # one shard of many: its index, and the ids themselves
+    assert len({f for f, _ in opened}) == 1 and opened[-1][1] == 2 * len(next(b for d, b in expected if d == 7)) // 4
     path = shared_dir(spark)
     token_files.write_token_files(empty, path, P.path("byte_bpe_50k.json"), "byte", 0)
-    assert token_files.read_token_files(spark, path).count() == 0
+    assert token_files.read_token_files(spark, path).count() == 0 and token_files.Reader(spark, path).get(3) == []
 
 
 def test_op7_counts(spark, docs, empty):
