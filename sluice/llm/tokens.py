@@ -1,9 +1,10 @@
-"""Exact tokenisation through public tokenizer files, with a bounded cache of pieces.
+"""Exact tokenisation through public tokenizer files.
 
-``tokenizers`` spends microseconds a word.  A text is therefore cut where its
-pre-tokeniser always cuts (before white space that follows something else), each
-distinct piece is encoded once per worker, and a document's ids are the joined
-ids of its pieces.  Texts with unusual white space are encoded as they are.
+``tokenizers`` spends microseconds a word.  Texts are therefore cut, many at once,
+where its pre-tokeniser always cuts (before white space that follows something else,
+and before the marks that end a word); each distinct piece is encoded once, many
+joined by a special token that stands apart; and a document's ids are the joined ids
+of its pieces.  Texts with unusual white space are encoded as they are.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ import re
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
 
 from .common import worker_state
+from .words import distinct, split_pieces
 
 #: White space other than space, tab, newline and carriage return.
 UNUSUAL = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Letters, then ASCII marks: a pre-tokeniser always cuts between the two, and no normaliser joins them.
-MARKED = re.compile(r"([ \n]*[^\W\d_]*[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-^`{-~]+)")
-PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -29,101 +29,99 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_level_pieces(text: str) -> list[str]:
-    """Pieces of a text for byte-level BPE, white space before its word."""
-    if not text:
-        return []
-    if UNUSUAL.search(text):
-        return [text]
-    if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\t" in text or "\r" in text:
-        return PIECES.findall(text)
-    return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if p]
+def as_it_is(text: str) -> str:
+    return text
 
 
-def word_pieces(text: str) -> list[str]:
-    """Pieces of a text for a tokenizer that composes, lower-cases and drops white space.
+def lowered(text: str) -> str:
+    """The text as a tokenizer that composes, lower-cases and drops white space may be given it.
 
     Lower-casing here makes pieces alike; it is left to the tokenizer where the
-    order of composing and lower-casing, or a final sigma, could matter.
+    order of composing and lower-casing, or a final sigma, could matter, and where
+    special tokens may occur, which are found before letters are lowered.
     """
-    if UNUSUAL.search(text):
-        return [text]
-    if "<|" in text:  # special tokens are found before letters are lowered
-        return text.split()
-    if not text.isascii():
-        low = text.lower()
-        if "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low)):
-            return text.split()
-        return low.split()
-    return text.lower().split()
+    if "<|" in text:
+        return text
+    low = text.lower()
+    if not text.isascii() and ("\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low))):
+        return text
+    return low
 
 
 class PieceEncoder:
     """Texts to little-endian ids, two bytes each if the vocabulary allows, else four."""
 
-    def __init__(self, path: str, pieces: str, generation: int | None = None, plain: bool = False):
-        """plain: special tokens' strings in a text are ordinary text, so their ids mark nothing else."""
+    def __init__(self, path: str, pieces: str, plain: bool = False, limit: int = 400_000):
+        """plain: special tokens' strings in a text are ordinary text, so their ids mark nothing else; limit: pieces that are kept."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.pieces = {"byte": byte_level_pieces, "word": word_pieces}[pieces]
+        self.prepared, self.keeps_space = {"byte": (as_it_is, True), "word": (lowered, False)}[pieces]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.generation = generation or {"byte": 300_000, "word": 200_000}[pieces]
-        # a special token always stands apart, so many pieces go through the tokenizer as one text, parted by it
         specials = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark, self.between = min(specials, default=(-1, ""))
         self.joiner = Tokenizer.from_file(path) if plain and specials else self.tokenizer
-
-    def _learn(self, wanted: set[str]) -> None:
-        marked = {p: m.groups() for p in wanted if not p[-1].isalpha() and (m := MARKED.fullmatch(p))}
-        parts = wanted.difference(marked).union(*marked.values()) if marked else wanted
-        new = [p for p in parts if p not in self.young]
-        odd = [p for p in new if "<|" in p or len(p) > 1000] if self.between else new
-        if odd and self.between:
-            alone = set(odd)
-            new = [p for p in new if p not in alone]
-        for k in range(0, len(odd), 2_000):
-            some = odd[k : k + 2_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.young[piece] = np.array(e.ids, self.dtype).tobytes()
-        if self.between:
-            self._learn_joined(new)
-        for p, (head, tail) in marked.items():
-            self.young[p] = self.young[head] + self.young[tail]
-
-    def _learn_joined(self, new: list[str], size: int = 200) -> None:
-        width = self.dtype.itemsize
-        for k in range(0, len(new), 20_000):
-            groups = [new[j : j + size] for j in range(k, min(k + 20_000, len(new)), size)]
-            for group, e in zip(groups, self.joiner.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype)
-                ends = (width * np.flatnonzero(ids == self.mark)).tolist()
-                data = ids.tobytes()
-                self.young.update(zip(group, [data[a + width : b] for a, b in zip([-width, *ends], [*ends, len(data)])]))
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_encode`` of distinct pieces, those known from before looked up; beyond limit all are forgotten."""
+        if len(self.known) > self.limit:
+            self._forget()
+        at = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        strange = np.flatnonzero(at < 0)
+        if len(strange):
+            new = [pieces[k] for k in strange.tolist()]
+            ids, starts, sizes = self._encode(new)
+            at[strange] = first = np.arange(len(self.held[1]), len(self.held[1]) + len(new))
+            self.held = np.concatenate([self.held[0], ids]), np.concatenate([self.held[1], starts + len(self.held[0])]), np.concatenate([self.held[2], sizes])
+            self.known.update((p, k) for p, k in zip(new, first.tolist()) if len(p) <= 100)
+        return self.held[0], self.held[1][at], self.held[2][at]
+
+    def _encode(self, pieces: list[str], size: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's ids begin, how many there are) of distinct pieces."""
+        alone = [k for k, p in enumerate(pieces) if not self.between or "<|" in p or len(p) > 1000]
+        there = set(alone)
+        joined = [p for k, p in enumerate(pieces) if k not in there] if alone else pieces
+        parts, close = [np.zeros(0, self.dtype)], np.array([self.mark if self.between else 0], self.dtype)
+        for k in range(0, len(joined), 100 * size):
+            groups = [self.between.join(joined[j : j + size]) for j in range(k, min(k + 100 * size, len(joined)), size)]
+            for e in self.joiner.encode_batch_fast(groups, add_special_tokens=False):
+                parts += [np.array(e.ids, self.dtype), close]
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(ids == close[0]) if joined else np.zeros(0, np.int64)
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        sizes = ends - starts
+        if alone:
+            own = [np.array(e.ids, self.dtype) for k in range(0, len(alone), 1000) for e in self.tokenizer.encode_batch_fast([pieces[j] for j in alone[k : k + 1000]], add_special_tokens=False)]
+            n = np.array([len(x) for x in own], np.int64)
+            rest = np.setdiff1d(np.arange(len(pieces)), alone)
+            every = np.zeros((2, len(pieces)), np.int64)
+            every[:, rest] = starts, sizes
+            every[:, alone] = len(ids) + np.cumsum(n) - n, n
+            ids, (starts, sizes) = np.concatenate([ids, *own]), every
+        return ids, starts, sizes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; a null text has none.
-
-        At most two generations of pieces are kept: a full one becomes the old
-        one, and what is used again comes back from there.
-        """
-        if len(self.young) > self.generation:
-            self.young, self.old = {}, self.young
-        parts = [self.pieces(t) if t else [] for t in texts]
-        wanted = set().union(*parts).difference(self.young)
-        again = wanted & self.old.keys()
-        self.young.update((p, self.old[p]) for p in again)
-        self._learn(wanted - again)
-        get = self.young.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for p in wanted:
-            if len(p) > 100:
-                self.young.pop(p, None)
-        return out
+        """The ids of each text; a null text has none."""
+        prepared = [self.prepared(t) if t else "" for t in texts]
+        whole = np.fromiter((bool(UNUSUAL.search(t)) for t in prepared), bool, len(prepared))
+        prepared = [t if not w else o for t, w, o in zip(prepared, whole.tolist(), texts)]
+        pieces, counts = split_pieces(pa.array(prepared, pa.string()), whole, self.keeps_space)
+        codes, values = distinct(pieces)
+        data, starts, sizes = self._ids(values)
+        width = self.dtype.itemsize
+        own = sizes[codes]
+        before = np.cumsum(own) - own
+        ids = data[np.arange(int(own.sum())) + np.repeat(starts[codes] - before, own)].tobytes()
+        ends = np.append(0, np.cumsum(own))[np.append(0, np.cumsum(counts))] * width
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def release() -> None:
@@ -141,7 +139,7 @@ def encoder(path: str, pieces: str, plain: bool = False) -> PieceEncoder:
     return state[key]
 
 
-def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 2_000_000):
+def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 8_000_000):
     """(doc_id, ids with the end id) of each row (doc_id, text) of Arrow batches, in order."""
     enc = encoder(path, pieces, plain)
     end = np.array([end_id], enc.dtype).tobytes()
