@@ -74,13 +74,25 @@ def encode(name, texts, end, plain=False):
 @pytest.mark.parametrize(("name", "pieces"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_pieces_encode_like_whole_texts(name, pieces):
     r = random.Random(1)
-    alphabet = "ab'sé ÉΣİ \n\t.,!-_1²  \r<|>日本é"
-    texts = [t for _, t in corpus()] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(600)]
-    enc = tokens.PieceEncoder(P.path(name), pieces, generation=200)
-    for k in range(0, len(texts), 50):
-        some = texts[k : k + 50]
-        for got, expected in zip(enc.encode(some), encode(name, some, 0)):
-            assert np.frombuffer(got, enc.dtype).tolist() == expected[:-1].tolist()
+    special = [x for s in ("<|endoftext|>", "<|startoftext|>") for x in (s, s.upper(), s.title(), s[:-3], s[2:])]
+    alphabet = [*"ab'sé ÉΣİ \n\t.,!-_1²  \r<|>日本éç×", *special]
+    texts = [t for _, t in corpus()] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for plain in (False, True):
+        enc = tokens.PieceEncoder(P.path(name), pieces, plain, limit=200)
+        for k in range(0, len(texts), 50):
+            some = texts[k : k + 50]
+            for got, expected in zip(enc.encode(some), encode(name, some, 0, plain)):
+                assert np.frombuffer(got, enc.dtype).tolist() == expected[:-1].tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZé \n\t,.\x0b\r÷", max_size=12), max_size=6))
+def test_split_words(texts):
+    from sluice.llm import words
+
+    found, counts = words.split_words(__import__("pyarrow").array(texts, "string"))
+    expected = [[x.translate({c: c + 32 for c in range(65, 91)}).encode() for x in re.split(r"[\x20\x09-\x0D]+", t) if x] for t in texts]
+    assert found.to_pylist() == [x for t in expected for x in t] and counts.tolist() == list(map(len, expected))
 
 
 @settings(max_examples=30, deadline=None)
@@ -547,26 +559,122 @@ def test_op8_counts_and_bands(spark, docs, empty):
     assert quality.rate(empty).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
-def test_op8_learns_from_good_documents_and_spread(spark):
+def naive_model(grams, order, uniform):
+    """log10 probabilities by dictionaries: grams maps tuples of the highest order to counts."""
+    levels = [dict(grams)]
+    for _ in range(order - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    discounts = []
+    for level in levels:
+        n1, n2, n3, n4 = (max(1, sum(c == k for c in level.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        discounts.append([min(max(d, 0.05), top) for d, top in zip(raw, (0.95, 1.9, 2.8))])
+    sums = [defaultdict(lambda: [0, 0.0]) for _ in levels]
+    for level, d, total in zip(levels, discounts, sums):
+        for g, c in level.items():
+            total[g[:-1]][0] += c
+            total[g[:-1]][1] += d[min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / uniform(levels[0])
+        c, d = levels[len(g) - 1].get(g, 0), discounts[len(g) - 1]
+        total, taken = sums[len(g) - 1].get(g[:-1], (0, 0))
+        if not total:
+            return p(g[1:])
+        return (c - d[min(c, 3) - 1] if c else 0) / total + taken / total * p(g[1:])
+
+    return p
+
+
+def test_op8_perplexity_by_dictionaries(spark):
+    r = random.Random(8)
+    rare = ["".join(r.choice("abcdeéß日#") for _ in range(r.randint(1, 9))) for _ in range(600)]
+    rows = []
+    for k in range(120):
+        words = [r.choice(WORDS[:8]) if r.random() < 0.6 else r.choice(rare).upper() for _ in range(r.randint(60, 200))]
+        rows.append((k, " ".join(words)))
+    rows += [(200, "zq xj " * 30), (201, "too short"), (202, "Quite new words, " + rows[0][1]), (203, None), (204, rows[3][1])]
+    got = quality.rate(table(spark, rows, "xx")).collect()
+    texts = {d: (t or "").encode().lower().split() for d, t in rows}
+    lang = {d: "xx" if (d or 0) % 3 else "" for d, _ in rows}
+    failed = {r["doc_id"]: r["base_failed"] for r in got}
+    assert {d for d in texts if failed[d]} == {200, 201, 203}
+    for name in ("xx", ""):
+        good = [w for d, w in texts.items() if lang[d] == name and not failed[d]]
+        counts = Counter(x for w in good for x in w)
+        known = {w for w, n in counts.items() if n >= max(2, quality.FREQUENT * sum(counts.values()))}
+        word_grams, char_grams = Counter(), Counter()
+        for w in good:
+            s = [b"", b"", *[x if x in known else None for x in w]]
+            word_grams.update(zip(s, s[1:], s[2:]))
+        for x in counts.keys() - known:
+            s = "\n\n\n" + x.decode() + "\n"
+            char_grams.update(zip(s, s[1:], s[2:], s[3:]))
+        assert known and char_grams
+        word_p, char_p = (naive_model(g, n, lambda level: len(level) + 1) for g, n in ((word_grams, 3), (char_grams, 4)))
+        for x in got:
+            if lang[x["doc_id"]] == name and not x["base_failed"]:
+                total, s = 0, [b"", b"", *[w if w in known else None for w in texts[x["doc_id"]]]]
+                for k, w in enumerate(texts[x["doc_id"]]):
+                    total += math.log10(word_p(tuple(s[k : k + 3])))
+                    if w not in known:
+                        c = "\n\n\n" + w.decode() + "\n"
+                        total += sum(math.log10(char_p(tuple(c[j : j + 4]))) for j in range(len(c) - 3))
+                assert abs(x["log_ppl"] + 1000 * total / len(texts[x["doc_id"]])) < 1, x["doc_id"]
+
+
+def test_op8_rejects_junk(spark):
     r = random.Random(8)
     good = [(k, prose(300, r)) for k in range(40)]
     bad = [(100, "zq xj " * 30 + prose(20, r)), (101, "kw vb")]  # repeats, too short
-    marked = [(200 + k, " ".join(w + "###" if j % 6 == 0 else w for j, w in enumerate(prose(300, r).split()))) for k in range(3)]
-    counts = [{x["gram"]: x["n"] for x in quality.count_grams(table(spark, rows)).collect()} for rows in (good, good + bad)]
-    assert counts[0] == counts[1] and counts[0]
+    marked = [(200 + k, " ".join(w + "###" if j % 2 == 0 else w for j, w in enumerate(prose(300, r).split()))) for k in range(3)]
+    words = [{(x["lang"], x["word"]): x["n"] for x in quality.count_words(table(spark, rows)).collect()} for rows in (good, good + bad)]
+    assert words[0] == words[1] and words[0]
     rated = {x["doc_id"]: x for x in quality.rate(table(spark, good + bad + marked)).collect()}
     assert not any(rated[d]["kept"] for d, _ in bad + marked) and sum(rated[d]["kept"] for d, _ in good) >= 38
     assert not any(rated[d]["base_failed"] for d, _ in marked)
 
 
+def test_op8_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rated = quality.rate(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed")
+    n = {(r["quality"], r["kept"]): r["count"] for r in rated.groupBy("quality", "kept").count().collect()}
+    assert n[1, True] > 0.97 * (n[1, True] + n.get((1, False), 0)) and n[0, False] > 0.9 * (n[0, False] + n.get((0, True), 0))
+
+
 def test_op8_kneser_ney_sums_to_one():
-    table_ = quality.alphabet()
-    g = np.concatenate([quality.grams(prose(300).encode().split(), table_) for _ in range(5)])
-    keys, n = np.unique(g, return_counts=True)
-    model = quality.kneser_ney(keys, n)
-    for context in (int(keys[0]) >> 6, int(keys[len(keys) // 2]) >> 6, 63 << 12, 12345):
-        every = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert (10 ** quality.log_probabilities(model, every)).sum() == pytest.approx(1, abs=1e-6)
+    r = np.random.default_rng(3)
+    columns = [np.array(x, np.int64) for x in zip(*{tuple(g) for g in r.integers(0, 9, (400, 3)).tolist()})]
+    model = quality.kneser_ney(columns, r.integers(1, 6, len(columns[0])))
+    for a, b in ((0, 0), (3, 5), (77, 2), (77, 78)):
+        every = [np.full(10, a), np.full(10, b), np.array([*range(9), 99])]  # 99 stands for what is unknown
+        assert (10 ** quality.find(model, every, 3)).sum() == pytest.approx(1, abs=1e-5)
+    totals = np.bincount(columns[0] * 9 + columns[1], np.full(len(columns[0]), 3.0))[columns[0] * 9 + columns[1]]
+    part = quality.kneser_ney(columns, np.full(len(columns[0]), 2), [9, 5, 3, 1], totals)  # others were left out
+    assert (10 ** quality.find(part, [np.full(10, 3), np.full(10, 5), np.array([*range(9), 99])], 3)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_op8_languages_in_groups(spark, docs, monkeypatch):
+    def rows():
+        return sorted((tuple(r) for r in quality.rate(docs).select("doc_id", "lang", "log_ppl", "kept", *quality.COUNTS).collect()), key=str)
+
+    whole = rows()
+    monkeypatch.setattr(quality, "BROADCAST_GRAMS", 1)
+    assert rows() == whole
+
+
+def test_op8_many_characters():
+    words = ["".join(chr(0x10000 + 7 * k + j) for j in range(5)) for k in range(12_000)]
+    got = Counter()
+    for head, tail, n in quality.packed_chars(words):
+        got.update({(int(h), int(t)): int(k) for h, t, k in zip(head, tail, n)})
+    expected = Counter()
+    for w in words:
+        c = [10, 10, 10, *map(ord, w), 10]
+        expected.update((c[k] << 42 | c[k + 1] << 21 | c[k + 2], c[k + 3]) for k in range(len(c) - 3))
+    assert got == expected
 
 
 def test_op8_bands_by_sorting(spark):
