@@ -51,7 +51,7 @@ def lowered(text: str) -> str:
 class PieceEncoder:
     """Texts to little-endian ids, two bytes each if the vocabulary allows, else four."""
 
-    def __init__(self, path: str, pieces: str, plain: bool = False, limit: int = 400_000):
+    def __init__(self, path: str, pieces: str, plain: bool = False, limit: int = 300_000):
         """plain: special tokens' strings in a text are ordinary text, so their ids mark nothing else; limit: pieces that are kept."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -118,9 +118,11 @@ class PieceEncoder:
         data, starts, sizes = self._ids(values)
         width = self.dtype.itemsize
         own = sizes[codes]
-        before = np.cumsum(own) - own
-        ids = data[np.arange(int(own.sum())) + np.repeat(starts[codes] - before, own)].tobytes()
-        ends = np.append(0, np.cumsum(own))[np.append(0, np.cumsum(counts))] * width
+        after = np.cumsum(own)
+        place = np.repeat((starts[codes] - after + own).astype(np.int32), own)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = data[place].tobytes()
+        ends = np.append(0, after)[np.append(0, np.cumsum(counts))] * width
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
@@ -139,7 +141,7 @@ def encoder(path: str, pieces: str, plain: bool = False) -> PieceEncoder:
     return state[key]
 
 
-def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 8_000_000):
+def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 5_000_000):
     """(doc_id, ids with the end id) of each row (doc_id, text) of Arrow batches, in order."""
     enc = encoder(path, pieces, plain)
     end = np.array([end_id], enc.dtype).tobytes()

@@ -38,7 +38,7 @@ def split_words(texts: pa.Array, table: np.ndarray = FOLDED) -> tuple[pa.Array,
     begin[first] = solid[first]
     starts = np.flatnonzero(begin)
     counts = np.diff(np.searchsorted(starts, at))
-    place = np.cumsum(solid)
+    place = np.cumsum(solid, dtype=np.int32)
     return packed(raw[solid], place[starts] - 1), counts
 
 
@@ -76,7 +76,7 @@ def split_pieces(texts: pa.Array, whole: np.ndarray, keep_space: bool) -> tuple[
     begin[1:] &= ~space[:-1] if keep_space else space[:-1]
     begin[first] = True if keep_space else ~space[first]
     if not keep_space:
-        raw, kind, uncut, begin, rank = raw[~space], kind[~space], uncut[~space], begin[~space], np.append(0, np.cumsum(~space))
+        raw, kind, uncut, begin, rank = raw[~space], kind[~space], uncut[~space], begin[~space], np.append(0, np.cumsum(~space, dtype=np.int32))
         at = rank[at]
     starts = np.flatnonzero(begin)
     # marks at the end of a word: the one place in the piece where marks begin, and nothing but letters before
