@@ -4,10 +4,10 @@ A seed looks at five words of a window and ignores the others, as a fixed mask
 says, so a substituted word spoils only the seeds that look at it.  The seeds of
 all test items are joined to those at every position of every training text; a
 hit fixes an alignment, and there all words of the item are compared with the
-text.  An item counts as leaked where at least 0.8 of its words agree.  The masks
-alone could miss that in items of 5, 6, 7 and 10 words, which get seeds of fewer
-words, one of which no allowed substitution spoils.  Training texts are cleaned of
-items that leaked in part as well: of runs of at least OVERLAP words around a hit.
+text.  What leaked is the longest run of the item's words, of OVERLAP words at
+least or the whole item, of which at least 0.8 agree.  The masks alone could miss
+that in items of 5, 6, 7 and 10 words, which get seeds of fewer words, one of which
+no allowed substitution spoils.  All letters are lower-cased.
 """
 
 from __future__ import annotations
@@ -28,12 +28,7 @@ OVERLAP = 11
 BROADCAST_SEEDS = 1_000_000
 
 
-def a_to_z(text: Column) -> Column:
-    """A-Z lower-cased."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def word_hashes(text: Column, fold=a_to_z) -> Column:
+def word_hashes(text: Column, fold=F.lower) -> Column:
     """The hashes of a folded text's words."""
     words = F.filter(F.split(fold(text), WORD_GAP), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -50,7 +45,7 @@ def seeds(hashes: DataFrame, columns: list[str], runs: dict[int, Column] | None
     return placed.select(*columns, "at", F.explode(F.array(*of_mask)).alias("seed")).filter("seed is not null")
 
 
-def compared(docs: DataFrame, items: DataFrame, fold=a_to_z) -> DataFrame:
+def compared(docs: DataFrame, items: DataFrame, fold=F.lower) -> DataFrame:
     """(doc_id, item_id, at, same) of each alignment that a seed hits: same has 1 for each word of the item that agrees, else 0."""
     tests = items.select("item_id", word_hashes(whole_text(), fold).alias("w")).distinct()
     tests = tests.filter(F.size("w") >= LEAST)
@@ -77,7 +72,7 @@ def agreed(same: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda a, b: a + b)
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, fold=a_to_z) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, fold=F.lower) -> DataFrame:
     """(doc_id, item_id, at, item_words, matched): each place of a text where an item leaked.
 
     docs: (doc_id, text); items: (item_id, text).  at: the text's word under the
@@ -97,10 +92,14 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, fol
 def overlaps(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, least: int = OVERLAP, fold=F.lower) -> DataFrame:
     """(doc_id, item_id, at, item_words, start, words, matched): the longest run of each alignment that agrees.
 
-    A run is of at least ``least`` words of the item, from its word start on, or
-    the whole item, and at least similarity of the run's words agree.  Of equally
-    long runs the first is given.  Words that a text adds or leaves out part an
-    item into runs of two alignments.
+    docs: (doc_id, text); items: (item_id, text).  A run is of at least ``least``
+    words of the item, from its word start on, or the whole item, and at least
+    similarity of the run's words agree.  Of equally long runs the first is given.
+    at: the text's word under the item's first, negative if the text starts inside
+    the item; words outside the text don't agree.  Words that a text adds or leaves
+    out part an item into runs of two alignments.  Items of fewer words than LEAST,
+    null and empty texts overlap with nothing; repeated rows give one row; texts may
+    be of any length; other columns are not looked at.
     """
     size, agree = F.size("same"), agreed(F.col("same"))
     found = compared(docs, items, fold).filter(agree >= similarity * F.least(size, F.lit(least)))
@@ -122,11 +121,18 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("sluice_leaked")), "left_anti")
 
 
-LEAKS_SQL = r"""
-with d as (select distinct doc_id, regexp_split_to_array(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), E' \t\n\x0B\f\r'), '[\x20\x09-\x0D]+') w from documents),
-b as (select distinct item_id, regexp_split_to_array(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), E' \t\n\x0B\f\r'), '[\x20\x09-\x0D]+') w from benchmark),
-dw as (select doc_id, unnest(w) x, generate_subscripts(w, 1) p from d),
-bw as (select item_id, len(w) n, unnest(w) x, generate_subscripts(w, 1) p from b where len(w) >= 5)
-select doc_id, item_id, cast(dw.p - bw.p as int) "at", cast(n as int) item_words, cast(count(*) as int) matched
-from dw join bw using (x) group by doc_id, item_id, dw.p - bw.p, n having count(*) >= 0.8 * n
+OVERLAPS_SQL = r"""
+with d as (select distinct doc_id, regexp_split_to_array(trim(lower(coalesce(text, '')), E' \t\n\x0B\f\r'), '[\x20\x09-\x0D]+') w from documents),
+b as (select distinct item_id, regexp_split_to_array(trim(lower(coalesce(text, '')), E' \t\n\x0B\f\r'), '[\x20\x09-\x0D]+') w from benchmark),
+dn as (select row_number() over () t, * from d), bn as (select row_number() over () u, * from b where len(w) >= 5),
+dw as (select t, doc_id, unnest(w) x, generate_subscripts(w, 1) p from dn),
+bw as (select u, item_id, len(w) n, unnest(w) x, generate_subscripts(w, 1) p from bn),
+m as (select t, u, doc_id, item_id, dw.p - bw.p a, n, list(bw.p) ps from dw join bw using (x) group by t, u, doc_id, item_id, dw.p - bw.p, n having count(*) >= 0.8 * least(n, 11)),
+s as (select *, unnest(range(0, n - least(n, 11) + 1)) i from m),
+r as (select *, unnest(range(i + least(n, 11), n + 1)) j from s),
+k as (select *, len(list_filter(ps, lambda p: p > i and p <= j)) c from r)
+select distinct doc_id, item_id, "at", item_words, "start", words, matched from (
+  select doc_id, item_id, cast(a as int) "at", cast(n as int) item_words, cast(i as int) "start", cast(j - i as int) words, cast(c as int) matched,
+    row_number() over (partition by t, u, a order by j - i desc, i) best
+  from k where c >= 0.8 * (j - i)) where best = 1
 """
