@@ -1,13 +1,17 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering (operator 10).
 
-Fingerprints that differ in at most 3 bits differ in at most 3 of their 8 bytes,
-so they agree in at least 5 positional bytes: that is the guaranteed minimum.
-Postings of single bytes would hold a 256th of the corpus each and emit pairs
-with the square of it, so the tally is made by the index itself: a posting is
-keyed by 5 of the 8 byte positions with their values, and two fingerprints meet
-in one of the 56 postings if, and only if, they share 5 bytes or more.  Those
-that meet are verified.  In a posting only 3 bytes are free, which bounds it by
-2^24 distinct fingerprints; it yields a spanning forest, not its pairs.
+Fingerprints that differ in at most 3 bits differ in at most 3 of their 8 bytes, so
+they agree in at least 5 positional bytes.  Postings of single bytes would hold a
+256th of the corpus each, so the index has a posting for the values of every 3 byte
+positions: 56 for each distinct fingerprint.  Two fingerprints that agree in 5 bytes
+meet in at least 10 of them.  The meetings of each pair are tallied, pairs that reach
+this guaranteed minimum are kept, and their bits compared.
+
+A posting of more than HOT fingerprints emits no pairs.  Its fingerprints go to
+postings of 5 byte positions, where those that agree in 5 bytes meet: only 3 bytes are
+free there, which bounds such a posting by 2^24 distinct fingerprints, and it yields a
+spanning forest of its links.  Pairs that meet in no hot posting have all their
+meetings tallied, so no link is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import saved, whole_text
 
 MAX_BITS = 3
+#: Byte positions of a posting, how many postings two linked fingerprints share at least, and the positions of hot ones.
+POSTINGS, MINIMUM = list(combinations(range(8), 3)), 10
 SUBSETS = list(combinations(range(8), 8 - MAX_BITS))
+#: Fingerprints of a posting from which it is solved by the longer ones.
+HOT = 64
 #: Above this a posting is probed by flipped bits instead of compared all with all.
 PROBE_FROM = 60_000
 
@@ -99,47 +107,95 @@ def close_sets(values: np.ndarray, probe_from: int = PROBE_FROM) -> np.ndarray:
     return _find(parent, np.arange(n))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest of each posting's verified links, u the larger as unsigned."""
+def keyed_by(fingerprints: DataFrame, subsets: list[tuple[int, ...]]) -> DataFrame:
+    """(key, fp): a posting of each fingerprint (fp) for each subset of byte positions, sorted by key in each task."""
 
     def postings(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             columns = [(fp >> np.uint64(8 * p)) & np.uint64(255) for p in range(8)]
-            for k, subset in enumerate(SUBSETS):
+            for k, subset in enumerate(subsets):
                 key = np.full(len(fp), k, np.uint64)
                 for p in subset:
                     key = (key << np.uint64(8)) | columns[p]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "fp": pa.array(fp.view(np.int64))})
 
-    def solve(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-            keep = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last posting may go on
-            if keep:
-                yield forest(key[:keep], fp[:keep])
-                key, fp = key[keep:], fp[keep:]
-        if len(key):
-            yield forest(key, fp)
-
-    def forest(key, fp):
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        sizes = np.diff(starts, append=len(key))
-        two = starts[sizes == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS]
-        u, v = [np.maximum(fp[two], fp[two + 1])], [np.minimum(fp[two], fp[two + 1])]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            values = np.unique(fp[s : s + n])
-            root = close_sets(values)
-            moved = root != np.arange(len(values))
-            u.append(values[moved])
-            v.append(values[root[moved]])
-        return pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u).view(np.int64)), "v": pa.array(np.concatenate(v).view(np.int64))})
-
-    dealt = distinct.select("fp").mapInArrow(postings, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(solve, "u long, v long").distinct()
+    return fingerprints.select("fp").mapInArrow(postings, "key long, fp long").repartition("key").sortWithinPartitions("key")
+
+
+def whole_postings(batches):
+    """(keys, fingerprints) of sorted batches, cut where a posting ends."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))  # the last posting may go on
+        if held and (cut or key[0] != held[0][0][-1]):
+            held.append((key[:cut], fp[:cut]))
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+        elif cut:
+            yield key[:cut], fp[:cut]
+        held.append((key[cut:], fp[cut:]))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    return starts, np.diff(starts, append=len(key))
+
+
+def meetings(distinct: DataFrame, hot: int) -> DataFrame:
+    """(u, v) for each posting in which two fingerprints meet, u the larger as unsigned; (u, null) for u in a hot posting."""
+
+    def rows(batches):
+        for key, fp in whole_postings(batches):
+            starts, sizes = runs_of(key)
+            u, v = [], []
+            for n in np.unique(sizes[(sizes > 1) & (sizes <= hot)]).tolist():
+                group = fp[starts[sizes == n][:, None] + np.arange(n)]
+                i, j = np.triu_indices(n, 1)
+                a, b = group[:, i].ravel(), group[:, j].ravel()
+                u.append(np.maximum(a, b))
+                v.append(np.minimum(a, b))
+            if u:
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u).view(np.int64)), "v": pa.array(np.concatenate(v).view(np.int64))})
+            large = [fp[s : s + n] for s, n in zip(starts[sizes > hot].tolist(), sizes[sizes > hot].tolist())]
+            if large:
+                own = np.unique(np.concatenate(large)).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(own), "v": pa.nulls(len(own), pa.int64())})
+
+    return keyed_by(distinct, POSTINGS).mapInArrow(rows, "u long, v long")
+
+
+def forests(fingerprints: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of the verified links of each posting of 5 byte positions."""
+
+    def rows(batches):
+        for key, fp in whole_postings(batches):
+            starts, sizes = runs_of(key)
+            two = starts[sizes == 2]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS]
+            u, v = [np.maximum(fp[two], fp[two + 1])], [np.minimum(fp[two], fp[two + 1])]
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                values = np.unique(fp[s : s + n])
+                root = close_sets(values)
+                moved = root != np.arange(len(values))
+                u.append(values[moved])
+                v.append(values[root[moved]])
+            yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u).view(np.int64)), "v": pa.array(np.concatenate(v).view(np.int64))})
+
+    return keyed_by(fingerprints, SUBSETS).mapInArrow(rows, "u long, v long")
+
+
+def links(distinct: DataFrame, hot: int | None = None) -> DataFrame:
+    """(u, v): verified links of distinct fingerprints (fp), those of hot postings as spanning forests."""
+    met = saved(meetings(distinct, hot or HOT).groupBy("u", "v").agg(F.count("*").alias("n")))
+    tallied = met.filter((F.col("n") >= MINIMUM) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
+    crowded = met.filter("v is null").select(F.col("u").alias("fp"))
+    return tallied.union(forests(crowded)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,7 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows of one doc_id stay rows; documents without words share fingerprint 0 and
     are linked like any other; a null doc_id counts only if its component has no
-    other.  Hot fingerprints meet as one row; nothing is collected.
+    other.  An empty table gives no rows, texts may be of any length, other columns
+    are not looked at.  Hot fingerprints meet as one row; nothing is collected.
     """
     found = saved(fingerprints(docs))
     distinct = saved(found.groupBy("fp").agg(F.min("doc_id").alias("low")))

@@ -830,14 +830,18 @@ def test_op10_close_sets(probe):
     assert len({(int(values[g]), expected[v]) for g, v in zip(got, values.tolist())}) == len(set(got.tolist())) == len(set(expected.values()))
 
 
-def test_op10_links_and_chains(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 2])
+def test_op10_links_and_chains(spark, hot):
     r = random.Random(4)
     chain = [r.getrandbits(64)]
     for _ in range(60):
         chain.append(chain[-1] ^ sum(1 << b for b in r.sample(range(64), 3)))
     values = list(dict.fromkeys([*chain, *[r.getrandbits(64) for _ in range(200)]]))
     df = spark.createDataFrame([(int(np.array([v], np.uint64).view(np.int64)[0]),) for v in values], "fp long")
-    edges = simhash.links(df)
+    edges = simhash.links(df, hot)
+    linked = {tuple(int(np.array([x], np.int64).view(np.uint64)[0]) for x in e) for e in edges.collect()}
+    every = {(max(a, b), min(a, b)) for k, a in enumerate(values) for b in values[:k] if (a ^ b).bit_count() <= 3}
+    assert hot < 60 or linked == every  # hot postings give each fingerprint the root of its links
     roots = {int(np.array([x["node"]], np.int64).view(np.uint64)[0]): x["root"] for x in simhash.components(edges).collect()}
     expected = naive_roots(values)
     groups = defaultdict(set)
