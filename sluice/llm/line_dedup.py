@@ -14,11 +14,19 @@ every line of a later copy is deleted, with the blank lines inside it.
    ``min_words`` words behind it, so ranks of that many lines suffice, which
    bounds both the rounds and the line ids that a suffix carries.
 3. In suffix order, longest common prefixes with the neighbours form intervals;
-   a stack over them yields for each suffix its longest earlier copy.
+   a stack over them yields for each suffix its longest earlier copy.  The order is
+   cut into ranges of equal size, whatever prefixes they share.  Each range says what
+   its ends hold (for each length the earliest place with so long a common prefix);
+   these few values, passed on from range to range, stand for all suffixes outside.
+
+Lines are equal if their 64-bit hashes are; a run of ``min_words`` words would have to
+collide as a whole to be deleted wrongly.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -64,11 +72,23 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, th long, at int, line int, h long, words int")
 
 
+def repeated_lines(found: DataFrame) -> DataFrame:
+    """The rows whose line occurs twice or more.
+
+    Lines that make up a ten-thousandth of all rows or more are at most ten thousand;
+    they are broadcast, so that no line gathers its rows in one task.
+    """
+    counts = saved(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    hot = max(1000, found.count() // 10_000)
+    often = F.broadcast(counts.filter(F.col("n") >= hot).select("h"))
+    usual = counts.filter(F.col("n") < hot).select("h")
+    return found.join(often, "h", "left_semi").unionByName(found.join(often, "h", "left_anti").join(usual, "h", "left_semi"))
+
+
 def segments(found: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, start, hs, ws, ls): maximal runs of repeated lines with min_words or more."""
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     seat = Window.partitionBy(*KEY).orderBy("at")
-    runs = found.join(often, "h", "left_semi").withColumn("run", F.col("at") - F.row_number().over(seat))
+    runs = repeated_lines(found).withColumn("run", F.col("at") - F.row_number().over(seat))
     whole = runs.groupBy(*KEY, "run").agg(F.array_sort(F.collect_list(F.struct("at", "line", "h", "words"))).alias("x"), F.sum("words").alias("n"))
     return whole.filter(F.col("n") >= min_words).select(*KEY, F.col("x.at")[0].alias("start"), F.col("x.h").alias("hs"), F.col("x.words").alias("ws"), F.col("x.line").alias("ls"))
 
@@ -154,41 +174,131 @@ def longest_earlier(items: list[tuple], common: list[int]) -> list[int]:
     return best
 
 
+def prefix_length(a: list, b: list) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def staircase(steps: list[tuple[int, tuple]], most: int) -> list[tuple[int, tuple]]:
+    """(length, place), lengths rising: those that no step of the same length or longer beats, with lengths cut to most."""
+    out: list[tuple[int, tuple]] = []
+    for length, place in sorted(((min(n, most), p) for n, p in steps), key=lambda x: (-x[0], x[1])):
+        if length and (not out or place < out[-1][1]):
+            out.append((length, place))
+    return out[::-1]
+
+
+ENDLESS = 1 << 30
+
+
+class Ends:
+    """What a range of suffixes in order shows to those before and behind it."""
+
+    def __init__(self):
+        self.first = self.last = None
+        self.least = ENDLESS  # of all common prefixes inside
+        self.front: list[tuple[int, tuple]] = []
+        self.back: list[tuple[int, tuple]] = []
+
+    def add(self, place: tuple, ahead: list) -> int:
+        """The next suffix; returns its common prefix with the one before."""
+        common = ENDLESS if self.first is None else prefix_length(self.last, ahead)
+        if self.first is None:
+            self.first = ahead
+        elif common < self.least:
+            self.least = common
+        if self.least and (not self.front or place < self.front[-1][1]):
+            self.front.append((self.least, place))
+        back = self.back if not self.back or self.back[-1][0] <= common else staircase(self.back, common)
+        while back and back[-1][1] >= place:
+            back.pop()
+        self.back = [*back, (ENDLESS, place)]
+        self.last = ahead
+        return 0 if common == ENDLESS else common
+
+
+def carried(ends: dict[int, Ends]) -> dict[int, tuple[list, list]]:
+    """For each range the steps of all suffixes before it, and of all behind it."""
+    order = sorted(ends)
+    before: dict[int, list] = {}
+    behind: dict[int, list] = {}
+    for way, out in ((order, before), (order[::-1], behind)):
+        steps: list[tuple[int, tuple]] = []
+        last = None
+        for k in way:
+            e = ends[k]
+            near, far, own = (e.first, e.last, e.back) if way is order else (e.last, e.first, e.front)
+            steps = staircase(steps, prefix_length(last, near)) if last is not None else []
+            out[k] = steps
+            steps = staircase([*own, *staircase(steps, e.least)], ENDLESS)
+            last = far
+    return {k: (before[k], behind[k]) for k in order}
+
+
+def place_of(row: dict) -> tuple:
+    return (int(row["doc_id"] is not None), row["doc_id"] or 0, row["th"], row["start"] + row["off"])
+
+
 def later_copies(ranked: DataFrame) -> DataFrame:
     """(doc_id, th, first, last): line numbers of later copies, from suffixes with their ranks."""
+    order = ["rank", *KEY, "start", "off"]
+    columns = ["doc_id", "th", "start", "off", "least", "ahead", "ls"]
+
+    def numbered(batches):
+        part, k, ends, schema = TaskContext.get().partitionId(), 0, Ends(), None
+        for batch in batches:
+            n = batch.num_rows
+            for row in batch.select(["doc_id", "th", "start", "off", "ahead"]).to_pylist():
+                ends.add(place_of(row), row["ahead"])
+            extra = [pa.array(np.full(n, part), pa.int64()), pa.array(np.arange(k, k + n)), pa.nulls(n, pa.string())]
+            out = pa.RecordBatch.from_arrays([*batch.select(columns).columns, *extra], names=[*columns, "part", "k", "ends"])
+            schema = out.schema
+            yield out
+            k += n
+        if k:
+            shown = json.dumps([ends.first, ends.last, ends.least, ends.front, ends.back])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, schema.field(c).type) for c in columns), pa.array([part], pa.int64()), pa.array([-1], pa.int64()), pa.array([shown])], schema=schema)
+
+    kinds = "doc_id long, th long, start int, off int, least int, ahead array<long>, ls array<int>"
+    sorted_rows = saved(ranked.select(*columns, "rank").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, f"{kinds}, part long, k long, ends string"))
+    ends = {}
+    steps = lambda x: [(n, tuple(p)) for n, p in x]
+    for r in sorted_rows.filter("k = -1").select("part", "ends").collect():  # a row for each range
+        e = ends[r["part"]] = Ends()
+        first, last, least, front, back = json.loads(r["ends"])
+        e.first, e.last, e.least, e.front, e.back = first, last, least, steps(front), steps(back)
+    outside = ranked.sparkSession.sparkContext.broadcast(carried(ends))
 
     def rows(batches):
-        group, key = [], None
+        group, part = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["g"] != key:
-                    if len(group) > 1:
-                        yield solve(group)
-                    group, key = [], row["g"]
+                if row["part"] != part:
+                    if group:
+                        yield solve(group, part)
+                    group, part = [], row["part"]
                 group.append(row)
-        if len(group) > 1:
-            yield solve(group)
-
-    def solve(group):
-        places = [(r["doc_id"] is not None, r["doc_id"] or 0, r["th"], r["start"] + r["off"]) for r in group]
-        common = [0]
-        for a, b in zip(group, group[1:]):
-            n = 0
-            for x, y in zip(a["ahead"], b["ahead"]):
-                if x != y:
-                    break
-                n += 1
-            common.append(n)
+        if group:
+            yield solve(group, part)
+
+    def solve(group, part):
+        before, behind = outside.value[part]
+        # steps stand as suffixes of their own, the nearest with the longest common prefix
+        places = [p for _, p in before] + [place_of(r) for r in group] + [p for _, p in behind[::-1]]
+        common = [0] + [n for n, _ in before] + [prefix_length(a["ahead"], b["ahead"]) for a, b in zip(group, group[1:])] + [n for n, _ in behind[::-1]]
         out: dict[str, list] = {name: [] for name in schema.names}
-        for r, n in zip(group, longest_earlier(places, common)):
+        for r, n in zip(group, longest_earlier(places, common)[len(before) :]):
             if n >= r["least"]:
                 for name, x in zip(schema.names, (r["doc_id"], r["th"], r["ls"][0], r["ls"][n - 1])):
                     out[name].append(x)
         return pa.RecordBatch.from_pydict(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-    window = F.xxhash64(F.slice("ahead", F.lit(1), F.col("least")))
-    dealt = ranked.withColumn("g", window).repartition("g").sortWithinPartitions("g", "rank", *KEY, "start", "off")
+    dealt = sorted_rows.filter("k >= 0").drop("ends").repartition("part").sortWithinPartitions("part", "k")
     return dealt.mapInArrow(rows, "doc_id long, th long, first int, last int")
 
 
@@ -224,9 +334,11 @@ def without_lines(text: str, runs: list[dict]) -> str:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, their other columns as they are, with n_lines and n_deleted and the text without later copies.
 
-    Texts are split at newlines.  A null text stays null; an empty one has no
-    line.  All rows of docs stay, also those that lose every line.  Columns of
-    docs named n_lines or n_deleted give way.
+    Texts are split at newlines and may be of any length.  A null text stays null;
+    an empty one has no line.  All rows of docs stay, also those that lose every
+    line; rows alike in doc_id and text are one document and come out alike, as many
+    as they were.  An empty table gives no rows.  Columns of docs named n_lines or
+    n_deleted give way to those made here.
     """
     made = ("n_lines", "n_deleted")
     names = [c for c in docs.columns if c not in made]

@@ -778,6 +778,31 @@ def test_op9_lines(spark, seed, least):
     assert line_dedup.dedup_lines(df.limit(0), least).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_op9_ranges_of_suffixes(seed):
+    """Steps that are passed on between ranges give what one list of all suffixes gives."""
+    r = random.Random(seed)
+    suffixes = sorted([r.randint(0, 1) for _ in range(r.randint(1, 6))] for _ in range(60))
+    places = [(1, r.randint(0, 30), 0, k) for k in range(60)]
+    common = [0] + [line_dedup.prefix_length(a, b) for a, b in zip(suffixes, suffixes[1:])]
+    expected = line_dedup.longest_earlier(places, common)
+    brute = [max([min(common[min(j, k) + 1 : max(j, k) + 1]) for j in range(60) if places[j] < places[k]], default=0) for k in range(60)]
+    assert expected == brute
+    cuts = sorted({0, 60, *[r.randint(1, 59) for _ in range(r.randint(0, 15))]})
+    ends = {}
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        ends[part] = line_dedup.Ends()
+        assert [ends[part].add(places[k], suffixes[k]) for k in range(a, b)][1:] == common[a + 1 : b]
+    carried, got = line_dedup.carried(ends), []
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        before, behind = carried[part]
+        some = [p for _, p in before] + places[a:b] + [p for _, p in behind[::-1]]
+        lengths = [0] + [n for n, _ in before] + common[a + 1 : b] + [n for n, _ in behind[::-1]]
+        got += line_dedup.longest_earlier(some, lengths)[len(before) : len(before) + b - a]
+        assert all(len(x) <= 7 for x in carried[part])
+    assert got == expected
+
+
 # SimHash
 
 
