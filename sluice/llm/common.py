@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has made, oldest first.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
@@ -32,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="sluice-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    MADE.append(f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def saved(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -50,6 +55,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession, since: int, *keep: str) -> None:
+    """Delete the folders made since there were so many, but for those to keep."""
+    for path in MADE[since:]:
+        if path not in keep:
+            remove(spark, path)
+    MADE[since:] = [p for p in MADE[since:] if p in keep]
+
+
 def file_range(spark: SparkSession, file: str, at: int, n: int) -> bytes:
     """n bytes of a file from at on, through Spark's own file systems; nothing else of it is read."""
     jvm = spark.sparkContext._jvm

@@ -331,16 +331,15 @@ def without_lines(text: str, runs: list[dict]) -> str:
     return "\n".join(x for x, g in zip(rows, gone) if not g)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, made: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
     """The rows of docs, their other columns as they are, with n_lines and n_deleted and the text without later copies.
 
     Texts are split at newlines and may be of any length.  A null text stays null;
     an empty one has no line.  All rows of docs stay, also those that lose every
     line; rows alike in doc_id and text are one document and come out alike, as many
-    as they were.  An empty table gives no rows.  Columns of docs named n_lines or
-    n_deleted give way to those made here.
+    as they were.  An empty table gives no rows.  made names the two
+    columns; columns of docs so named give way.
     """
-    made = ("n_lines", "n_deleted")
     names = [c for c in docs.columns if c not in made]
     runs = runs_to_delete(docs, min_words).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("sluice_id"), F.col("th").alias("sluice_th"), F.col("runs").alias("sluice_runs"))
@@ -353,8 +352,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             texts = [t if not r else without_lines(t, r) for t, r in zip(old, batch.column("sluice_runs").to_pylist())]
             n, left = ([t.count("\n") + 1 if t else 0 for t in x] for x in (old, texts))
             columns = {f: batch.column(f) for f in names} | {"text": pa.array(texts, pa.string())}
-            columns |= {"n_lines": pa.array(n, pa.int64()), "n_deleted": pa.array([a - b for a, b in zip(n, left)], pa.int64())}
+            columns |= {made[0]: pa.array(n, pa.int64()), made[1]: pa.array([a - b for a, b in zip(n, left)], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return joined.select(*[f"`{c}`" for c in names], "sluice_runs").mapInArrow(cut, f"{kinds}, n_lines long, n_deleted long")
+    return joined.select(*[f"`{c}`" for c in names], "sluice_runs").mapInArrow(cut, f"{kinds}, {made[0]} long, {made[1]} long")

@@ -897,3 +897,31 @@ def test_pipeline_stages(spark):
             n, c = crc[d, at]
             assert zlib.crc32(x[at : at + n].tobytes()) == c
             at += n
+
+
+def test_pipeline_edge_cases(spark, docs, empty):
+    sf = "/root/testdata/sf0.001"
+    for rows in (docs, empty):
+        ids, now = {r["doc_id"] for r in rows.collect()}, rows
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, sf)
+            if k < 4:
+                assert now.columns == rows.columns and now.dtypes == rows.dtypes
+                now = now.cache()
+            assert {r["doc_id"] for r in now.select("doc_id").collect()} <= ids
+        assert (now.count() > 0) == bool(ids)
+    odd = table(spark, [(1, None), (None, None), (2, ""), (2, ""), (3, "a few words")])
+    assert corpus_pipeline.without_leaks(spark, odd, sf).count() == 5
+    assert corpus_pipeline.without_repeated_runs(spark, odd, sf).count() == 5
+    kept = corpus_pipeline.one_of_each_group(spark, odd, sf).collect()
+    assert Counter(r["doc_id"] for r in kept) == {1: 1, 3: 1}
+    pieces = corpus_pipeline.packed(spark, odd, sf).collect()
+    assert sum(r["length"] for r in pieces) == 4 + 4
+
+
+def test_pipeline_leaves_no_folders(spark, monkeypatch):
+    from sluice.llm import common
+
+    monkeypatch.setattr(common, "MADE", [])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(common.MADE) == 1
