@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,10 +52,8 @@ HEAD_PARTS = frozenset("title script style meta link base template noscript head
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>?)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-#: Elements nested deeper become children of the one at this depth.
-DEPTH = 150
-#: Columns wider than this are not padded; spans are at most this many columns.
-PAD, SPAN = 60, 1000
+#: Lines of a cell are wrapped at blanks to this width; spans are at most this many columns.
+CELL, SPAN = 60, 1000
 
 
 class Node:
@@ -68,31 +69,46 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in reversed(list(ATTRIBUTE.finditer(source)))}
 
 
+class Open(list):
+    """The open elements, the root first, and how many there are of each name."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.count: Counter = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        while len(self) > k:
+            self.count[self.pop().tag] -= 1
+
+
 def parse(source: str) -> Node:
     """The tree of a page: html, with a head and a body where there is anything for them."""
     root = Node("html")
-    stack = [root]
+    stack = Open(root)
 
     def close(names, scope) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in scope:
+        while any(stack.count[n] for n in names):
+            k = next(k for k in range(len(stack) - 1, -1, -1) if not k or stack[k].tag in scope or stack[k].tag in names)
+            if not k or stack[k].tag in scope:
                 return
-            if stack[k].tag in names:
-                del stack[k:]
-                return close(names, scope)
+            stack.cut(k)
 
     def open_(tag: str, attrs: dict[str, str], keep: bool = True) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if keep and len(stack) < DEPTH:
-            stack.append(node)
+        if keep:
+            stack.push(node)
         return node
 
     def into_body() -> None:
         if len(stack) == 1 or stack[1].tag == "head":
-            del stack[1:]
+            stack.cut(1)
             if root.children and isinstance(root.children[-1], Node) and root.children[-1].tag == "body":
-                stack.append(root.children[-1])
+                stack.push(root.children[-1])
             else:
                 open_("body", {})
 
@@ -141,13 +157,13 @@ def parse(source: str) -> Node:
                 open_("head", {})
         if tag in CLOSES:
             close(*CLOSES[tag])
-        if tag in BLOCKS and any(x.tag == "p" for x in stack):
+        if tag in BLOCKS:
             close({"p"}, P_SCOPE)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            stack.cut(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             open_("tr", {})
-        foreign = (tag in FOREIGN_UNSHOWN or m[3].endswith("/")) and any(x.tag in FOREIGN for x in stack)
+        foreign = (tag in FOREIGN_UNSHOWN or m[3].endswith("/")) and any(stack.count[x] for x in FOREIGN)
         if foreign and tag in FOREIGN_UNSHOWN:
             attrs["hidden"] = ""
         if tag in VOID or foreign and m[3].endswith("/"):
@@ -163,12 +179,14 @@ def parse(source: str) -> Node:
     return root
 
 
-def end(stack: list[Node], tag: str) -> None:
+def end(stack: Open, tag: str) -> None:
     """Close the innermost open element of this name, unless a block or a cell bars an inline or foreign one."""
+    if not (any(stack.count[x] for x in HEADINGS) if tag in HEADINGS else stack.count[tag]):
+        return
     for k in range(len(stack) - 1, 0, -1):
         name = stack[k].tag
         if name == tag or tag in HEADINGS and name in HEADINGS:
-            del stack[k:]
+            stack.cut(k)
             return
         if name in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
             return
@@ -222,6 +240,15 @@ def removed(node: Node) -> bool:
     return tag == "input" and a.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in a
 
 
+def visible(node: Node, shown: bool) -> bool:
+    """Whether a node's own text is shown: as its style says, else as its parent's."""
+    style = style_of(node) if "style" in node.attributes else ""
+    if "visibility:" not in style:
+        return shown
+    value = style.rpartition("visibility:")[2]
+    return shown if value.startswith("inherit") else not value.startswith(("hidden", "collapse"))
+
+
 def layout(node: Node, out: Lines, shown: bool = True, listed: int = 0) -> None:
     """Lay out a node's children; shown: not under visibility:hidden; listed: lists around."""
     closed = node.tag == "details" and "open" not in node.attributes
@@ -233,45 +260,40 @@ def layout(node: Node, out: Lines, shown: bool = True, listed: int = 0) -> None:
         tag = child.tag
         if removed(child) or closed and tag != "summary":
             continue
-        visible = shown
-        if child.attributes:
-            style = style_of(child)
-            if "visibility:" in style:
-                visible = "visibility:hidden" not in style and "visibility:collapse" not in style
+        seen = visible(child, shown)
         if tag == "br":
             out.line_break()
         elif tag == "wbr" or tag == "img":
             pass
         elif tag == "input":
-            if visible and child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
+            if seen and child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
                 out.open.append(child.attributes.get("value", ""))
         elif tag in ("pre", "listing", "textarea", "plaintext", "xmp"):
             out.edge(tag != "textarea")
-            if visible:
-                out.put(preformatted(child))
+            out.put(preformatted(child, seen))
             out.edge(tag != "textarea")
         elif tag == "table":
             out.edge(True)
-            out.put(table(child, visible, listed))
+            out.put(table(child, seen, listed))
             out.edge(True)
         elif tag in LISTS:
             out.edge(not listed)
-            items(child, out, visible, listed + 1)
+            items(child, out, seen, listed + 1)
             out.edge(not listed)
         elif tag in ("blockquote", "dd"):
             out.edge(tag == "blockquote")
-            out.put(inside(child, visible, listed, "    " if tag == "dd" else "> "))
+            out.put(inside(child, seen, listed, "    " if tag == "dd" else "> "))
             out.edge(tag == "blockquote")
         elif tag in ("text", "mtd"):  # labels of drawings and cells of formulas stand apart
             out.open.append(" ")
-            layout(child, out, visible, listed)
+            layout(child, out, seen, listed)
             out.open.append(" ")
         elif tag in BLOCKS or tag in TABLE_PARTS:
             out.edge(tag in SPACED)
-            layout(child, out, visible, listed)
+            layout(child, out, seen, listed)
             out.edge(tag in SPACED)
         else:
-            layout(child, out, visible, listed)
+            layout(child, out, seen, listed)
 
 
 def inside(node: Node, shown: bool, listed: int, prefix: str = "") -> list[str]:
@@ -283,19 +305,19 @@ def inside(node: Node, shown: bool, listed: int, prefix: str = "") -> list[str]:
     return [(prefix + x).rstrip(" ") for x in part.lines] if prefix else part.lines
 
 
-def preformatted(node: Node) -> list[str]:
+def preformatted(node: Node, shown: bool) -> list[str]:
     parts: list[str] = []
 
-    def gather(x: Node) -> None:
+    def gather(x: Node, seen: bool) -> None:
         for c in x.children:
             if isinstance(c, str):
-                parts.append(c)
+                parts.append(c if seen else "")
             elif c.tag == "br":
                 parts.append("\n")
             elif not removed(c):
-                gather(c)
+                gather(c, visible(c, seen))
 
-    gather(node)
+    gather(node, shown)
     lines = "".join(parts).replace("\r\n", "\n").expandtabs(8).split("\n")
     while lines and not lines[0].strip():
         lines.pop(0)
@@ -305,7 +327,7 @@ def preformatted(node: Node) -> list[str]:
 
 
 def items(node: Node, out: Lines, shown: bool, listed: int) -> None:
-    """A list: numbers or bullets, what follows a marker's line indented below it."""
+    """A list: numbers or bullets, what follows a marker's line indented below it; a hidden item counts but has no marker."""
     start = node.attributes.get("start", "1")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for child in node.children:
@@ -327,8 +349,11 @@ def items(node: Node, out: Lines, shown: bool, listed: int) -> None:
             number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
             marker = f"{number}. "
             number += 1
-        lines = inside(child, shown, listed)
-        if lines:
+        seen = visible(child, shown)
+        lines = inside(child, seen, listed)
+        if not seen:
+            out.put(lines)
+        elif lines:
             out.put([marker + lines[0], *[(" " * len(marker) + x).rstrip(" ") for x in lines[1:]]])
 
 
@@ -337,34 +362,59 @@ def span(cell: Node, name: str) -> int:
     return min(SPAN, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
 
 
-def table(node: Node, shown: bool, listed: int) -> list[str]:
-    """Caption and rows; head first and foot last; cells in their columns, padded to the widest."""
-    head, body, foot, before = [], [], [], []
+def wrapped(lines: list[str]) -> list[str]:
+    """Lines cut at single blanks to CELL characters or fewer, as far as their words allow."""
+    out = []
+    for line in lines:
+        while len(line) > CELL and "  " not in line.strip(" "):
+            indent = len(line) - len(line.lstrip(" "))
+            k = line.rfind(" ", indent + 1, CELL + 1)
+            k = k if k > 0 else line.find(" ", CELL)
+            if k < 0:
+                break
+            out.append(line[:k])
+            line = " " * indent + line[k + 1 :]
+        out.append(line)
+    return out
 
-    def take(x: Node, rows: list[Node]) -> None:
+
+def table(node: Node, shown: bool, listed: int) -> list[str]:
+    """Caption and rows; head first and foot last; cells in their columns, which are as wide as their widest line.
+
+    Cells are wrapped to CELL; a line that stays longer has the cells behind it on
+    the next line, so columns are aligned whatever a cell holds.
+    """
+    head: list[tuple[Node, bool]] = []
+    body: list[tuple[Node, bool]] = []
+    foot: list[tuple[Node, bool]] = []
+    before: list[str] = []
+
+    def stray(children: list, seen: bool) -> None:
+        holder = Node("div")
+        holder.children = children
+        before.extend(inside(holder, seen, listed))
+
+    def take(x: Node, rows: list[tuple[Node, bool]], seen: bool) -> None:
         """Rows of a table or a part of one; what is neither a row nor a cell goes in front."""
         for child in x.children:
             if isinstance(child, str):
-                if shown and child.strip(" \t\n\f\r"):
-                    before.append(SPACE.sub(" ", child).strip(" "))
+                if child.strip(" \t\n\f\r"):
+                    stray([child], seen)
             elif removed(child):
                 continue
             elif child.tag == "tr":
-                rows.append(child)
-                strays = Node("div")
-                strays.children = [c for c in child.children if isinstance(c, str) and c.strip(" \t\n\f\r")]
-                before.extend(inside(strays, shown, listed) if strays.children else ())
+                own = visible(child, seen)
+                rows.append((child, own))
+                stray([c for c in child.children if isinstance(c, str) and c.strip(" \t\n\f\r")], own)
             elif x is node and child.tag in ("thead", "tbody", "tfoot"):
-                take(child, {"thead": head, "tfoot": foot}.get(child.tag, body))
+                take(child, {"thead": head, "tfoot": foot}.get(child.tag, body), visible(child, seen))
             elif child.tag not in ("colgroup", "col"):
-                holder = Node("div")
-                holder.children = [child]
-                before.extend(inside(holder, shown, listed))
+                stray([child], seen)
 
-    take(node, body)
+    take(node, body, shown)
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell from above still fills
-    for row in head + body + foot:
+    for row, seen in head + body + foot:
         cells, column = [], 0
         for cell in row.children:
             if isinstance(cell, str) or removed(cell):
@@ -372,8 +422,7 @@ def table(node: Node, shown: bool, listed: int) -> list[str]:
             while taken.get(column, 0) > 0:
                 column += 1
             width, down = span(cell, "colspan"), span(cell, "rowspan")
-            visible = shown and "visibility:hidden" not in style_of(cell)
-            cells.append((column, width, inside(cell, visible, listed)))
+            cells.append((column, width, wrapped(inside(cell, visible(cell, seen), listed))))
             if down > 1:
                 for k in range(column, column + width):
                     taken[k] = down
@@ -384,30 +433,58 @@ def table(node: Node, shown: bool, listed: int) -> list[str]:
     for cells in grid:
         for column, width, lines in cells:
             if width == 1:
-                widths[column] = max(widths.get(column, 0), min(PAD, max(map(len, lines), default=0)))
+                widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= CELL), default=1 if lines else 0))
+    starts: dict[int, int] = {}
+    at = 0
+    for column in sorted(widths):
+        starts[column] = at
+        at += widths[column] + 2 if widths[column] else 0
+    columns = list(starts)
     out = list(before)
     for cells in grid:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
             for column, _, lines in cells:
-                indent = sum(w + 2 for c, w in widths.items() if c < column and w)
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(indent) if len(line) < indent else line + ("  " if line else "")
-                    line += lines[k]
+                    here = bisect_left(columns, column)
+                    indent = starts[columns[here]] if here < len(columns) else at
+                    if line and len(line) + 2 > indent:
+                        out.append(line)
+                        line = ""
+                    line = line.ljust(indent) + lines[k]
             out.append(line)
     return out
 
 
+def depth_of(root: Node) -> int:
+    most, todo = 0, [(root, 1)]
+    while todo:
+        node, depth = todo.pop()
+        most = max(most, depth)
+        todo += [(c, depth + 1) for c in node.children if isinstance(c, Node)]
+    return most
+
+
 def visible_text(source: str | None) -> str:
     """The visible text of a page; nothing for a null or empty one."""
     if not source:
         return ""
-    lines = inside(parse(source.replace("\0", "�")), True, 0)
-    return "\n".join(lines)
+    root = parse(source.replace("\0", "�"))
+    limit, needed = sys.getrecursionlimit(), 8 * depth_of(root) + 2000
+    if needed > limit:  # frames of Python functions lie on the heap, so depth is no danger
+        sys.setrecursionlimit(needed)
+    try:
+        return "\n".join(inside(root, True, 0))
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
-    """(key, text) of each row; null pages give an empty text, repeated rows stay, an empty table gives none."""
+    """(key, text) of each row; null and empty pages give an empty text, repeated rows stay, an empty table gives none.
+
+    Pages of any length and depth are laid out as a whole; other columns, however
+    named, are not looked at.
+    """
     kind = dict(pages.dtypes)[key]
 
     def rows(batches):
