@@ -31,7 +31,7 @@ MAX_BITS = 3
 POSTINGS, MINIMUM = list(combinations(range(8), 3)), 10
 SUBSETS = list(combinations(range(8), 8 - MAX_BITS))
 #: Fingerprints of a posting from which it is solved by the longer ones.
-HOT = 64
+HOT = 8
 #: Above this a posting is probed by flipped bits instead of compared all with all.
 PROBE_FROM = 60_000
 

@@ -919,7 +919,7 @@ def test_op10_close_sets(probe):
     assert len({(int(values[g]), expected[v]) for g, v in zip(got, values.tolist())}) == len(set(got.tolist())) == len(set(expected.values()))
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 2])
+@pytest.mark.parametrize("hot", [64, simhash.HOT, 2])
 def test_op10_links_and_chains(spark, hot):
     r = random.Random(4)
     chain = [r.getrandbits(64)]
