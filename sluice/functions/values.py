@@ -52,13 +52,16 @@ PAIR = r"""([A-Za-z_][\w.\-]*)=("[^"]*"|'[^']*'|[^\s,;]+)"""
 
 
 def key_values(c: Column) -> Column:
-    """A map of the cell's key=value pairs: the last of a repeated key wins, quotes are stripped."""
+    """The cell's key=value pairs as (k, v), the last one first, quotes stripped."""
     keys = F.regexp_extract_all(c, F.lit(PAIR), F.lit(1))
     values = F.transform(F.regexp_extract_all(c, F.lit(PAIR), F.lit(2)), lambda v: F.regexp_replace(v, r"""\A(["'])(.*)\1\z""", "$2"))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
-    return F.map_from_entries(last)
+    return F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
+
+
+def pair_value(pairs: Column, key: str) -> Column:
+    """The value of a key among ``key_values``: the last of a repeated key wins; empty where there is none."""
+    return F.coalesce(F.get(F.filter(pairs, lambda p: p["k"] == key), 0)["v"], F.lit(""))
 
 
 def key_value(c: Column, key: str) -> Column:
-    return F.coalesce(F.try_element_at(key_values(c), F.lit(key)), F.lit(""))
+    return pair_value(key_values(c), key)

@@ -40,15 +40,23 @@ def add_computed(df: DataFrame, computed: tuple[Computed, ...]) -> DataFrame:
     """In their order, so later ones may use earlier ones, before the metadata columns.
 
     Names that exist are left alone, but for substitutions and time formats,
-    which change their column.
+    which change their column.  A cell's key=value pairs are found once for all keys.
     """
+    pairs: dict[str, str] = {}
     for c in computed:
         if c.source not in df.columns:
             continue
         if c.kind in ("substitute", "time"):
             df = df.withColumn(c.source, computed_column(c))
+            pairs.pop(c.source, None)
+        elif c.name not in df.columns and c.kind == "kv":
+            if c.source not in pairs:
+                pairs[c.source] = f"_kv_{len(pairs)}_{c.source}"
+                df = df.withColumn(pairs[c.source], key_values(cell(c.source)))
+            df = df.withColumn(c.name, pair_value(F.col(f"`{pairs[c.source]}`"), c.argument))
         elif c.name not in df.columns:
             df = df.withColumn(c.name, computed_column(c))
+    df = df.drop(*[x for x in df.columns if x.startswith("_kv_")])
     meta = [x for x in df.columns if x not in data_columns(df)]
     return df.select(*[f"`{x}`" for x in (*data_columns(df), *meta)])
 

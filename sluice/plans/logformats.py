@@ -110,6 +110,7 @@ KINDS = (
     ("kv", r"\w+=\S+", r"\w+=\S+"),
     ("level", r"(?i:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|CRITICAL|FATAL|SEVERE):?", r"\w+:?"),
     ("logger", r"[A-Za-z_]\w*(?:[.:]{1,2}\w+)+", r"\S+"),
+    ("severity", r"[IWEFD]", r"[A-Z]"),
     ("status", r"[1-5]\d{2}", r"\d{3}"),
     ("number", r"-?\d+(?:\.\d+)?", r"-?\d+(?:\.\d+)?"),
 )
@@ -127,38 +128,89 @@ def tokens(line: str, separator: str) -> list[str]:
 def separator_of(lines: list[str]) -> str:
     if all("\t" in x for x in lines):
         return "\t"
-    return next((s for s in (" - ", " | ") if sum(x.count(s) >= 2 for x in lines) >= 0.8 * len(lines)), " ")
+    return next((s for s in (" - ", " | ") if sum(x.count(s) >= 3 for x in lines) >= 0.8 * len(lines)), " ")
 
 
-def infer_pattern(lines: list[str], share: float = 0.7, least: float = 0.6) -> LogFormat | None:
-    """A pattern with a group for each leading token of one kind and one for the message, if most lines match."""
-    rows = [x for x in lines if x.strip()]
+def shape(token: str) -> str:
+    """Runs of letters as L, of digits as D, marks as they are."""
+    return re.sub(r"[^\W_]+", lambda m: re.sub(r"\d+", "D", re.sub(r"[^\W\d_]+", "L", m[0])), token)
+
+
+def named_kind(token: str) -> str | None:
+    """The kind of a token; brackets are named by what they hold."""
+    kind = classify(token)
+    if kind == "bracket":
+        inner = token[1:-1]
+        if re.search(r"\d{2}[:/.-]\d{2}", inner):
+            return "timestamp"
+        if classify(inner) == "level":
+            return "level"
+        return "thread" if re.match(r"[\w.-]+-\d+|main$|pool-", inner) else "tag"
+    return "request" if kind == "quoted" else kind
+
+
+def common_kind(some: list[str], share: float) -> tuple[str, str] | None:
+    """(name, what such a token looks like) of tokens at one place: by most votes, else by a shape with marks that all share."""
+    kinds = Counter((named_kind(t), classify(t)) for t in some)
+    (name, kind), n = kinds.most_common(1)[0]
+    if kind and n >= share * len(some):
+        return name, dict((k, look) for k, _, look in KINDS)[kind]
+    shapes = {shape(t) for t in some}
+    return ("field", "") if len(shapes) == 1 and re.search(r"[^LD]", min(shapes)) and len(min(shapes)) > 1 else None
+
+
+def infer_pattern(lines: list[str], share: float = 0.7, least: float = 0.6, fields: int = 2) -> LogFormat | None:
+    """A pattern with a group for each leading token of one kind and one for the message behind, if most lines match.
+
+    Where fewer than two tokens lead, the last tokens of one kind are taken, with the message in front.
+    """
+    rows = [x.strip() for x in lines if x.strip()]
     if len(rows) < 3:
         return None
     sep = separator_of(rows)
-    split = [tokens(r, sep) for r in rows]
-    names: list[str] = []
-    parts: list[str] = []
-    group = {name: look for name, _, look in KINDS}
-    for k in range(min(len(s) for s in split) - 1):
-        kind, n = Counter(classify(s[k].strip()) for s in split).most_common(1)[0]
-        if kind is None and sep == " " or n < share * len(rows):
-            break
-        name = kind or f"field_{k + 1}"
-        look = group.get(kind, r".+?" if sep != " " else r"\S+")
-        if name == "time" and names and names[-1] == "date" and sep == " ":
-            names[-1], parts[-1] = "timestamp", parts[-1] + " " + look
-            continue
-        names.append(name)
-        parts.append(look)
-    if not names:
+    split = [[t.strip() for t in tokens(r, sep)] for r in rows]
+    n = min(map(len, split))
+
+    def leading(places) -> list[tuple[str, str]]:
+        out = []
+        for k in places:
+            found = common_kind([s[k] for s in split], share)
+            if found is None:
+                break
+            out.append(found)
+        return out
+
+    parts, behind = leading(range(n)), True
+    if len(parts) < fields:
+        parts, behind = leading(range(-1, -n - 1, -1))[::-1], False
+    if len(parts) < fields:
         return None
+    other = {" ": r"\S+", "\t": r"[^\t]+"}.get(sep, rf"(?:(?!{re.escape(sep)}).)+?")
+    gap = {" ": r"\s+", "\t": r"\t"}.get(sep, re.escape(sep))
+    joined: list[tuple[str, str]] = []
+    for name, look in parts:
+        if name == "time" and joined and joined[-1][0] == "date":
+            joined[-1] = ("timestamp", joined[-1][1] + gap + look)
+        else:
+            joined.append((name, look or other))
     from .infer import unique_names
 
-    gap = {" ": r"\s+", "\t": r"\t"}.get(sep, re.escape(sep))
-    named = [f"(?P<{n}>{p})" for n, p in zip(unique_names(names), parts)]
-    pattern = gap.join([*named, MESSAGE])
+    names = unique_names([f"field_{k}" if name == "field" else name for k, (name, _) in enumerate(joined, 1)])
+    groups = gap.join(f"(?P<{n}>{look})" for n, (_, look) in zip(names, joined))
+    pattern = f"{groups}(?:{gap}{MESSAGE})?" if behind else rf"(?P<message>.*?){gap}{groups}\Z"
     known = re.compile(pattern)
     if sum(bool(known.match(r)) for r in rows) < least * len(rows):
         return None
     return LogFormat("inferred", pattern)
+
+
+def choose(lines: list[str], custom: tuple[LogFormat, ...] = (), sure: float = 0.8) -> LogFormat | None:
+    """The format to read lines by: the best named one, or an inferred one that fits nearly all lines where no named one does better."""
+    some = [x for x in lines if x.strip()]
+    found = candidates(lines, custom)
+    inferred = infer_pattern(lines)
+    if inferred:
+        share = sum(bool(re.match(inferred.pattern, x)) for x in some) / len(some)
+        if share >= sure and (not found or 100 * share + 2 * len(inferred.columns) > found[0][0]):
+            return inferred if not found else found[0][1]
+    return found[0][1] if found else None

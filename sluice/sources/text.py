@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import subprocess
 import sys
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +22,48 @@ SAMPLE = 20
 FILE_ORDER = 1 << 53
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """_raw, _ord, _arrival and _source of every line, files in the given order (up to a thousand)."""
+#: Files that are read one by one, so that their lines have their places at once; more are read as one.
+MANY = 1000
 
-    def one(k: int, path: str) -> DataFrame:
-        lines = spark.read.text(os.path.expanduser(path) if path.startswith("~") else path)
-        place = F.monotonically_increasing_id() + F.lit(k * FILE_ORDER)
-        return lines.select(F.col("value").alias("_raw"), place.alias(ORDER), F.current_timestamp().alias(ARRIVAL), F.lit(os.path.basename(path)).alias(SOURCE))
 
-    out = one(0, paths[0])
-    for k, path in enumerate(paths[1:], 1):
-        out = out.unionByName(one(k, path))
+def files_of(spark: SparkSession, *paths: str) -> list[str]:
+    """The files of paths, folders and globs: paths in the given order, the files of each by name."""
+    out: list[str] = []
+    for path in paths:
+        out += sorted(spark.read.text(os.path.expanduser(path) if path.startswith("~") else path).inputFiles())
+    return out
+
+
+def lines_of_file(spark: SparkSession, file: str, k: int = 0) -> DataFrame:
+    """_raw, _ord, _arrival and _source of every line of the k-th file."""
+    name = F.lit(unquote(os.path.basename(file)))
+    place = F.monotonically_increasing_id() + F.lit(k * FILE_ORDER)
+    return spark.read.text(unquote(file)).select(F.col("value").alias("_raw"), place.alias(ORDER), F.current_timestamp().alias(ARRIVAL), name.alias(SOURCE))
+
+
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """_raw, _ord, _arrival and _source of every line, by file and place.
+
+    Up to MANY files _ord is a number; of more files it is (file, block, row).
+    """
+    files = files_of(spark, *paths)
+    if len(files) > MANY:
+        lines = spark.read.text([os.path.expanduser(p) if p.startswith("~") else p for p in paths])
+        place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        return lines.select(F.col("value").alias("_raw"), place.alias(ORDER), F.current_timestamp().alias(ARRIVAL), F.col("_metadata.file_name").alias(SOURCE))
+    if not files:
+        return lines_of(spark, [])
+    return reduce(DataFrame.unionByName, [lines_of_file(spark, f, k) for k, f in enumerate(files)])
+
+
+def head(spark: SparkSession, files: list[str], n: int = SAMPLE) -> list[tuple]:
+    """(place, line) of the first n lines that aren't blank.  Spark reads the first blocks only."""
+    out: list[tuple] = []
+    for k, file in enumerate(files):
+        rows = lines_of_file(spark, file, k).filter("_raw != ''").limit(n - len(out)).collect()
+        out += [(r[ORDER], r["_raw"]) for r in rows]
+        if len(out) >= n:
+            break
     return out
 
 
@@ -52,14 +85,15 @@ def read_stdin(spark: SparkSession) -> DataFrame:
     return lines_of(spark, sys.stdin.read().splitlines())
 
 
-def first_lines(df: DataFrame, n: int = SAMPLE) -> list[tuple[int, str]]:
+def first_lines(df: DataFrame, n: int = SAMPLE) -> list[tuple]:
+    """(place, line) of the first lines of a table of lines; of files ``head`` reads no more than it needs."""
     return [(r[ORDER], r["_raw"]) for r in df.orderBy(ORDER).limit(n).select(ORDER, "_raw").collect()]
 
 
 def csv_cells(v: Column) -> Column:
     """Cells of a comma-separated line, quotes taken off and doubled ones made single."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), v), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    quoted = F.transform(raw, lambda x: F.when(x.rlike(r'(?s)\A".*"\z') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), v), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    quoted = F.transform(raw, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     return F.when(v.contains('"'), quoted).otherwise(F.split(v, ",", -1))
 
 
@@ -122,55 +156,120 @@ def json_document(df: DataFrame) -> DataFrame:
     return rows.select(F.regexp_replace("_raw", r"\s*\n\s*", " ").alias("_raw"), F.col("k").cast("long").alias(ORDER)).withColumn(ARRIVAL, F.current_timestamp()).withColumn(SOURCE, F.lit(""))
 
 
-def skip_preamble(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON lines after text: (from the first object on, the lines before it)."""
-    start = df.filter(F.from_json("_raw", "map<string,string>").isNotNull() & F.ltrim("_raw").startswith("{")).agg(F.min(ORDER).alias("_s")).scalar()
-    return df.filter(F.col(ORDER) >= start), df.filter(start.isNull() | (F.col(ORDER) < start))
+def is_object(line: str) -> bool:
+    return isinstance(infer.loads(line.strip().rstrip(",")), dict)
+
+
+def first_object(df: DataFrame) -> tuple | None:
+    """(place, line) of the first line that is a JSON object; reading ends where one is found."""
+    found = df.filter(F.ltrim("_raw").startswith("{") & F.from_json(F.regexp_replace("_raw", r",\s*\z", ""), "map<string,string>").isNotNull())
+    row = found.select(ORDER, "_raw").orderBy(ORDER).first()
+    return (row[ORDER], row["_raw"]) if row else None
+
+
+def skip_preamble(df: DataFrame, start) -> tuple[DataFrame, DataFrame]:
+    """(lines from a place on, the lines before it)."""
+    return df.filter(F.col(ORDER) >= F.lit(start)), df.filter(F.col(ORDER) < F.lit(start))
 
 
-def open_table(df: DataFrame, delimiter: str | None = None, detect_logs: bool = False, merged: bool = False) -> tuple[DataFrame, Layout]:
+def json_lines(df: DataFrame, found: list[tuple], asked: bool) -> tuple[DataFrame, list[tuple]] | None:
+    """Lines as JSON, from the first object on, with a sample of them; None if they aren't JSON.
+
+    Lines are JSON if half of the sample or more are objects, whatever stands before
+    and between them, or if a sample that begins like JSON is no document of lines.
+    asked: the user said so; then the first object may come later, and lines without
+    an object are one document.
+    """
+    rows = [(k, x) for k, x in found if x.strip() not in ("[", "]", "[]")]
+    objects = [(k, x) for k, x in rows if is_object(x)]
+    if not objects and asked and (later := first_object(df)):
+        return skip_preamble(df, later[0])[0], [later]
+    if objects and (asked or 2 * len(objects) >= len(rows)):
+        start = objects[0][0]
+        return (df if rows[0][0] == start else skip_preamble(df, start)[0]), objects
+    if rows and (asked or infer.is_json_start([x for _, x in found])):
+        document = json_document(df)
+        sample = first_lines(document)
+        return (document, sample) if sample and is_object(sample[0][1]) else None
+    return None
+
+
+def open_table(
+    df: DataFrame, delimiter: str | None = None, detect_logs: bool = False, sample: list[tuple] | None = None, repeated: tuple = (), custom: tuple = ()
+) -> tuple[DataFrame, Layout]:
     """Lines as a table: layout from the first lines, header and preamble left out, blank lines dropped.
 
-    merged: the header also where a later file repeats it.
+    sample: (place, line) of the first lines, if the caller has them.  repeated:
+    places where files behind the first repeat the header; a line there that equals
+    it is dropped.  custom: log formats that are tried before the known ones.
+    An inferred layout that doesn't fit is changed by ``relayout``.  Lines that
+    don't fit the layout come with _ok false.
     """
-    found = [(k, x) for k, x in first_lines(df.filter("_raw != ''"))]
+    found = [(k, x) for k, x in (sample if sample is not None else first_lines(df.filter("_raw != ''"), LOOKED_AT)) if x != ""]
+    rest, found = found, found[:SAMPLE]
     lines = [x for _, x in found]
-    if delimiter is None and infer.is_json_start(lines) and not infer.is_json(lines):
-        df = json_document(df)
-        found = first_lines(df)
-        lines = [x for _, x in found]
+    asked = delimiter is not None and infer.parse_delimiter(delimiter) == "json"
+    if delimiter is None or asked:
+        as_json = json_lines(df, found, asked)
+        if as_json:
+            df, objects = as_json
+            layout = infer.infer_layout([x for _, x in objects], "json")
+            return parse(df.filter((F.col("_raw") != "") & ~F.trim("_raw").isin("[", "]", "[]")), layout), layout
     if delimiter is None and detect_logs:
-        from ..plans.logformats import detect
+        from ..plans.logformats import choose
 
-        fmt = detect(lines)
+        fmt = choose(lines, custom)
         if fmt and infer.infer_delimiter(lines) in ("raw", "  ", ","):
             delimiter = fmt.pattern
     layout = infer.infer_layout(lines, delimiter)
+    if delimiter is None:
+        layout, found = relayout(layout, found, rest)
     rows = df.filter("_raw != ''")
     if layout.header is not None and found:
-        head_order, head = found[layout.header]
-        rows = rows.filter(F.col(ORDER) > head_order)
-        if merged:
-            rows = rows.filter(F.col("_raw") != head)
-    elif layout.delimiter == "json":
-        rows = rows.filter(~F.trim("_raw").isin("[", "]", "[]"))
+        head_order, first = found[layout.header]
+        rows = rows.filter(F.col(ORDER) > F.lit(head_order))
+        if repeated:
+            rows = rows.filter(~(F.col(ORDER).isin(list(repeated)) & (F.col("_raw") == first)))
     return parse(rows, layout), layout
 
 
+#: Lines that say whether an inferred layout fits.
+LOOKED_AT = 200
+
+
+def relayout(layout: Layout, found: list[tuple], rest: list[tuple], share: float = 0.3, least: int = 3) -> tuple[Layout, list[tuple]]:
+    """(layout, the sample that its header is in): where 3 lines and more than 0.3 of all looked at don't fit, one from the largest group of lines with as many words."""
+    if layout.delimiter in ("raw", "json") or infer.is_pattern(layout.delimiter) or layout.header is None:
+        return layout, found
+    n = len(layout.names)
+    fits = lambda x: bool(layout.offsets) or len(infer.fields(x, layout.delimiter, layout.most)) == n
+    body = rest[layout.header + 1 :]
+    bad = [(k, x) for k, x in body if x.strip() and not fits(x)]
+    if len(bad) < least or len(bad) <= share * len(body):
+        return layout, found
+    usual, _ = infer.commonest([len(x.split()) for _, x in bad])
+    major = [(k, x) for k, x in bad if len(x.split()) == usual]
+    new = infer.infer_layout([x for _, x in major])
+    return (layout, found) if new.delimiter in ("raw", layout.delimiter) else (new, major)
+
+
+def open_files(spark: SparkSession, paths: list[str], delimiter: str | None = None, detect_logs: bool = False, custom: tuple = ()) -> tuple[DataFrame, Layout]:
+    """One path, folder or glob as a table; of a folder's files each may repeat the header."""
+    files = files_of(spark, *paths)
+    if len(files) > MANY:
+        return open_table(read_lines(spark, *paths), delimiter, detect_logs, custom=custom)
+    starts = tuple(h[0][0] for k, f in enumerate(files) if k and (h := head_of(spark, f, k, 1)))
+    return open_table(read_lines(spark, *paths), delimiter, detect_logs, head(spark, files, LOOKED_AT), starts, custom)
+
+
+def head_of(spark: SparkSession, file: str, k: int, n: int) -> list[tuple]:
+    return [(r[ORDER], r["_raw"]) for r in lines_of_file(spark, file, k).filter("_raw != ''").limit(n).collect()]
+
+
 def open_merged(spark: SparkSession, paths: list[str], delimiter: str | None = None) -> tuple[DataFrame, Layout]:
     """Several files as one table with _source; raw if they aren't delimited alike."""
     if delimiter is None:
-        kinds = {infer.infer_delimiter([x for _, x in first_lines(read_lines(spark, p), 15)]) for p in paths}
+        heads = [head_of(spark, f, k, 15) for k, f in enumerate(files_of(spark, *paths))]
+        kinds = {infer.infer_delimiter([x for _, x in h]) for h in heads if h}
         delimiter = kinds.pop() if len(kinds) == 1 else "raw"
-    return open_table(read_lines(spark, *paths), delimiter, merged=True)
-
-
-def relayout(df: DataFrame, layout: Layout, share: float = 0.3, least: int = 3) -> Layout:
-    """Where 3 rows and more than 0.3 of all don't fit, a layout from the largest group of lines with as many words."""
-    counts = parse(df.filter("_raw != ''"), layout).agg(F.count_if("not _ok").alias("bad"), F.count("*").alias("n")).first()
-    if counts["bad"] < least or counts["bad"] <= share * counts["n"]:
-        return layout
-    words = F.size(F.split(F.trim("_raw"), r"\s+"))
-    top = df.filter("_raw != ''").groupBy(words.alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
-    lines = [x for _, x in first_lines(df.filter(words == top["w"]))]
-    return infer.infer_layout(lines)
+    return open_files(spark, paths, delimiter)

@@ -180,8 +180,16 @@ def test_open_tables(spark):
     assert [tuple(r) for r in df.orderBy("_ord").select("op", "value").collect()] == [("add", "1"), ("del", "2")]
     df, layout = text.open_table(text.lines_of(spark, [f"Jan  5 10:00:00 host sshd[1]:{' ok' * k}" for k in (1, 4, 9, 2, 7, 3)]), detect_logs=True)
     assert layout.names == ("timestamp", "host", "process", "pid", "message") and df.first()["pid"] == "1"
-    after, before = text.skip_preamble(text.lines_of(spark, ["hello", '{"a": 1}', "x"]))
-    assert before.first()["_raw"] == "hello" and after.count() == 2
+    preambled = text.lines_of(spark, ["hello", '{"a": 1}', "x", '{"a": 2, "b": 3}', '{"a": 4}'])
+    after, before = text.skip_preamble(preambled, text.first_object(preambled)[0])
+    assert before.first()["_raw"] == "hello" and after.count() == 4
+    for given in (None, "json"):
+        df, layout = text.open_table(preambled, given)
+        assert layout.names == ("a",) and [r["a"] for r in df.filter("_ok").orderBy("_ord").collect()] == ["1", "2", "4"]
+        assert [r["_raw"] for r in df.filter("not _ok").collect()] == ["x"]
+    late = text.lines_of(spark, [*["a plain line"] * 40, '{"k": 1}', '{"k": 2}'])
+    assert [r["k"] for r in text.open_table(late, "json")[0].filter("_ok").orderBy("_ord").collect()] == ["1", "2"]
+    assert text.open_table(late)[1].delimiter != "json"
     assert infer_layout(["x"], "raw").names == ("log",)
 
 
@@ -273,3 +281,43 @@ def test_command_source(spark):
 def test_arrival_text(spark):
     df = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 10, 0, 0, 5000),)], "t timestamp")
     assert df.select(datetimes.arrival_text(F.col("t"))).first()[0].endswith(".005Z")
+
+
+def test_long_quoted_cells(spark):
+    long = 'x "" y, ' * 125_000
+    df = spark.createDataFrame([(f'1,"{long}",end',), ('2,"a"",""b",end',), ("3,plain,",)], "_raw string").withColumn("_ord", F.monotonically_increasing_id())
+    got = text.parse(df, Layout(",", ("k", "v", "w"), None)).orderBy("_ord").collect()
+    assert [(r["k"], r["v"], r["w"], r["_ok"]) for r in got] == [("1", long.replace('""', '"').strip(), "end", True), ("2", 'a","b', "end", True), ("3", "plain", "", True)]
+
+
+def test_folders_in_file_order(spark, tmp_path):
+    for name, rows in (("b 2.csv", ["name,n", "x,1", "name,n"]), ("a.csv", ["name,n", *[f"y{k},{k}" for k in range(300)]]), ("c.csv", ["name,n", "z,3"])):
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    df, layout = text.open_files(spark, [str(tmp_path)])
+    got = df.orderBy("_ord").collect()
+    # each file's first line is its header; the line that repeats it further down is data
+    assert [r["name"] for r in got] == [*[f"y{k}" for k in range(300)], "x", "name", "z"] and layout.delimiter == ","
+    assert {r["_source"] for r in got} == {"a.csv", "b 2.csv", "c.csv"}
+    df, _ = text.open_merged(spark, [str(tmp_path / "c.csv"), str(tmp_path / "b 2.csv")])
+    assert [r["name"] for r in df.orderBy("_ord").collect()] == ["z", "x", "name"]
+
+
+def test_layout_that_does_not_fit_is_changed(spark):
+    lines = ["a,b,c", "1,2,3", *[f"{k}|x{k}|y|z" for k in range(40)]]
+    rows = [(k, x) for k, x in enumerate(lines)]
+    layout, found = text.relayout(Layout(",", ("a", "b", "c"), 0), rows[:20], rows)
+    assert layout.delimiter == "|" and found[0][1].endswith("|y|z")
+    assert text.relayout(Layout(",", ("a", "b", "c"), 0), rows[:2], rows[:4])[0].delimiter == ","
+
+
+def test_inferred_shapes():
+    from sluice.plans import logformats
+
+    behind = [f"something {'odd ' * (k % 3)}happened 2024-01-0{k} 10:00:0{k} 10.0.0.{k}" for k in range(1, 6)]
+    fmt = logformats.infer_pattern(behind)
+    assert fmt.columns == ("message", "timestamp", "ip")
+    shaped = [f"a{k}-b{k} E {'w ' * k}end" for k in range(1, 6)]
+    assert logformats.infer_pattern(shaped).columns == ("field_1", "severity", "message")
+    tagged = [f"[2024-01-0{k} 10:00] [ERROR] [main] [x] msg {'w ' * k}" for k in range(1, 6)]
+    assert logformats.infer_pattern(tagged).columns == ("timestamp", "level", "thread", "tag", "message")
+    assert logformats.choose(tagged).name == "inferred" and logformats.choose(["1.2.3.4 - - [01/Jan/2024:10:00:00 +0000] \"GET /x HTTP/1.1\" 404 0"] * 4).name == "Apache/nginx Common"
