@@ -88,6 +88,26 @@ def replace_first(column: Column, source: str, by: str, ignore_case: bool = Fals
     return F.regexp_replace(column, flags + r"\A(.*?)(?-s:" + java + ")", "$1" + replacement(by, 1))
 
 
+#: Pieces of a pattern: escapes, character classes, groups with a mark, and all else.
+PIECES = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?|\(|.", re.S)
+
+
+def unnamed_groups(source: str) -> int:
+    """How many capturing groups have no name."""
+    return sum(p == "(" for p in PIECES.findall(source))
+
+
+def name_groups(source: str, names: list[str]) -> str:
+    """The pattern with names given to its unnamed groups, in their order; those beyond the names stay as they are."""
+    left = iter(names)
+
+    def named(m: re.Match) -> str:
+        name = next(left, None) if m[0] == "(" else None
+        return f"(?P<{name}>" if name else m[0]
+
+    return PIECES.sub(named, source)
+
+
 @dataclass(frozen=True)
 class Substitution:
     pattern: str

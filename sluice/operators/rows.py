@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,6 +132,11 @@ def pivot(df: DataFrame, keys: list[str], order: str = ORDER) -> DataFrame:
     return out.select("count", *[f"`{k}`" for k in keys], *[F.col(f"_r.`{c}`").alias(c) for c in rest], order)
 
 
+def pivot_columns(df: DataFrame, keys: list[str], reveal: bool = False) -> list[str]:
+    """The columns of a pivot that are shown: count and keys, or all once new rows reveal the others."""
+    return data_columns(df) if reveal else [c for c in ("count", *keys) if c in df.columns]
+
+
 # sort
 
 
@@ -162,6 +169,32 @@ def sort_rows(df: DataFrame, s: Sort, kind: str, hint: str | None = None, strict
     return df.orderBy(*sort_keys(s.column, kind, hint, s.descending, text), order)
 
 
+def number_rows(df: DataFrame, name: str = "place") -> DataFrame:
+    """A table in its order with the number of each row from 1 on, no row moved.
+
+    The parts of the sorted table are written to the checkpoint folder, numbered
+    apart, and offset by the sizes of the parts before, one row for each part.
+    """
+    folder = work_folder(df.sparkSession)
+    df.withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(folder)
+    kept = df.sparkSession.read.parquet(folder)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return kept.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_k") + 1).drop("_part", "_k", "_before")
+
+
+def work_folder(spark) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local session may have none, and gets a temporary one."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def page(df: DataFrame, start: int, n: int, order: str = ORDER) -> DataFrame:
     return df.orderBy(order).offset(start).limit(n)
 

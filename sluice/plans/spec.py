@@ -140,6 +140,31 @@ class QuerySpec:
         return replace(self, order=tuple(order))
 
 
+@dataclass
+class History:
+    """The query in use, and those before views were applied to it."""
+
+    spec: QuerySpec
+    start: QuerySpec = QuerySpec()
+    before: list[QuerySpec] = field(default_factory=list)
+
+    def apply(self, view: QuerySpec) -> QuerySpec:
+        """A view in the place of the query; its sources stay."""
+        self.before.append(self.spec)
+        self.spec = replace(view, sources=self.spec.sources)
+        return self.spec
+
+    def undo(self) -> QuerySpec:
+        """Back to the query before the last view; without one nothing changes."""
+        if self.before:
+            self.spec = self.before.pop()
+        return self.spec
+
+    def fresh(self) -> QuerySpec:
+        """A query over the same lines as at the start: what the command line asked for."""
+        return replace(self.start, sources=self.spec.sources)
+
+
 CLEAR = ("0", "off", "clear", "none", "")
 UNITS = {"d": 86400.0, "h": 3600.0, "m": 60.0, "s": 1.0}
 

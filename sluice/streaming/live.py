@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import select
+import subprocess
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rows
-from ..operators.rows import ARRIVAL, ORDER, SOURCE
+from ..operators.rows import ARRIVAL, ORDER, SOURCE, data_columns
 from ..plans.build import build
 from ..plans.infer import Layout
 from ..plans.spec import QuerySpec, Sort
@@ -20,13 +26,73 @@ from ..sources.text import parse
 def follow(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
     """Lines of files as they appear in a folder; all lines of a batch share their arrival time.
 
-    Half-written last lines are the writer's matter: files should be moved in whole.
+    Files should be moved in whole, as ``Feeder`` does with what it reads from a pipe.
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_a_batch).load(folder)
     place = F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
     return lines.select(F.col("value").alias("_raw"), place.alias("_place"), F.current_timestamp().alias(ARRIVAL), F.col("_metadata.file_name").alias(SOURCE))
 
 
+class Feeder:
+    """Puts what comes through a pipe into a followed folder, whole lines in whole files.
+
+    A line's beginning is held until its end has come.  Lines are written when
+    nothing came for ``idle`` seconds, ``hold`` seconds after the first of them, or
+    from ``most`` bytes on.  The folder must be one that a local path names.
+    """
+
+    def __init__(self, folder: str, idle: float = 0.02, hold: float = 0.2, most: int = 1 << 20):
+        self.folder, self.idle, self.hold, self.most = folder, idle, hold, most
+        self.files = 0
+
+    def write(self, data: bytes) -> None:
+        if not data:
+            return
+        os.makedirs(self.folder, exist_ok=True)
+        temp = os.path.join(self.folder, f".{uuid.uuid4().hex}")
+        with open(temp, "wb") as f:
+            f.write(data)
+        os.replace(temp, os.path.join(self.folder, f"part-{self.files:09d}.txt"))
+        self.files += 1
+
+    def run(self, stream) -> int:
+        """Read a stream with a file number to its end; returns the files written."""
+        number, held, since = stream.fileno(), b"", 0.0
+        while True:
+            ready = select.select([number], [], [], self.idle if held else None)[0]
+            data = os.read(number, 1 << 16) if ready else None
+            if data:
+                since = since if held else time.monotonic()
+                held += data
+            whole = held.rfind(b"\n") + 1
+            if data == b"":
+                self.write(held if held.endswith(b"\n") or not held else held + b"\n")
+                return self.files
+            if whole and (not ready or len(held) >= self.most or time.monotonic() - since >= self.hold):
+                self.write(held[:whole])
+                held, since = held[whole:], time.monotonic()
+
+    def start(self, stream) -> threading.Thread:
+        thread = threading.Thread(target=self.run, args=(stream,), daemon=True)
+        thread.start()
+        return thread
+
+
+def feed_command(command: str, folder: str, allow: bool = False) -> tuple[subprocess.Popen, threading.Thread]:
+    """A shell command whose output is fed to a folder while it runs; only with allow, since it runs on the driver."""
+    if not allow:
+        raise PermissionError("commands run only with allow=True")
+    process = subprocess.Popen(["sh", "-c", command], stdout=subprocess.PIPE)
+    return process, Feeder(folder).start(process.stdout)
+
+
+def pressure(query: StreamingQuery) -> float:
+    """Rows that come in for each row that is processed, by the last batch; above 1 the query falls behind."""
+    last = query.lastProgress
+    coming, done = (float(last[k] or 0) if last else 0.0 for k in ("inputRowsPerSecond", "processedRowsPerSecond"))
+    return coming / done if done else 0.0
+
+
 def table(lines: DataFrame, layout: Layout, header: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, excluded lines) of a stream; the layout stays as it was when the stream began."""
     kept = lines.filter("_raw != ''")
@@ -36,24 +102,72 @@ def table(lines: DataFrame, layout: Layout, header: str | None = None) -> tuple[
     return parsed.filter("_ok").drop("_ok", "_raw"), parsed.filter("not _ok").select("_raw")
 
 
-def appended(df: DataFrame, spec: QuerySpec, name: str, checkpoint: str) -> StreamingQuery:
-    """Filters and computed columns only: rows are added as they come, into a table in memory."""
+class Skips:
+    """How many lines didn't fit, and the first of them."""
+
+    def __init__(self, keep: int = 200):
+        self.keep, self.rows, self.skipped = keep, 0, 0
+        self.samples: list[str] = []
+
+    def add(self, parsed: DataFrame, number: int) -> DataFrame:
+        """The rows of a parsed batch that fit; the others are counted as the batch is read."""
+        seen = Observation(f"skips_{uuid.uuid4().hex}")
+        parsed = parsed.observe(seen, F.count("*").alias("rows"), F.count_if(~F.col("_ok")).alias("bad"))
+        self.waiting = seen, parsed
+        return parsed.filter("_ok").drop("_ok", "_raw")
+
+    def settle(self) -> None:
+        """After the batch was read: take its counts, and samples as long as there is room."""
+        seen, parsed = self.waiting
+        found = seen.get
+        self.rows += found["rows"]
+        self.skipped += found["bad"]
+        if found["bad"] and len(self.samples) < self.keep:
+            self.samples += [r["_raw"] for r in parsed.filter("not _ok").select("_raw").limit(self.keep - len(self.samples)).collect()]
+
+
+def accounted(lines: DataFrame, layout: Layout, header: str | None, folder: str, checkpoint: str, skips: Skips, **trigger) -> StreamingQuery:
+    """Rows that fit are added to a folder of Parquet files; skips counts the others and keeps the first of them."""
+    kept = lines.filter("_raw != ''")
+    if header is not None:
+        kept = kept.filter(F.col("_raw") != header)
+
+    def batch(new: DataFrame, number: int) -> None:
+        good = skips.add(parse(new, layout), number)
+        good.withColumn("_batch_id", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        skips.settle()
+
+    return kept.drop("_place").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def appended(df: DataFrame, spec: QuerySpec, name: str, checkpoint: str, path: str | None = None, **trigger) -> StreamingQuery:
+    """Filters and computed columns only: rows are added as they come, into a table in memory, or to Parquet files at path."""
     from ..operators.columns import add_computed
 
     out = rows.filter_rows(add_computed(df, spec.computed), spec.filters, spec.strict)
-    return out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+    writer = out.writeStream.outputMode("append").queryName(name).option("checkpointLocation", checkpoint)
+    writer = writer.format("parquet").option("path", path) if path else writer.format("memory")
+    return writer.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
-def live_pivot(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per key, largest first, for complete mode.  State holds every key for good."""
-    return df.groupBy(*[f"`{k}`" for k in keys]).agg(F.count("*").alias("count")).orderBy(F.desc("count"), *[f"`{k}`" for k in keys])
+def live_pivot(df: DataFrame, keys: list[str], place: str | None = None) -> DataFrame:
+    """Counts per key, largest first, for complete mode.  State holds every key for good.
+
+    place: a column by which rows came; with it the other cells of each key's last row are there as well.
+    """
+    names = [f"`{k}`" for k in keys]
+    rest = [c for c in data_columns(df) if c not in keys and c != place] if place else []
+    last = [F.max_by(F.struct(*[f"`{c}`" for c in rest]), F.col(place)).alias("_last")] if rest else []
+    counts = df.groupBy(*names).agg(F.count("*").alias("count"), *last)
+    return counts.select("count", *names, *[F.col(f"_last.`{c}`").alias(c) for c in rest]).orderBy(F.desc("count"), *names)
 
 
-def start_pivot(df: DataFrame, keys: list[str], name: str, checkpoint: str) -> StreamingQuery:
-    return live_pivot(df, keys).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def start_pivot(df: DataFrame, keys: list[str], name: str, checkpoint: str, place: str | None = None, **trigger) -> StreamingQuery:
+    writer = live_pivot(df, keys, place).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
-def recomputed(df: DataFrame, spec: QuerySpec, folder: str, checkpoint: str, show: Callable[[DataFrame, int], None], every: str = "1 second") -> StreamingQuery:
+def recomputed(df: DataFrame, spec: QuerySpec, folder: str, checkpoint: str, show: Callable[[DataFrame, int], None], every: str = "1 second", **trigger) -> StreamingQuery:
     """Sorts, windows and dedup: rows are kept in a folder and the query is evaluated anew over them after each batch.
 
     _batch_id says in which batch a row came, and a batch that is written again
@@ -66,7 +180,7 @@ def recomputed(df: DataFrame, spec: QuerySpec, folder: str, checkpoint: str, sho
         kept = new.sparkSession.read.option("basePath", folder).parquet(f"{folder}/*")
         show(build(spec, kept)[0], number)
 
-    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": every})).start()
 
 
 def needs_recompute(spec: QuerySpec) -> bool:

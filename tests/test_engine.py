@@ -321,3 +321,77 @@ def test_inferred_shapes():
     tagged = [f"[2024-01-0{k} 10:00] [ERROR] [main] [x] msg {'w ' * k}" for k in range(1, 6)]
     assert logformats.infer_pattern(tagged).columns == ("timestamp", "level", "thread", "tag", "message")
     assert logformats.choose(tagged).name == "inferred" and logformats.choose(["1.2.3.4 - - [01/Jan/2024:10:00:00 +0000] \"GET /x HTTP/1.1\" 404 0"] * 4).name == "Apache/nginx Common"
+
+
+def test_command_line_files_and_sessions(spark, tmp_path):
+    from sluice.plans.spec import Store
+
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("x,y\n5,6\n")
+    Store(str(tmp_path / "s")).save("mine", QuerySpec(filters=(Filter("[15]", "x"),)))
+
+    def run(*args):
+        out = io.StringIO()
+        assert cli.main([str(tmp_path / x) if x.endswith(".csv") else x for x in args], spark, out) == 0
+        return out.getvalue().replace("\r\n", "\n")
+
+    assert run("a.csv", "b.csv") == "x,y\n1,2\n3,4\nx,y\n5,6\n"
+    assert run("-m", "a.csv", "b.csv") == "x,y\n1,2\n3,4\n5,6\n"
+    assert run("a.csv", "-S", "mine", "--sessions", str(tmp_path / "s")) == "x,y\n1,2\n"
+    assert run("a.csv", "--tail", "--last", "1") == "x,y\n3,4\n"
+    for bad in (["-m", "a.csv"], ["-S", "none", "--sessions", str(tmp_path / "s"), "a.csv"]):
+        with pytest.raises(SystemExit):
+            cli.parse_args(bad)
+
+
+def test_group_names():
+    assert regexes.name_groups(r"(\d+) [(]x[)] \((?:a|(b))\) (?P<c>.)", ["n", "m"]) == r"(?P<n>\d+) [(]x[)] \((?:a|(?P<m>b))\) (?P<c>.)"
+    assert regexes.unnamed_groups(r"(a)[^](](?=b)(c)(?P<d>e)") == 2 and regexes.name_groups("(a)(b)", ["x"]) == "(?P<x>a)(b)"
+
+
+def test_views_and_history(people):
+    from sluice.plans.build import show
+    from sluice.plans.spec import History
+
+    start = QuerySpec(filters=(Filter("nyc", "city"),), sources=("a",))
+    h = History(start, start)
+    view = QuerySpec(search="a", tail=True, marks=(("m", 0), ("z", 99)))
+    assert h.apply(view).sources == ("a",) and h.undo() == start and h.undo() == start
+    assert h.fresh() == start
+    seen = show(view, people)
+    assert seen.marks == {"m": 0} and "mark z" in seen.skipped and seen.matches.count() > 0
+    assert seen.table.count() == people.count()
+
+
+def test_pipes(spark, tmp_path):
+    import os
+
+    read, write = os.pipe()
+    feeder = live.Feeder(str(tmp_path / "in"), idle=0.01, hold=0.05)
+    thread = feeder.start(os.fdopen(read, "rb"))
+    for part in (b"name,n\nx,1\ny", b",2\nbroken\n", b"z,3"):
+        os.write(write, part)
+        __import__("time").sleep(0.1)
+    os.close(write)
+    thread.join(10)
+    assert feeder.files >= 2
+    skips = live.Skips(keep=1)
+    lines = live.follow(spark, str(tmp_path / "in"))
+    q = live.accounted(lines, Layout(",", ("name", "n"), None), "name,n", str(tmp_path / "out"), str(tmp_path / "c"), skips, availableNow=True)
+    q.awaitTermination(60)
+    got = spark.read.parquet(f"{tmp_path}/out/*").collect()
+    assert sorted((r["name"], r["n"]) for r in got) == [("x", "1"), ("y", "2"), ("z", "3")]
+    assert (skips.rows, skips.skipped, skips.samples) == (4, 1, ["broken"]) and live.pressure(q) >= 0
+    with pytest.raises(PermissionError):
+        live.feed_command("echo x", str(tmp_path / "d"))
+    process, thread = live.feed_command("printf 'a\\nb\\n'", str(tmp_path / "d"), allow=True)
+    thread.join(10)
+    assert process.wait() == 0 and (tmp_path / "d" / "part-000000000.txt").read_text() == "a\nb\n"
+
+
+def test_live_pivot_with_last_cells(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x,1\ny,2\nx,3\n")
+    good, _ = live.table(live.follow(spark, str(tmp_path / "in")), Layout(",", ("k", "v"), None))
+    live.start_pivot(good.withColumn("_at", F.col("v").cast("int")).drop("_place", "_arrival", "_source"), ["k"], "with_last", str(tmp_path / "c"), "_at", availableNow=True).awaitTermination(60)
+    assert [tuple(r) for r in spark.table("with_last").collect()] == [(2, "x", "3"), (1, "y", "2")]
