@@ -72,17 +72,23 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, th long, at int, line int, h long, words int")
 
 
-def repeated_lines(found: DataFrame) -> DataFrame:
-    """The rows whose line occurs twice or more.
+def with_counted(df: DataFrame, key: str, counts: DataFrame, total: int, how: str) -> DataFrame:
+    """df joined with counts (key, n and more), which is saved, and n left out.
 
-    Lines that make up a ten-thousandth of all rows or more are at most ten thousand;
-    they are broadcast, so that no line gathers its rows in one task.
+    Keys that make up a ten-thousandth of the total or more are at most ten thousand;
+    they are broadcast, so that no key gathers its rows in one task.
     """
+    hot = max(1000, total // 10_000)
+    often = F.broadcast(counts.filter(F.col("n") >= hot).drop("n"))
+    usual = counts.filter(F.col("n") < hot).drop("n")
+    rest = df.join(F.broadcast(counts.filter(F.col("n") >= hot).select(key)), key, "left_anti")
+    return df.join(often, key, how).unionByName(rest.join(usual, key, how))
+
+
+def repeated_lines(found: DataFrame) -> DataFrame:
+    """The rows whose line occurs twice or more."""
     counts = saved(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    hot = max(1000, found.count() // 10_000)
-    often = F.broadcast(counts.filter(F.col("n") >= hot).select("h"))
-    usual = counts.filter(F.col("n") < hot).select("h")
-    return found.join(often, "h", "left_semi").unionByName(found.join(often, "h", "left_anti").join(usual, "h", "left_semi"))
+    return with_counted(found, "h", counts, found.count(), "left_semi")
 
 
 def segments(found: DataFrame, min_words: int) -> DataFrame:
@@ -309,10 +315,10 @@ def runs_to_delete(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = found.dropDuplicates([*KEY, "at"])
     whole = saved(segments(found, min_words).withColumn("content", F.sha2(F.concat_ws(",", F.transform("hs", lambda h: h.cast("string"))), 256)))
     earliest = F.min(F.struct(*of))
-    firsts = whole.groupBy("content").agg(earliest.alias("f"))
-    firsts = firsts.select("content", *[F.col(f"f.{c}").alias(f"first_{c}") for c in of])
+    firsts = whole.groupBy("content").agg(earliest.alias("f"), F.count("*").alias("n"))
+    firsts = saved(firsts.select("content", "n", *[F.col(f"f.{c}").alias(f"first_{c}") for c in of]))
     same = [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in of]
-    both = saved(whole.join(firsts, "content").withColumn("is_first", same[0] & same[1] & same[2]).drop("content", *[f"first_{c}" for c in of]))
+    both = saved(with_counted(whole, "content", firsts, whole.count(), "inner").withColumn("is_first", same[0] & same[1] & same[2]).drop("content", *[f"first_{c}" for c in of]))
     copies = both.filter("not is_first").select(*KEY, F.col("ls")[0].alias("first"), F.element_at("ls", -1).alias("last"))
     first = both.filter("is_first")
     parts = saved(suffixes(first, min_words))
