@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import datetimes
 from ..functions.regexes import Substitution, groups_at_start, replace_first, translate
-from ..functions.values import json_value, key_value, looks_numeric, number, split_part
+from ..functions.values import json_value, key_value, key_values, looks_numeric, number, pair_value, split_part
 from ..plans.infer import loads
 from ..plans.spec import Computed
 from .rows import ARRIVAL, ORDER, cell, data_columns, time_of

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_plans, queries_sources
 from .functions import datetimes
 from .functions.regexes import replace_first
 from .functions.values import natural_key
@@ -154,31 +155,28 @@ def value_freq(spark, d):
     return cols.value_counts(read(spark, d, "orders"), "o_orderpriority")
 
 
-def numbered(df: DataFrame, keys) -> DataFrame:
-    from pyspark.sql import Window
-
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
+def placed(df: DataFrame, sort: Sort, kind: str, hint: str | None = None) -> DataFrame:
+    """The sorted table with each row's place in it."""
+    return without_order(rows.number_rows(rows.sort_rows(df, sort, kind, hint)))
 
 
 def sort_numeric(spark, d):
     df = read(spark, d, "part", "p_partkey").select("p_partkey", F.col("p_size").cast("string").alias("size"), rows.ORDER)
-    return without_order(numbered(df, [*rows.sort_keys("size", "numeric", descending=True), rows.ORDER]))
+    return placed(df, Sort("size", True), "numeric")
 
 
 def sort_natural(spark, d):
-    df = read(spark, d, "part", "p_partkey").select("p_partkey", "p_brand", rows.ORDER)
-    return without_order(numbered(df, [natural_key(F.col("p_brand")).asc(), rows.ORDER]))
+    return placed(read(spark, d, "part", "p_partkey").select("p_partkey", "p_brand", rows.ORDER), Sort("p_brand"), "string")
 
 
 def sort_mixed(spark, d):
     v = F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 5 == 0, "n/a").otherwise(F.col("c_custkey").cast("string"))
-    df = read(spark, d, "customer", "c_custkey").select("c_custkey", v.alias("v"), rows.ORDER)
-    return without_order(numbered(df, [*rows.sort_keys("v", "numeric"), rows.ORDER]))
+    return placed(read(spark, d, "customer", "c_custkey").select("c_custkey", v.alias("v"), rows.ORDER), Sort("v"), "numeric")
 
 
 def sort_datetime(spark, d):
     df = read(spark, d, "orders", "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "dd/MMM/yyyy:HH:mm:ss '+0000'").alias("t"), rows.ORDER)
-    return without_order(numbered(df, [*rows.sort_keys("t", "datetime", "%d/%b/%Y:%H:%M:%S %z", True), rows.ORDER])).select("o_orderkey", "place")
+    return placed(df, Sort("t", True), "datetime", "%d/%b/%Y:%H:%M:%S %z").select("o_orderkey", "place")
 
 
 def tail_rows(spark, d):
@@ -303,6 +301,14 @@ def query_spec(spark, d):
     return build(QuerySpec.from_json(spec.to_json()), df)[0]
 
 
+#: The share of numbers and of times among the first 100 cells of each column.
+INFER_TYPES = " union all ".join(
+    f"select '{c}' as column, case when avg(cast(regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') as int)) >= 0.8 then 'numeric' "
+    f"when avg(cast(try_cast(v as timestamp) is not null as int)) >= 0.8 then 'datetime' else 'string' end as type, '' as hint "
+    f"from (select cast({c} as varchar) v from orders order by o_orderkey limit 100)"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+)
+
 SQL = {
     "pivot_count": "select event_type, count(*) as count, arg_max(value, event_id) as last_value, max(event_id) as last_event, min(event_id) as first_event from events where regexp_matches(event_type, '^(click|VIEW|pur)', 'i') group by event_type",
     "dedup_first": "select event_id, user_id, event_type, value from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1",
@@ -330,10 +336,10 @@ SQL = {
     "column_stats_text": "select count(*) as count, count(distinct case when c_acctbal < 0 then 'N/A' else cast(c_custkey as varchar) end) as distinct, sum(cast(c_custkey as double)) filter (c_acctbal >= 0) as sum, avg(cast(c_custkey as double)) filter (c_acctbal >= 0) as avg, min(cast(c_custkey as double)) filter (c_acctbal >= 0) as min, max(cast(c_custkey as double)) filter (c_acctbal >= 0) as max, count(*) filter (c_acctbal < 0) as skipped from customer",
     "column_stats_time": "select count(*) as count, count(distinct strftime(ts, '%Y-%m-%d %H:%M:%S')) as distinct, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) as earliest, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) as latest, cast(0 as bigint) as skipped from events",
     "value_freq": "select o_orderpriority as value, count(*) as count from orders group by 1",
-    "sort_numeric": "select p_partkey, cast(p_size as varchar) as size, cast(row_number() over (order by p_size desc, p_partkey) as int) as place from part",
-    "sort_natural": r"select p_partkey, p_brand, cast(row_number() over (order by regexp_extract(p_brand, '^\D*'), cast(regexp_extract(p_brand, '\d+') as int), p_partkey) as int) as place from part",
-    "sort_mixed": "select c_custkey, v, cast(row_number() over (order by v = '', v = 'n/a', try_cast(v as double), c_custkey) as int) as place from (select c_custkey, case when c_custkey % 7 = 0 then '' when c_custkey % 5 = 0 then 'n/a' else cast(c_custkey as varchar) end as v from customer)",
-    "sort_datetime": "select o_orderkey, cast(row_number() over (order by date_trunc('second', o_orderdate) desc, o_orderkey) as int) as place from orders",
+    "sort_numeric": "select p_partkey, cast(p_size as varchar) as size, cast(row_number() over (order by p_size desc, p_partkey) as bigint) as place from part",
+    "sort_natural": r"select p_partkey, p_brand, cast(row_number() over (order by regexp_extract(p_brand, '^\D*'), cast(regexp_extract(p_brand, '\d+') as int), p_partkey) as bigint) as place from part",
+    "sort_mixed": "select c_custkey, v, cast(row_number() over (order by v = '', v = 'n/a', try_cast(v as double), c_custkey) as bigint) as place from (select c_custkey, case when c_custkey % 7 = 0 then '' when c_custkey % 5 = 0 then 'n/a' else cast(c_custkey as varchar) end as v from customer)",
+    "sort_datetime": "select o_orderkey, cast(row_number() over (order by date_trunc('second', o_orderdate) desc, o_orderkey) as bigint) as place from orders",
     "tail_rows": "select o_orderkey, o_totalprice from orders order by o_orderkey desc limit 25",
     "page_rows": "select o_orderkey from orders order by o_orderkey limit 50 offset 100",
     "columns_regex": "select c_custkey, c_nationkey, c_acctbal from customer",
@@ -350,13 +356,14 @@ SQL = {
     "highlight_cells": "select n_nationkey, regexp_replace(n_name, '(a)', '<mark class=\"red\">\\1</mark>', 'gi') as n_name from nation",
     "highlight_rows": "select count(*) filter (regexp_matches(o_orderstatus, 'high', 'i') or regexp_matches(o_orderpriority, 'high', 'i')) as rows from orders",
     "sink_lines": "with w as (select greatest(11, max(length(cast(n_nationkey as varchar)))) a, greatest(6, max(length(n_name))) b from nation) select 'csv' as format, cast(n_nationkey as varchar) || ',' || n_name as line from nation union all select 'json', '{\"n_nationkey\":\"' || cast(n_nationkey as varchar) || '\",\"n_name\":\"' || n_name || '\"}' from nation union all select 'raw', cast(n_nationkey as varchar) || chr(9) || n_name from nation union all select 'markdown', '| ' || rpad(cast(n_nationkey as varchar), cast(a as int), ' ') || ' | ' || rpad(n_name, cast(b as int), ' ') || ' |' from nation, w union all select 'html', '<tr><td>' || cast(n_nationkey as varchar) || '</td><td>' || n_name || '</td></tr>' from nation",
+    "infer_types": INFER_TYPES,
     "query_spec": "select count(*) as count, left(o_orderpriority, 1) as level, o_orderstatus from orders where o_orderstatus in ('O', 'F') group by 2, 3",
 }
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in (*SQL, "infer_types")}
+    return {name: globals()[name] for name in SQL} | queries_sources.queries() | queries_plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | queries_sources.SQL | queries_plans.SQL

@@ -167,26 +167,20 @@ def first_object(df: DataFrame) -> tuple | None:
     return (row[ORDER], row["_raw"]) if row else None
 
 
-def skip_preamble(df: DataFrame, start) -> tuple[DataFrame, DataFrame]:
-    """(lines from a place on, the lines before it)."""
-    return df.filter(F.col(ORDER) >= F.lit(start)), df.filter(F.col(ORDER) < F.lit(start))
-
-
 def json_lines(df: DataFrame, found: list[tuple], asked: bool) -> tuple[DataFrame, list[tuple]] | None:
-    """Lines as JSON, from the first object on, with a sample of them; None if they aren't JSON.
+    """(lines as JSON, a sample of those that are objects); None if they aren't JSON.
 
-    Lines are JSON if half of the sample or more are objects, whatever stands before
-    and between them, or if a sample that begins like JSON is no document of lines.
-    asked: the user said so; then the first object may come later, and lines without
-    an object are one document.
+    Lines are JSON if half of the sample or more are objects; what stands before and
+    between them will not fit and is there to be looked at.  A sample that begins
+    like JSON without such lines is a document.  asked: the user said so; then the
+    first object may come later, and lines without an object are one document.
     """
     rows = [(k, x) for k, x in found if x.strip() not in ("[", "]", "[]")]
     objects = [(k, x) for k, x in rows if is_object(x)]
     if not objects and asked and (later := first_object(df)):
-        return skip_preamble(df, later[0])[0], [later]
+        return df, [later]
     if objects and (asked or 2 * len(objects) >= len(rows)):
-        start = objects[0][0]
-        return (df if rows[0][0] == start else skip_preamble(df, start)[0]), objects
+        return df, objects
     if rows and (asked or infer.is_json_start([x for _, x in found])):
         document = json_document(df)
         sample = first_lines(document)
