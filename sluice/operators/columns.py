@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import datetimes
 from ..functions.regexes import Substitution, groups_at_start, replace_first, translate
-from ..functions.values import json_value, key_value, key_values, looks_numeric, number, pair_value, split_part
+from ..functions.values import json_value, key_value, key_values, number, pair_value, split_part
 from ..plans.infer import loads
 from ..plans.spec import Computed
 from .rows import ARRIVAL, ORDER, cell, data_columns, time_of
@@ -109,12 +109,6 @@ def rename(computed: tuple[Computed, ...], names: dict[str, str]) -> tuple[Compu
     return tuple(replace(c, name=names.get(c.name, c.name), source=names.get(c.source, c.source)) for c in computed)
 
 
-def sample_cell(df: DataFrame, name: str, order: str = ORDER) -> str:
-    """The first cell that isn't blank."""
-    row = df.filter(F.trim(cell(name)) != "").orderBy(order).select(cell(name).alias("v")).first()
-    return row["v"] if row else ""
-
-
 # visibility
 
 
@@ -213,9 +207,3 @@ def highlight_count(df: DataFrame, pattern: str) -> DataFrame:
     p = translate(pattern).flagged
     hit = F.exists(F.array(*[F.coalesce(cell(c), F.lit("")) for c in data_columns(df)]), lambda c: c.rlike(p))
     return df.agg(F.count_if(hit).alias("rows"))
-
-
-def all_numeric(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.bool_and(looks_numeric(cell(name))).alias("numeric"))
-
-

@@ -17,6 +17,8 @@ from ..functions.values import NUMERIC
 
 #: Fixed order of candidates: the first of equals wins.
 CANDIDATES = (",", "\t", "|", ";", " ", "  ")
+#: Fixed thresholds: lines that must split; agreement on a count; spread that can be rescued, and by how many fields longer lines may be; lines shorter than half of the longest are no table; cells that make a type, and how many there must be.
+MOST, AGREE, SPREAD, LONGER, HALF, TYPED, ENOUGH = 0.5, 0.8, 0.35, 4, 0.5, 0.8, 3
 WELL_KNOWN_TIMES = {"timestamp", "time", "date", "datetime", "ts", "created_at", "updated_at"}
 RUNS = re.compile(" {2,}")
 
@@ -67,10 +69,10 @@ def line_points(parts: list[str], delimiter: str) -> int:
 
 def rescued(counts: list[int], usual: int) -> float:
     """Agreement on the usual count if a short first line is left out and slightly longer ones are capped."""
-    rest = counts[1:] if counts[0] < usual * 0.5 else counts
-    if sum(c < usual for c in rest) > 1 or (max(counts) - min(counts)) / usual > 0.35:
+    rest = counts[1:] if counts[0] < usual * HALF else counts
+    if sum(c < usual for c in rest) > 1 or (max(counts) - min(counts)) / usual > SPREAD:
         return 0.0
-    return sum(usual <= c <= usual + 4 for c in rest) / len(rest) if rest else 0.0
+    return sum(usual <= c <= usual + LONGER for c in rest) / len(rest) if rest else 0.0
 
 
 def consistent_score(rows: list[str], delimiter: str) -> tuple[int, float]:
@@ -80,16 +82,16 @@ def consistent_score(rows: list[str], delimiter: str) -> tuple[int, float]:
     points = sum(line_points(p, delimiter) for p in split)
     if len(rows) < 2:
         return points, 0.0
-    if len(split[0]) < 2 or len(counts) <= len(rows) * 0.5:
+    if len(split[0]) < 2 or len(counts) <= len(rows) * MOST:
         return 0, 0.0
     if len(counts) < 2:
         return points, 0.0
     usual, share = commonest(counts)
     plain = share
-    if share < 0.8 and delimiter in (" ", "  ") and usual > 2:
+    if share < AGREE and delimiter in (" ", "  ") and usual > 2:
         better = rescued(counts, usual)
-        share = better if better >= 0.8 else share
-    return (points + 2 * len(counts) if share >= 0.8 else 0), plain
+        share = better if better >= AGREE else share
+    return (points + 2 * len(counts) if share >= AGREE else 0), plain
 
 
 def infer_delimiter(lines: list[str]) -> str:
@@ -105,9 +107,9 @@ def infer_delimiter(lines: list[str]) -> str:
         plain = {d: commonest([len(p) for r in rows if len(p := fields(r, d)) > 1])[1] for d in (" ", "  ")}
         if plain["  "] > plain[" "]:
             score[" "] = 0
-    if not score[" "] and agreement["  "] < 0.8 and len(rows) >= 2 and len(rows[0].split()) > 1:
+    if not score[" "] and agreement["  "] < AGREE and len(rows) >= 2 and len(rows[0].split()) > 1:
         at = column_offsets(lines)
-        if len(at) > 2 and at[-1] - at[0] >= 0.5 * max(len(r.rstrip()) for r in rows):
+        if len(at) > 2 and at[-1] - at[0] >= HALF * max(len(r.rstrip()) for r in rows):
             score[" "] = 3 * len(at) * len(rows)
     best = max(CANDIDATES, key=lambda d: score[d])
     return best if score[best] > 0 else "raw"
@@ -119,7 +121,7 @@ def column_offsets(lines: list[str]) -> list[int]:
     if not rows:
         return []
     longest = max(map(len, rows))
-    rows = [r for r in rows if len(r) >= longest * 0.5]
+    rows = [r for r in rows if len(r) >= longest * HALF]
     blank = [all(r[k] == " " for r in rows) for k in range(min(map(len, rows)))]
     return [k for k, b in enumerate(blank) if not b and (k == 0 or blank[k - 1])]
 
@@ -134,7 +136,7 @@ def most_fields(lines: list[str], delimiter: str) -> int:
     if len(counts) < 2:
         return 0
     usual, _ = commonest(counts)
-    return usual if usual > 2 and any(c != usual for c in counts if c >= usual * 0.5) else 0
+    return usual if usual > 2 and any(c != usual for c in counts if c >= usual * HALF) else 0
 
 
 def aligned_strategy(lines: list[str], delimiter: str) -> tuple[list[int] | None, int]:
@@ -145,7 +147,7 @@ def aligned_strategy(lines: list[str], delimiter: str) -> tuple[list[int] | None
     rows = solid(lines)
     if len(at) > 2:
         longest = max(map(len, rows))
-        rows = [r for r in rows if len(r) >= longest * 0.5]
+        rows = [r for r in rows if len(r) >= longest * HALF]
         counts = [len(fields(r, delimiter)) for r in rows]
         if len(set(counts)) > 1 and all(by_offsets(rows[0], at)):
             overflow = counts[0] > commonest(counts)[0]
@@ -169,7 +171,7 @@ def header_index(lines: list[str], delimiter: str, most: int = 0) -> int:
 def preamble_end(lines: list[str]) -> int:
     """How many short lines come before the table."""
     longest = max(map(len, solid(lines)), default=0)
-    return next((k for k, x in enumerate(lines) if not x.strip() or len(x) >= longest * 0.5), len(lines))
+    return next((k for k, x in enumerate(lines) if not x.strip() or len(x) >= longest * HALF), len(lines))
 
 
 def sample_of(lines: list[str], n: int = 15) -> list[str]:
@@ -249,10 +251,10 @@ def is_json_start(lines: list[str]) -> bool:
     return first.startswith("[") or isinstance(loads(first), dict)
 
 
-def infer_type(values: list[str], share: float = 0.8) -> str:
+def infer_type(values: list[str], share: float = TYPED) -> str:
     """numeric, datetime or string, of the first 100 values that aren't blank; fewer than 3 are string."""
     some = [v for v in values if v.strip()][:100]
-    if len(some) < 3:
+    if len(some) < ENOUGH:
         return "string"
 
     def mostly(test) -> bool:
@@ -271,7 +273,7 @@ def column_type(name: str, values: list[str], override: str | None = None) -> tu
     return kind, format_hint(values) if kind == "datetime" else None
 
 
-def splittable(values: list[str], share: float = 0.8) -> bool:
+def splittable(values: list[str], share: float = TYPED) -> bool:
     """Whether most cells hold a |, ; or =."""
     some = [v for v in values if v.strip()]
     return bool(some) and sum(any(c in v for c in "|;=") for v in some) >= share * len(some)

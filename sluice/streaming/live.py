@@ -19,7 +19,7 @@ from ..operators import rows
 from ..operators.rows import ARRIVAL, ORDER, SOURCE, data_columns
 from ..plans.build import build
 from ..plans.infer import Layout
-from ..plans.spec import QuerySpec, Sort
+from ..plans.spec import QuerySpec
 from ..sources.text import parse
 
 
@@ -193,10 +193,6 @@ def follow_interval(seconds: float) -> float:
     return min(5.0, max(1.0, seconds / 10))
 
 
-def top_of_pivot(spec: QuerySpec) -> Sort:
-    return spec.sort or Sort("count", True)
-
-
 class CommandSource(DataSource):
     """A shell command's output as a source, format("command"), for callers that opted in with allow=true."""
 
