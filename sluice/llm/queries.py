@@ -72,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.OVERLAPS_SQL}
+    return {"op5_decontamination": decontaminate.OVERLAPS_SQL, "op6_secret_scan": secret_scan.scan_sql()}

@@ -135,3 +135,25 @@ def report(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) ->
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def scan_sql(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> str:
+    """DuckDB SQL for the scan of documents: counts of the base kinds, the digest of their spans, and all spans."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    each = [
+        f"select doc_id, {quote(r.kind)} kind, {k} place, {r.least} least, regexp_split_to_array(x, {quote(r.pattern)}) s, regexp_extract_all(x, {quote(r.pattern)}) m, "
+        f"regexp_extract_all(x, {quote(r.pattern)}, {r.group}) c from t where regexp_matches(x, {quote(r.pattern)})"
+        for k, r in enumerate(rules)
+    ]
+    kinds = ", ".join(quote(r.kind) for r in base)
+    counts = ", ".join(f"count(*) filter (kind = {quote(r.kind)}) as n_{r.kind}" for r in base)
+    span, order = "kind || ':' || a || ':' || b", "order by a, place"
+    return f"""
+with t as (select doc_id, coalesce(text, '') x from documents),
+f as ({" union all ".join(each)}),
+g as (select doc_id, kind, place, least, s, m, c, unnest(range(1, len(m) + 1)) i from f),
+p as (select doc_id, kind, place, length(m[i]) n, list_sum(list_transform(s[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) a from g where length(c[i]) >= least),
+q as (select doc_id, kind, place, cast(a as bigint) a, cast(a + n as bigint) b from p),
+r as (select doc_id, {counts}, string_agg({span}, ',' {order}) filter (kind in ({kinds})) base, string_agg({span}, ',' {order}) spans from q group by doc_id)
+select t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join r using (doc_id)
+"""
