@@ -659,6 +659,16 @@ def naive_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aAb é\n\t#日", max_size=60), max_size=8))
+def test_op8_base_counts(texts):
+    import pyarrow as pa
+
+    got = quality.Texts(pa.array(["x", *texts], pa.string()).slice(1))
+    assert list(zip(*(got.base[n].tolist() for n in quality.COUNTS))) == [naive_counts(t) for t in texts]
+    assert [got.values[k] for k in got.codes.tolist()] == [w for t in texts for w in t.encode().lower().split()]
+
+
 def test_op8_counts_and_bands(spark, docs, empty):
     rows = corpus()
     got = quality.rate(docs).collect()
