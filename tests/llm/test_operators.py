@@ -805,10 +805,10 @@ def test_op8_bands_by_sorting(spark):
     r = random.Random(2)
     rows = [(r.choice(["a", "b"]), r.randint(500, 700), False) for _ in range(201)]
     df = spark.createDataFrame([(*x,) for x in rows], "lang string, log_ppl long, base_failed boolean")
-    for b in quality.bands(df, 2.0, 1).collect():
+    for b in quality.bands(df, 2.0, 3.0, 1).collect():
         x = np.array([p for lang, p, _ in rows if lang == b["lang"]])
-        reach = max(1, 2 * np.median(np.abs(x - np.median(x))))
-        assert (b["low"], b["high"]) == (np.median(x) - reach, np.median(x) + reach)
+        mad = np.median(np.abs(x - np.median(x)))
+        assert (b["low"], b["high"]) == (np.median(x) - max(1, 2 * mad), np.median(x) + max(1, 3 * mad))
 
 
 # lines
