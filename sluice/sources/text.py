@@ -145,15 +145,31 @@ def split_ok(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("_ok").drop("_ok", "_raw"), df.filter("not _ok").select("_raw", ORDER)
 
 
+def elements(texts: DataFrame) -> DataFrame:
+    """JSON documents (text, and the place of each as k) as JSON lines: a row for each element of a list, else one."""
+    element = F.from_json("text", "array<string>")
+    rows = texts.select("k", SOURCE, F.posexplode(F.when(F.ltrim("text").startswith("["), element).otherwise(F.array("text"))).alias("at", "_raw"))
+    return rows.select(F.regexp_replace("_raw", r"\s*\n\s*", " ").alias("_raw"), (F.col("k") + F.col("at")).alias(ORDER), F.current_timestamp().alias(ARRIVAL), SOURCE)
+
+
 def json_document(df: DataFrame) -> DataFrame:
-    """Lines that together are one JSON document: a row for each element of a list, else one, as JSON lines.
+    """Lines that together are one JSON document, as JSON lines.
 
-    A document's lines are put together in one task, as a document can't be read in parts.
+    The lines are put together in one task, as a document can't be read in parts;
+    of files ``json_documents`` reads each in a task of its own.
     """
-    whole = df.agg(F.array_sort(F.collect_list(F.struct(ORDER, "_raw"))).alias("x")).select(F.concat_ws("\n", "x._raw").alias("text"))
-    element = F.from_json("text", "array<string>")
-    rows = whole.select(F.posexplode(F.when(F.ltrim("text").startswith("["), element).otherwise(F.array("text"))).alias("k", "_raw"))
-    return rows.select(F.regexp_replace("_raw", r"\s*\n\s*", " ").alias("_raw"), F.col("k").cast("long").alias(ORDER)).withColumn(ARRIVAL, F.current_timestamp()).withColumn(SOURCE, F.lit(""))
+    whole = df.agg(F.array_sort(F.collect_list(F.struct(ORDER, "_raw"))).alias("x"))
+    return elements(whole.select(F.lit(0).cast("long").alias("k"), F.lit("").alias(SOURCE), F.concat_ws("\n", "x._raw").alias("text")))
+
+
+def json_documents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Files that are a JSON document each, as JSON lines in the order of the files."""
+
+    def one(k: int, file: str) -> DataFrame:
+        name = F.lit(unquote(os.path.basename(file)))
+        return spark.read.text(unquote(file), wholetext=True).select(F.lit(k * FILE_ORDER).cast("long").alias("k"), name.alias(SOURCE), F.col("value").alias("text"))
+
+    return elements(reduce(DataFrame.unionByName, [one(k, f) for k, f in enumerate(files)]))
 
 
 def is_object(line: str) -> bool:
@@ -167,7 +183,7 @@ def first_object(df: DataFrame) -> tuple | None:
     return (row[ORDER], row["_raw"]) if row else None
 
 
-def json_lines(df: DataFrame, found: list[tuple], asked: bool) -> tuple[DataFrame, list[tuple]] | None:
+def json_lines(df: DataFrame, found: list[tuple], asked: bool, files: list[str] = ()) -> tuple[DataFrame, list[tuple]] | None:
     """(lines as JSON, a sample of those that are objects); None if they aren't JSON.
 
     Lines are JSON if half of the sample or more are objects; what stands before and
@@ -182,20 +198,21 @@ def json_lines(df: DataFrame, found: list[tuple], asked: bool) -> tuple[DataFram
     if objects and (asked or 2 * len(objects) >= len(rows)):
         return df, objects
     if rows and (asked or infer.is_json_start([x for _, x in found])):
-        document = json_document(df)
+        document = json_documents(df.sparkSession, files) if files else json_document(df)
         sample = first_lines(document)
         return (document, sample) if sample and is_object(sample[0][1]) else None
     return None
 
 
 def open_table(
-    df: DataFrame, delimiter: str | None = None, detect_logs: bool = False, sample: list[tuple] | None = None, repeated: tuple = (), custom: tuple = ()
+    df: DataFrame, delimiter: str | None = None, detect_logs: bool = False, sample: list[tuple] | None = None, repeated: tuple = (), custom: tuple = (), files: tuple = ()
 ) -> tuple[DataFrame, Layout]:
     """Lines as a table: layout from the first lines, header and preamble left out, blank lines dropped.
 
     sample: (place, line) of the first lines, if the caller has them.  repeated:
     places where files behind the first repeat the header; a line there that equals
     it is dropped.  custom: log formats that are tried before the known ones.
+    files: the files that the lines are from, if they may be JSON documents.
     An inferred layout that doesn't fit is changed by ``relayout``.  Lines that
     don't fit the layout come with _ok false.
     """
@@ -204,7 +221,7 @@ def open_table(
     lines = [x for _, x in found]
     asked = delimiter is not None and infer.parse_delimiter(delimiter) == "json"
     if delimiter is None or asked:
-        as_json = json_lines(df, found, asked)
+        as_json = json_lines(df, found, asked, list(files))
         if as_json:
             df, objects = as_json
             layout = infer.infer_layout([x for _, x in objects], "json")
@@ -253,7 +270,7 @@ def open_files(spark: SparkSession, paths: list[str], delimiter: str | None = No
     if len(files) > MANY:
         return open_table(read_lines(spark, *paths), delimiter, detect_logs, custom=custom)
     starts = tuple(h[0][0] for k, f in enumerate(files) if k and (h := head_of(spark, f, k, 1)))
-    return open_table(read_lines(spark, *paths), delimiter, detect_logs, head(spark, files, LOOKED_AT), starts, custom)
+    return open_table(read_lines(spark, *paths), delimiter, detect_logs, head(spark, files, LOOKED_AT), starts, custom, tuple(files))
 
 
 def head_of(spark: SparkSession, file: str, k: int, n: int) -> list[tuple]:

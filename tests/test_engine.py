@@ -394,3 +394,10 @@ def test_live_pivot_with_last_cells(spark, tmp_path):
     good, _ = live.table(live.follow(spark, str(tmp_path / "in")), Layout(",", ("k", "v"), None))
     live.start_pivot(good.withColumn("_at", F.col("v").cast("int")).drop("_place", "_arrival", "_source"), ["k"], "with_last", str(tmp_path / "c"), "_at", availableNow=True).awaitTermination(60)
     assert [tuple(r) for r in spark.table("with_last").collect()] == [(2, "x", "3"), (1, "y", "2")]
+
+
+def test_folder_of_json_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {\n    "k": 1,\n    "v": "x"\n  },\n  {\n    "k": 2,\n    "v": "y"\n  }\n]\n')
+    (tmp_path / "b.json").write_text('{\n  "k": 3,\n  "v": "z"\n}\n')
+    df, layout = text.open_files(spark, [str(tmp_path)])
+    assert layout.names == ("k", "v") and [(r["k"], r["v"], r["_source"]) for r in df.orderBy("_ord").collect()] == [("1", "x", "a.json"), ("2", "y", "a.json"), ("3", "z", "b.json")]
