@@ -55,6 +55,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def last_made() -> str:
+    """The folder of the table that ``saved`` returned last."""
+    return MADE[-1]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that this process made and that no table reads any more."""
+    for path in paths:
+        remove(spark, path)
+        MADE.remove(path)
+
+
 def clear(spark: SparkSession, since: int, *keep: str) -> None:
     """Delete the folders made since there were so many, but for those to keep."""
     for path in MADE[since:]:

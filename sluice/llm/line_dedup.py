@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import drop, last_made, saved, whole_text
 
 MIN_WORDS = 50
 KEY = ["doc_id", "th"]
@@ -121,15 +121,20 @@ def suffix_ranks(first: DataFrame, reach: int) -> DataFrame:
     of = ["doc_id", "th", "start"]
     rows = first.select(*of, F.posexplode("hs").alias("off", "h"))
     ranks = dense_ranks(rows, ["h"])
-    now = saved(rows.join(ranks, "h").select(*of, "off", "rank"))
-    total, distinct, width = now.count(), ranks.count(), 1
+    now, spark = saved(rows.join(ranks, "h").select(*of, "off", "rank")), first.sparkSession
+    total, distinct, width, held = now.count(), ranks.count(), 1, [last_made()]
     while width < reach and distinct < total:
         on = Window.partitionBy(*of).orderBy("off")
         pairs = now.withColumn("next", F.coalesce(F.lead("rank", width).over(on), F.lit(-1).cast("long"))).withColumnRenamed("rank", "r")
         pairs = saved(pairs)
+        drop(spark, *held)
+        held = [last_made()]
         ranks = dense_ranks(pairs, ["r", "next"])
+        held.append(last_made())
         now = saved(pairs.join(ranks, ["r", "next"]).select(*of, "off", "rank"))
-        before, distinct, width = distinct, ranks.count(), width * 2
+        distinct, width = ranks.count(), width * 2
+        drop(spark, *held)
+        held = [last_made()]
     return now
 
 

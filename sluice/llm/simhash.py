@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import drop, last_made, saved, whole_text
 
 MAX_BITS = 3
 #: Byte positions of a posting, how many postings two linked fingerprints share at least, and the positions of hot ones.
@@ -201,7 +201,7 @@ def links(distinct: DataFrame, hot: int | None = None) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (u, v): large and small stars in turn, until nothing changes.
 
-    Each round is written to the shared folder; the roots are the smallest longs.
+    Each round is written to the shared folder, and the one before deleted; the roots are the smallest longs.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -209,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     edges = saved(edges.filter("u != v").select(*pair).distinct())
-    now = mark(edges)
+    now, folder = mark(edges), last_made()
     while now[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -217,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v")))
         edges = saved(small.select(*pair).distinct())
-        before, now = now, mark(edges)
+        drop(edges.sparkSession, folder)
+        before, now, folder = now, mark(edges), last_made()
         if now == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
