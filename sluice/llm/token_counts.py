@@ -36,7 +36,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, en
 
     def blocks(batches):
         keys, parts, size = [], [], 0
-        for key, ids in encoded(batches, tokenizer, pieces, end_id, plain=True):
+        for key, ids in encoded(batches, tokenizer, pieces, end_id, plain=True, chars=3_000_000):
             keys.append(NULL_KEY if key is None else key)
             parts.append(ids)
             size += len(ids)

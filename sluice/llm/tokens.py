@@ -57,12 +57,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain
+        self.plain = plain
         self.prepared, self.keeps_space = {"byte": (as_it_is, True), "word": (lowered, False)}[pieces]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         specials = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark, self.between = min(specials, default=(-1, ""))
-        self.joiner = Tokenizer.from_file(path) if plain and specials else self.tokenizer
         self.limit = limit
         self._forget()
 
@@ -89,16 +88,18 @@ class PieceEncoder:
         alone = [k for k, p in enumerate(pieces) if not self.between or "<|" in p or len(p) > 1000]
         there = set(alone)
         joined = [p for k, p in enumerate(pieces) if k not in there] if alone else pieces
+        self.tokenizer.encode_special_tokens = not self.between and self.plain
         parts, close = [np.zeros(0, self.dtype)], np.array([self.mark if self.between else 0], self.dtype)
         for k in range(0, len(joined), 100 * size):
             groups = [self.between.join(joined[j : j + size]) for j in range(k, min(k + 100 * size, len(joined)), size)]
-            for e in self.joiner.encode_batch_fast(groups, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
                 parts += [np.array(e.ids, self.dtype), close]
         ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == close[0]) if joined else np.zeros(0, np.int64)
         starts = np.append(0, ends[:-1] + 1)[: len(ends)]
         sizes = ends - starts
         if alone:
+            self.tokenizer.encode_special_tokens = self.plain
             own = [np.array(e.ids, self.dtype) for k in range(0, len(alone), 1000) for e in self.tokenizer.encode_batch_fast([pieces[j] for j in alone[k : k + 1000]], add_special_tokens=False)]
             n = np.array([len(x) for x in own], np.int64)
             rest = np.setdiff1d(np.arange(len(pieces)), alone)
