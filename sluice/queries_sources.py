@@ -177,6 +177,23 @@ def command_source(spark, d):
     return spark.read.format("command").option("command", "seq 1 1000").option("allow", "true").load().select(F.col("value").cast("long").alias("n"))
 
 
+def switch_delimiter(spark, d):
+    """A table of commas read as raw lines: preamble and header are lines again."""
+    lines = text.read_lines(spark, one_file(spark, joined(customers(spark, d), ","), ["made by hand", "key,name,nation"]))
+    df, _ = text.open_table(lines, ",")
+    raw, layout, spec = text.switch(lines, QuerySpec(filters=(Filter("x"),)), "raw")
+    return raw.select("log", F.lit(layout.delimiter).alias("delimiter"), F.lit(len(spec.filters)).alias("filters"), F.lit(df.columns[0]).alias("first"))
+
+
+def excluded_reopened(spark, d):
+    """Lines that don't fit are a table with a delimiter of its own."""
+    df = customers(spark, d)
+    line = F.when(F.col("key").cast("long") % 7 == 3, F.concat_ws("|", "key", "name", "nation", F.lit("x"))).otherwise(F.concat_ws(",", *df.columns))
+    got, _ = text.open_files(spark, [one_file(spark, df.select(F.col("key").alias("n"), line.alias("value")), ["key,name,nation"])])
+    out, layout = text.open_excluded(got, r"(?P<key>\d+)\|(?P<name>[^|]*)\|(?P<nation>\d+)\|x")
+    return out.select("key", "name", "nation", F.lit(text.infer.infer_delimiter([r["_raw"] for r in got.filter("not _ok").orderBy(ORDER).limit(9).collect()])).alias("delimiter"))
+
+
 def event_lines(spark, d) -> str:
     folder = work_folder(spark)
     read(spark, d, "events").select(F.concat_ws(",", "event_id", "event_type", "user_id").alias("value")).repartition(4, "value").write.text(folder)
@@ -298,6 +315,8 @@ SQL = {
     "sink_raw_files": "select c_custkey || chr(9) || c_name || chr(9) || c_nationkey as line from customer",
     "sink_tsv_files": "select c_custkey || chr(9) || c_name || chr(9) || c_nationkey as line from customer",
     "sink_text": "select 0::bigint as n, 'r_regionkey' || chr(9) || 'r_name' as line union all select row_number() over (order by r_regionkey), r_regionkey || chr(9) || r_name from region",
+    "switch_delimiter": "select log, 'raw' as delimiter, cast(0 as int) as filters, 'key' as first from (select 'made by hand' as log union all select 'key,name,nation' union all select c_custkey || ',' || c_name || ',' || c_nationkey from customer)",
+    "excluded_reopened": f"{CUSTOMERS}, '|' as delimiter from customer where c_custkey % 7 = 3",
     "command_source": "select range as n from range(1, 1001)",
     "stream_append": "select cast(event_id as varchar) as id, event_type as kind, cast(user_id as varchar) as user from events where event_type = 'click'",
     "stream_pivot": "select count(*) as count, event_type as kind, cast(max(event_id) as varchar) as last_id, cast(arg_max(user_id, event_id) as varchar) as last_user from events group by event_type",

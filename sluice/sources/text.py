@@ -15,6 +15,7 @@ from ..functions.regexes import groups_at_start, java_literal, matches_at_start
 from ..operators.rows import ARRIVAL, ORDER, SOURCE
 from ..plans import infer
 from ..plans.infer import Layout
+from ..plans.spec import QuerySpec
 
 #: Lines looked at before a source is split.
 SAMPLE = 20
@@ -273,6 +274,17 @@ def open_files(spark: SparkSession, paths: list[str], delimiter: str | None = No
     return open_table(read_lines(spark, *paths), delimiter, detect_logs, head(spark, files, LOOKED_AT), starts, custom, tuple(files))
 
 
+def switch(lines: DataFrame, spec: QuerySpec, delimiter: str) -> tuple[DataFrame, Layout, QuerySpec]:
+    """The same lines by another delimiter: all of them count again, a former header and preamble too, and the query starts anew."""
+    df, layout = open_table(lines, delimiter)
+    return df, layout, spec.with_delimiter(delimiter)
+
+
+def open_excluded(df: DataFrame, delimiter: str | None = None) -> tuple[DataFrame, Layout]:
+    """The lines that didn't fit a table's layout, as a table by a layout of their own."""
+    return open_table(split_ok(df)[1], delimiter)
+
+
 def head_of(spark: SparkSession, file: str, k: int, n: int) -> list[tuple]:
     return [(r[ORDER], r["_raw"]) for r in lines_of_file(spark, file, k).filter("_raw != ''").limit(n).collect()]
 

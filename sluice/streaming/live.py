@@ -9,6 +9,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -167,18 +168,31 @@ def start_pivot(df: DataFrame, keys: list[str], name: str, checkpoint: str, plac
     return writer.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
+#: Batches whose rows are put together.
+MERGE = 32
+
+
 def recomputed(df: DataFrame, spec: QuerySpec, folder: str, checkpoint: str, show: Callable[[DataFrame, int], None], every: str = "1 second", **trigger) -> StreamingQuery:
     """Sorts, windows and dedup: rows are kept in a folder and the query is evaluated anew over them after each batch.
 
     _batch_id says in which batch a row came, and a batch that is written again
-    after a failure takes its own place.
+    after a failure takes its own place.  Rows of MERGE batches are put into few
+    larger files, so that a long stream is not read from a file for each batch.
     """
 
     def batch(new: DataFrame, number: int) -> None:
         path = f"{folder}/_batch_id={number}"
         new.withColumn(ORDER, F.monotonically_increasing_id() + F.lit(number) * F.lit(1 << 40)).drop("_place").write.mode("overwrite").parquet(path)
-        kept = new.sparkSession.read.option("basePath", folder).parquet(f"{folder}/*")
-        show(build(spec, kept)[0], number)
+        merged = number // MERGE
+        if number % MERGE == 0 and number:
+            # the batches before this one, as one; a run that breaks off here does it again
+            spark = new.sparkSession
+            before = spark.read.option("basePath", folder).parquet(*[f"{folder}/_batch_id={k}" for k in range(number - MERGE, number)])
+            before.repartition(8, ORDER).write.mode("overwrite").parquet(f"{folder}/_merged/{merged - 1}")
+        parts = [new.sparkSession.read.option("basePath", folder).parquet(*[f"{folder}/_batch_id={k}" for k in range(merged * MERGE, number + 1)])]
+        if merged:
+            parts.append(new.sparkSession.read.parquet(*[f"{folder}/_merged/{k}" for k in range(merged)]))
+        show(build(spec, reduce(DataFrame.unionByName, parts))[0], number)
 
     return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": every})).start()
 

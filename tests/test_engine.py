@@ -401,3 +401,14 @@ def test_folder_of_json_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{\n  "k": 3,\n  "v": "z"\n}\n')
     df, layout = text.open_files(spark, [str(tmp_path)])
     assert layout.names == ("k", "v") and [(r["k"], r["v"], r["_source"]) for r in df.orderBy("_ord").collect()] == [("1", "x", "a.json"), ("2", "y", "a.json"), ("3", "z", "b.json")]
+
+
+def test_recomputed_over_merged_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "MERGE", 2)
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"k{k % 3},{k}\n")
+    good, _ = live.table(live.follow(spark, str(tmp_path / "in"), 1), Layout(",", ("k", "v"), None))
+    seen = []
+    live.recomputed(good, QuerySpec(sort=Sort("v"), columns="v"), str(tmp_path / "kept"), str(tmp_path / "c"), lambda df, n: seen.append([r["v"] for r in df.collect()]), availableNow=True).awaitTermination(90)
+    assert seen[-1] == ["0", "1", "2", "3", "4"] and [len(x) for x in seen] == [1, 2, 3, 4, 5]
