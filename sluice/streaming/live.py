@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import select
 import subprocess
+import sys
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -207,6 +209,10 @@ def follow_interval(seconds: float) -> float:
     return min(5.0, max(1.0, seconds / 10))
 
 
+# the source's classes go to executors by value, so these need no package of their own
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class CommandSource(DataSource):
     """A shell command's output as a source, format("command"), for callers that opted in with allow=true."""
 
