@@ -19,8 +19,8 @@ every line of a later copy is deleted, with the blank lines inside it.
    its ends hold (for each length the earliest place with so long a common prefix);
    these few values, passed on from range to range, stand for all suffixes outside.
 
-Lines are equal if their 64-bit hashes are; a run of ``min_words`` words would have to
-collide as a whole to be deleted wrongly.
+Lines go by a 64-bit hash.  Where lines of one hash differ in a second one, both
+together make their hash, so lines count as equal only if 128 bits are.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import drop, last_made, saved, whole_text
 
 MIN_WORDS = 50
+#: Bits of the first hash; fewer in tests.
+HASH_BITS = 64
 KEY = ["doc_id", "th"]
 
 
@@ -45,7 +47,8 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, line, h, words) of every line with a word: at counts those lines, line all lines."""
+    """(doc_id, th, at, line, h, other, words) of every line with a word: at counts those lines, line all lines; h and other are hashes."""
+    bits = HASH_BITS
 
     def rows(batches):
         import xxhash
@@ -53,23 +56,23 @@ def lines(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             doc, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for d, t, text in zip(doc, th, batch.column(2)):
                 at = 0
                 for k, line in enumerate(text.as_py().encode().split(b"\n")):
                     n = len(line.split())
                     if n:
-                        for column, x in zip(out, (d, t, at, k, digest(line) - (1 << 63), n)):
+                        for column, x in zip(out, (d, t, at, k, (digest(line) >> (64 - bits)) - (1 << 63), digest(line, 1) - (1 << 63), n)):
                             column.append(x)
                         at += 1
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-                    out = [[] for _ in range(6)]
+                    out = [[] for _ in range(7)]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("line", pa.int32()), ("h", pa.int64()), ("words", pa.int32())])
-    return docs.mapInArrow(rows, "doc_id long, th long, at int, line int, h long, words int")
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("line", pa.int32()), ("h", pa.int64()), ("other", pa.int64()), ("words", pa.int32())])
+    return docs.mapInArrow(rows, "doc_id long, th long, at int, line int, h long, other long, words int")
 
 
 def with_counted(df: DataFrame, key: str, counts: DataFrame, total: int, how: str) -> DataFrame:
@@ -86,9 +89,18 @@ def with_counted(df: DataFrame, key: str, counts: DataFrame, total: int, how: st
 
 
 def repeated_lines(found: DataFrame) -> DataFrame:
-    """The rows whose line occurs twice or more."""
-    counts = saved(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    return with_counted(found, "h", counts, found.count(), "left_semi")
+    """The rows whose line occurs twice or more, without their second hash."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return saved(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("other").alias("a"), F.max("other").alias("b")).filter("n > 1"))
+
+    counts = counted(found)
+    if counts.filter("a <> b").limit(1).count():
+        shared = counts.filter("a <> b").select(F.col("h").alias("shared"))
+        both = F.when(F.col("shared").isNull(), F.col("h")).otherwise(F.xxhash64("h", "other"))
+        found = saved(found.join(shared, F.col("h") == F.col("shared"), "left").withColumn("h", both).drop("shared"))
+        counts = counted(found)
+    return with_counted(found, "h", counts.select("h", "n"), found.count(), "left_semi").drop("other")
 
 
 def segments(found: DataFrame, min_words: int) -> DataFrame:

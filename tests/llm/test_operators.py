@@ -833,8 +833,9 @@ def naive_dedup(rows, least):
     return {x: "\n".join(s for k, s in enumerate(x[2].split("\n")) if k not in gone[x]) for x in order}
 
 
-@pytest.mark.parametrize(("seed", "least"), [(1, 8), (2, 3)])
-def test_op9_lines(spark, seed, least):
+@pytest.mark.parametrize(("seed", "least", "bits"), [(1, 8, 64), (2, 3, 64), (3, 5, 2)])
+def test_op9_lines(spark, seed, least, bits, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HASH_BITS", bits)  # with few bits different lines share their first hash
     r = random.Random(seed)
     lines = ["a b", "c", "d e f", "", "g h i", "j k l m n", " ", "unique"]
     rows = [(k, "\n".join(r.choice(lines[:-1]) + (f" {r.randint(0, 99)}" if r.random() < 0.05 else "") for _ in range(r.randint(0, 30)))) for k in range(40)]
