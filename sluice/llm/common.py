@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +122,28 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_sluice_worker", types.ModuleType("_sluice_worker")).__dict__
 
 
+def free() -> None:
+    """Give what the worker no longer uses back to the system, where that can be asked for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def tidy(rows):
+    """A task's function over batches that frees memory at its end, since idle workers keep theirs from stage to stage."""
+
+    def tidied(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            free()
+
+    return tidied
+
+
 def whole_text(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Fixed names of HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -491,4 +493,4 @@ def extract_text(pages: DataFrame, key: str = "page_id", source: str = "html") -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(x.as_py()) for x in batch.column(1)], pa.string())], names=[key, "text"])
 
-    return pages.select(key, F.col(source)).mapInArrow(rows, f"`{key}` {kind}, text string")
+    return pages.select(key, F.col(source)).mapInArrow(tidy(rows), f"`{key}` {kind}, text string")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, last_made, saved, whole_text
+from .common import drop, last_made, saved, tidy, whole_text
 
 MIN_WORDS = 50
 #: Bits of the first hash; fewer in tests.
@@ -72,7 +72,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("line", pa.int32()), ("h", pa.int64()), ("other", pa.int64()), ("words", pa.int32())])
-    return docs.mapInArrow(rows, "doc_id long, th long, at int, line int, h long, other long, words int")
+    return docs.mapInArrow(tidy(rows), "doc_id long, th long, at int, line int, h long, other long, words int")
 
 
 def with_counted(df: DataFrame, key: str, counts: DataFrame, total: int, how: str) -> DataFrame:
@@ -122,7 +122,7 @@ def dense_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
             k += n
 
     dealt = df.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
-    numbered = saved(dealt.mapInArrow(number, ", ".join(f"{c} long" for c in columns) + ", part long, k long"))
+    numbered = saved(dealt.mapInArrow(tidy(number), ", ".join(f"{c} long" for c in columns) + ", part long, k long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return numbered.join(base, "part").select(*columns, (F.col("base") + F.col("k")).alias("rank"))
@@ -178,7 +178,7 @@ def suffixes(first: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("off", pa.int32()), ("least", pa.int32()), ("ahead", pa.list_(pa.int64())), ("ls", pa.list_(pa.int32()))])
-    return first.mapInArrow(rows, "doc_id long, th long, start int, off int, least int, ahead array<long>, ls array<int>")
+    return first.mapInArrow(tidy(rows), "doc_id long, th long, start int, off int, least int, ahead array<long>, ls array<int>")
 
 
 def longest_earlier(items: list[tuple], common: list[int]) -> list[int]:
@@ -287,7 +287,7 @@ def later_copies(ranked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, schema.field(c).type) for c in columns), pa.array([part], pa.int64()), pa.array([-1], pa.int64()), pa.array([shown])], schema=schema)
 
     kinds = "doc_id long, th long, start int, off int, least int, ahead array<long>, ls array<int>"
-    sorted_rows = saved(ranked.select(*columns, "rank").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, f"{kinds}, part long, k long, ends string"))
+    sorted_rows = saved(ranked.select(*columns, "rank").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(numbered), f"{kinds}, part long, k long, ends string"))
     ends = {}
     steps = lambda x: [(n, tuple(p)) for n, p in x]
     for r in sorted_rows.filter("k = -1").select("part", "ends").collect():  # a row for each range
@@ -322,7 +322,7 @@ def later_copies(ranked: DataFrame) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
     dealt = sorted_rows.filter("k >= 0").drop("ends").repartition("part").sortWithinPartitions("part", "k")
-    return dealt.mapInArrow(rows, "doc_id long, th long, first int, last int")
+    return dealt.mapInArrow(tidy(rows), "doc_id long, th long, first int, last int")
 
 
 def runs_to_delete(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -379,4 +379,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, made: tuple[str, st
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return joined.select(*[f"`{c}`" for c in names], "sluice_runs").mapInArrow(cut, f"{kinds}, {made[0]} long, {made[1]} long")
+    return joined.select(*[f"`{c}`" for c in names], "sluice_runs").mapInArrow(tidy(cut), f"{kinds}, {made[0]} long, {made[1]} long")

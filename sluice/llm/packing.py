@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import tidy, whole_text
 from .tokens import encoded, encoder
 
 TIERS = (512, 1024, 2048, 4096)
 #: Ids that a task holds before it packs them.
-BLOCK_IDS = 6_000_000
+BLOCK_IDS = 3_000_000
 #: Ids of a step group, as near as whole windows allow.
 STEP_IDS = 64 * 4096
 
@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, ti
             fresh = size = 0
             return pa.RecordBatch.from_pydict(columns, SCHEMA)
 
-        for key, ids in encoded(batches, tokenizer, pieces, end_id):
+        for key, ids in encoded(batches, tokenizer, pieces, end_id, chars=3_000_000):
             held.append((key, ids))
             fresh += 1
             size += len(ids) // width.itemsize
@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, ti
             yield flush(True)
 
     names = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids binary"
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(packed, names)
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(packed), names)
 
 
 def np_ids(raw, dtype) -> bytes:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, last_made, saved, whole_text
+from .common import drop, last_made, saved, tidy, whole_text
 
 MAX_BITS = 3
 #: Byte positions of a posting, how many postings two linked fingerprints share at least, and the positions of hot ones.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), digest) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "fp": pa.array(fp.view(np.int64))})
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(rows), "doc_id long, fp long")
 
 
 def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def meetings(distinct: DataFrame, hot: int) -> DataFrame:
                 own = np.unique(np.concatenate(large)).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"u": pa.array(own), "v": pa.nulls(len(own), pa.int64())})
 
-    return keyed_by(distinct, POSTINGS).mapInArrow(rows, "u long, v long")
+    return keyed_by(distinct, POSTINGS).mapInArrow(tidy(rows), "u long, v long")
 
 
 def forests(fingerprints: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def forests(fingerprints: DataFrame) -> DataFrame:
                 v.append(values[root[moved]])
             yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u).view(np.int64)), "v": pa.array(np.concatenate(v).view(np.int64))})
 
-    return keyed_by(fingerprints, SUBSETS).mapInArrow(rows, "u long, v long")
+    return keyed_by(fingerprints, SUBSETS).mapInArrow(tidy(rows), "u long, v long")
 
 
 def links(distinct: DataFrame, hot: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_blobs, saved, whole_text, write_blobs
+from .common import read_blobs, saved, tidy, whole_text, write_blobs
 from .tokens import encoded, release
 
 #: A file that starts so lists the doc_ids of a part; all others are ids only.
@@ -51,7 +51,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, en
         if keys:
             yield pa.RecordBatch.from_pydict({"blob": pa.array([KEYS_MAGIC + np.array(keys, "<i8").tobytes()], pa.binary())})
 
-    write_blobs(docs.select("doc_id", whole_text().alias("text")).mapInArrow(blocks, "blob binary"), "blob", path)
+    write_blobs(docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(blocks), "blob binary"), "blob", path)
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int, width: int) -> DataFrame:
@@ -83,7 +83,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, width: int) -> Dat
                     }
                 )
 
-    found = saved(read_blobs(spark, path).mapInArrow(search, "part long, number long, k long, n long, at long, tail long"))
+    found = saved(read_blobs(spark, path).mapInArrow(tidy(search), "part long, number long, k long, n long, at long, tail long"))
     # k = -1 is a block's summary: n ends, at ids, tail ids behind the last end
     order = Window.partitionBy("part").orderBy("number")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -130,4 +130,4 @@ def document_keys(spark: SparkSession, path: str) -> DataFrame:
                         }
                     )
 
-    return read_blobs(spark, path).mapInArrow(listed, "part long, ordinal long, doc_id long")
+    return read_blobs(spark, path).mapInArrow(tidy(listed), "part long, ordinal long, doc_id long")

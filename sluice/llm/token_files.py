@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, file_range, read_blobs, whole_text, write_blobs
+from .common import blobs, file_range, read_blobs, tidy, whole_text, write_blobs
 from .mph import PerfectHash, digests
 from .tokens import encoded, encoder, release
 
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, e
     rows = docs.select("doc_id", whole_text().alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    write_blobs(dealt.select("doc_id", "text").mapInArrow(shards, "blob binary"), "blob", path)
+    write_blobs(dealt.select("doc_id", "text").mapInArrow(tidy(shards), "blob binary"), "blob", path)
     write_directory(docs.sparkSession, path)
 
 
@@ -152,7 +152,7 @@ def write_directory(spark: SparkSession, path: str) -> None:
     if lists:
         read = spark.read.format("binaryFile").load(lists)
         part = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long")
-        found = read.select(part.alias("part"), "content").mapInArrow(rows, out)
+        found = read.select(part.alias("part"), "content").mapInArrow(tidy(rows), out)
         # the k-th shard of a task is its file number k
         own = blobs(spark, path).select("part", "number", F.col("path").alias("file"))
         found = found.join(own, ["part", "number"])
@@ -238,7 +238,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     schema = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("record", pa.int64()), ("doc_id", pa.int64()), ("start_in_shard", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     out = "part long, number long, record long, doc_id long, start_in_shard long, n_tokens long, ids binary"
-    return read_blobs(spark, path).mapInArrow(records, out)
+    return read_blobs(spark, path).mapInArrow(tidy(records), out)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
@@ -262,7 +262,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
     files = [r["file"] for r in shards_of(spark, path, keys)]
     if not files:
         return spark.createDataFrame([], "doc_id long, ids binary")
-    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(answers, "doc_id long, ids binary")
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(tidy(answers), "doc_id long, ids binary")
 
 
 def with_global_starts(records: DataFrame, shards: DataFrame) -> DataFrame:
