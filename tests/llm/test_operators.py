@@ -644,6 +644,20 @@ def test_op6_repeated_rows(spark):
     assert got == Counter((d, tuple(naive_spans(t))) for d, t in rows) and all(len(x[1]) > 1 for x in got)
 
 
+def test_op6_sql(spark, monkeypatch):
+    from sluice.llm import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, t) for k, t in enumerate([*[t for _, t in corpus()], *SECRETS])]
+    df = table(spark, rows)
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = queries.op6_secret_scan(spark, "")
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    found = con.sql(secret_scan.scan_sql())
+    assert found.columns == got.columns and Counter(found.fetchall()) == Counter(tuple(r) for r in got.collect())
+
+
 # quality
 
 
