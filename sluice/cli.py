@@ -8,6 +8,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +127,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             else:
                 sinks.write_stream(df, out, call.fmt)
         return 0
-    except (SpecError, FileNotFoundError) as e:
-        print(e, file=sys.stderr)
+    except (SpecError, FileNotFoundError, AnalysisException) as e:
+        print(str(e).splitlines()[0], file=sys.stderr)
         return 1
     finally:
         if own:

@@ -338,6 +338,7 @@ def test_command_line_files_and_sessions(spark, tmp_path):
     assert run("-m", "a.csv", "b.csv") == "x,y\n1,2\n3,4\n5,6\n"
     assert run("a.csv", "-S", "mine", "--sessions", str(tmp_path / "s")) == "x,y\n1,2\n"
     assert run("a.csv", "--tail", "--last", "1") == "x,y\n3,4\n"
+    assert cli.main([str(tmp_path / "missing.csv")], spark, io.StringIO()) == 1
     for bad in (["-m", "a.csv"], ["-S", "none", "--sessions", str(tmp_path / "s"), "a.csv"]):
         with pytest.raises(SystemExit):
             cli.parse_args(bad)
