@@ -51,7 +51,7 @@ def lowered(text: str) -> str:
 class PieceEncoder:
     """Texts to little-endian ids, two bytes each if the vocabulary allows, else four."""
 
-    def __init__(self, path: str, pieces: str, plain: bool = False, limit: int = 300_000):
+    def __init__(self, path: str, pieces: str, plain: bool = False, limit: int | None = None):
         """plain: special tokens' strings in a text are ordinary text, so their ids mark nothing else; limit: pieces that are kept."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -62,7 +62,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         specials = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark, self.between = min(specials, default=(-1, ""))
-        self.limit = limit
+        self.limit = limit or {"byte": 300_000, "word": 200_000}[pieces]
         self._forget()
 
     def _forget(self) -> None:
