@@ -108,7 +108,7 @@ def write_blobs(df: DataFrame, column: str, path: str) -> None:
 def blobs(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content, part, number) of each file that ``write_blobs`` made; content is read only where it is used."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    part, number = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1)
+    part, number = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1), F.regexp_extract("path", r"-c(\d+)(?:\.[^/-]*)?$", 1)
     return found.select("path", "length", "content", part.cast("long").alias("part"), number.cast("long").alias("number")).filter("length > 0")
 
 

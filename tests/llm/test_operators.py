@@ -141,6 +141,15 @@ def test_op2_files(spark, docs, empty, monkeypatch):
     assert token_files.read_token_files(spark, path).count() == 0 and token_files.Reader(spark, path).get(3) == []
 
 
+def test_blob_numbers(spark, tmp_path):
+    """The number of a file stands at the end of its name, whatever its random part looks like."""
+    from sluice.llm.common import blobs
+
+    for name in ("part-00002-0a1b-c21f-4b00-8c00-c012ab-c003.txt", "part-00012-c9f1-c100-c000.txt", "part-00000-c9f1-c100-c1234.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted((r["part"], r["number"]) for r in blobs(spark, str(tmp_path)).collect()) == [(0, 1234), (2, 3), (12, 0)]
+
+
 def test_op7_counts(spark, docs, empty):
     path, end = shared_dir(spark), 49407
     token_counts.write_flat_files(docs, path, P.path("word_bpe_49k.json"), "word", end, block_bytes=512)
