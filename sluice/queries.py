@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from . import queries_plans, queries_sources
 from .functions import datetimes
 from .functions.regexes import replace_first
-from .functions.values import natural_key
 from .operators import columns as cols
 from .operators import rows
 from .plans import logformats
