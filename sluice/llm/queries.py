@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, packing, quality, secret_scan, simhash, token_counts, token_files
+from . import collocations, decontaminate, fill_middle, html_text, line_dedup, lm_score, packing, quality, secret_scan, simhash, token_counts, token_files
 from .common import shared_dir, table
 from .tokens import vocabulary_path
 
@@ -67,9 +67,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.OVERLAPS_SQL, "op6_secret_scan": secret_scan.scan_sql()}
+    return {"op5_decontamination": decontaminate.OVERLAPS_SQL, "op6_secret_scan": secret_scan.scan_sql(), "op11_fill_middle": fill_middle.SQL, "op12_collocations": collocations.SQL}
