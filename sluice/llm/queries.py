@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, fill_middle, html_text, line_dedup, lm_score, packing, quality, secret_scan, simhash, token_counts, token_files
+from . import collocations, decontaminate, fill_middle, html_text, jaccard, line_dedup, lm_score, packing, quality, secret_scan, simhash, token_counts, token_files
 from .common import shared_dir, table
 from .tokens import vocabulary_path
 
@@ -76,9 +76,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.OVERLAPS_SQL, "op6_secret_scan": secret_scan.scan_sql(), "op11_fill_middle": fill_middle.SQL, "op12_collocations": collocations.SQL}
+    return {"op5_decontamination": decontaminate.OVERLAPS_SQL, "op6_secret_scan": secret_scan.scan_sql(), "op11_fill_middle": fill_middle.SQL, "op12_collocations": collocations.SQL, "op13_jaccard": jaccard.SQL}
