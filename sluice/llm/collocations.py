@@ -74,8 +74,8 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def buckets(columns: list[np.ndarray], bits: int = TABLE_BITS) -> np.ndarray:
-    return (mixed(columns) >> np.uint64(64 - bits)).astype(np.int64)
+def buckets(columns: list[np.ndarray]) -> np.ndarray:
+    return (mixed(columns) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def is_set(table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
