@@ -15,8 +15,8 @@ parts of a partition; all subsets are enumerated, so linked sets share one.
    CROWD for each member.  The sets of larger groups are signed anew by the next
    scheme, whose signatures cover more elements and which finds all links by itself.
    The last scheme's groups emit all pairs across clusters.
-3. A pair is compared if sizes and a histogram of 32 cells allow it to link (both only
-   ever rule out pairs that can't), and then element by element.
+3. A pair is compared if sizes and histograms of some 8 elements a cell allow it to link
+   (both only ever rule out pairs that can't), and then element by element.
 
 Equal sets are one from the start.  Sets go by a 64-bit hash of their elements, equal
 documents by one of 128 bits.
@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, tidy, whole_text
@@ -44,8 +44,8 @@ SCHEMES = ((1, 1), (2, 3), (3, 3))
 SMALL_K = 8
 #: Pairs across clusters for each member, above which a group is signed anew.
 CROWD = 8
-#: Cells of a histogram, a byte each.
-CELLS = 32
+#: Elements for each cell of a histogram, a byte each; cells are a power of two.
+PER_CELL = 8
 #: Bits of the table of shared signatures, as a power of two: 16 MB.
 TABLE_BITS = 27
 #: Bytes of texts that are worked on at once.
@@ -131,27 +131,36 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
     return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
 
-def histogram(elements: np.ndarray) -> np.ndarray:
-    """Elements by cell of the domain, 255 at most, eight cells in a long."""
-    counts = np.bincount((elements >> np.uint64(59)).astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, 255).astype(np.uint8).view("<i8")
+def histogram(elements: np.ndarray) -> bytes:
+    """Elements by cell of the domain, 255 at most."""
+    bits = max(1, (len(elements) // PER_CELL).bit_length())
+    counts = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def cells_apart(a: bytes, b: bytes) -> int:
+    """How much two histograms differ at least: no more than the sets do."""
+    x, y = sorted((np.frombuffer(c, np.uint8) for c in (a, b)), key=len)
+    y = y.reshape(len(x), -1)  # the cells of the finer one that make up each of the other
+    full = 1 << 40  # a full cell may stand for any larger number
+    x_low, y_low = x.astype(np.int64), y.sum(axis=1, dtype=np.int64)
+    x_high, y_high = np.where(x == 255, full, x_low), np.where((y == 255).any(axis=1), full, y_low)
+    return int(np.maximum(0, np.maximum(x_low - y_high, y_low - x_high)).sum())
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s, t, c0 to c3): size, hashes and histogram of each row's set."""
-    names = [f"c{k}" for k in range(CELLS // 8)]
+    """(doc_id, n, s, t, cells): size, hashes and histogram of each row's set."""
 
     def rows(batches):
         for batch in batches:
             for a, b in chunks(batch.column(1), CHUNK):
                 sets = shingle_sets(batch.column(1).slice(a, b - a))
                 ids = np.array([identity(x) for x in sets], np.int64).reshape(-1, 2)
-                cells = np.array([histogram(x) for x in sets], np.int64).reshape(-1, len(names))
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *map(pa.array, cells.T)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s", "t", *names])
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([histogram(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s", "t", "cells"])
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return texts.mapInArrow(tidy(rows), "doc_id long, n long, s long, t long, " + ", ".join(f"{c} long" for c in names))
+    return texts.mapInArrow(tidy(rows), "doc_id long, n long, s long, t long, cells binary")
 
 
 def signed(texts: DataFrame, scheme: int, percent: int, table=None) -> DataFrame:
@@ -196,12 +205,6 @@ def groups(texts: DataFrame, scheme: int, percent: int) -> DataFrame:
     return saved(rows)
 
 
-def differing_cells() -> Column:
-    """How much two histograms, a0 to a3 and b0 to b3, differ: no more than the sets do."""
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
-    return reduce(lambda x, y: x + y, [F.abs(byte(f"a{c}", k) - byte(f"b{c}", k)) for c in range(CELLS // 8) for k in range(8)])
-
-
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(s, x) of the sets (s, low) that are wanted, from the text of document low."""
 
@@ -222,16 +225,28 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(low, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
 
 
+def able(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, nu, nv): the distinct pairs that may link by their sizes and histograms; sets: (s, n, low, cells)."""
+    side = lambda key: sets.select(F.col("s").alias(key), F.col("n").alias(f"n{key}"), F.col("cells").alias(f"c{key}"))
+    both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
+    both = both.filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+
+    def rows(batches):
+        for batch in batches:
+            n = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+            apart = np.array([cells_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column("cu"), batch.column("cv"))], np.int64)
+            kept = np.flatnonzero((100 + percent) * apart <= (100 - percent) * n)
+            yield batch.select(["u", "v", "nu", "nv"]).take(pa.array(kept, pa.int64()))
+
+    return saved(both.mapInArrow(tidy(rows), "u long, v long, nu long, nv long"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of sets that link; sets: (s, n, low, c0 to c3)."""
-    cells = range(CELLS // 8)
-    side = lambda key, c: sets.select(F.col("s").alias(key), F.col("n").alias(f"n{key}"), *[F.col(f"c{k}").alias(f"{c}{k}") for k in cells])
-    able = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(side("u", "a"), "u").join(side("v", "b"), "v")
-    able = able.filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    able = saved(able.filter((100 + percent) * differing_cells() <= (100 - percent) * (F.col("nu") + F.col("nv"))).select("u", "v", "nu", "nv"))
-    wanted = sets.join(able.select(F.col("u").alias("s")).union(able.select("v")).distinct(), "s").select("s", "low")
+    """The pairs (u, v) of sets that link; sets: (s, n, low, cells)."""
+    some = able(pairs, sets, percent)
+    wanted = sets.join(some.select(F.col("u").alias("s")).union(some.select("v")).distinct(), "s").select("s", "low")
     elements = elements_of(docs, saved(wanted))
-    both = able.join(elements.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(elements.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
+    both = some.join(elements.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(elements.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b")).cast("long")
     return saved(both.select("u", "v", "nu", "nv", same.alias("same")).filter(100 * F.col("same") >= percent * (F.col("nu") + F.col("nv") - F.col("same"))).select("u", "v"))
 
@@ -275,8 +290,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts may be of any length, other columns are not looked at.
     """
     rows = saved(digests(docs))
-    cells = [f"c{k}" for k in range(CELLS // 8)]
-    classes = saved(rows.filter("n > 0").groupBy("s", "t", "n", *cells).agg(F.min("doc_id").alias("low")))
+    classes = saved(rows.filter("n > 0").groupBy("s", "t", "n", "cells").agg(F.min("doc_id").alias("low")))
     _, roots = links(docs, classes, percent)
     rooted = classes.join(roots, classes.s == roots.node, "left").select("s", "t", "low", F.coalesce("root", "s").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
