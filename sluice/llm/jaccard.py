@@ -6,7 +6,10 @@ one band or in neighbouring ones, and differ there in at most k elements.  The
 domain of shingles (their hashes) is cut into n1 partitions, so that linked sets
 differ in at most k2 elements of one of them, and each partition into n2 parts, of
 which n2 - k2 then agree.  A signature is what a set has in such a subset of the
-parts of a partition; all subsets are enumerated, so linked sets share one.
+parts of a partition; all subsets are enumerated, so linked sets share one.  There are
+some more partitions than that takes, so linked sets agree in slack + 1 of them; a set
+that has empty subsets in no more than slack partitions need not sign those, which
+would bring together sets that have nothing in common.
 
 1. Sets that share a signature form a group.  Each set is first compared with the
    smallest one that it meets; those that link are one cluster, and no pair inside a
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 from itertools import combinations
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,7 @@ SCHEMES = ((1, 1), (2, 3), (3, 3))
 #: In the first scheme, subsets of two parts for sets that may differ in fewer elements than this.
 SMALL_K = 8
 #: Pairs across clusters for each member, above which a group is signed anew.
-CROWD = 8
+CROWD = 16
 #: Elements for each cell of a histogram, a byte each; cells are a power of two.
 PER_CELL = 8
 #: Bits of the table of shared signatures, as a power of two: 16 MB.
@@ -93,11 +97,14 @@ def most_different(size: int, percent: int = PERCENT) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-def parameters(k: int, scheme: int) -> tuple[int, int, int]:
-    """(n1, n2, k2): partitions, parts of each, and how many parts of one may differ."""
+def parameters(k: int, scheme: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, slack): partitions, parts of each, how many parts of one may differ, and the partitions more than one that agree."""
     k2, agree = SCHEMES[scheme]
     k2 = min(k2, k)
-    return k // (k2 + 1) + 1, k2 + (2 if not scheme and k < SMALL_K else agree), k2
+    few = k < SMALL_K
+    # of k partitions some k / 400 have an empty part
+    slack = 0 if few else int(k / 400 + 3 * sqrt(k / 400) + 1.5)
+    return k // (k2 + 1) + 1 + slack, k2 + (2 if not scheme and few else agree), k2, slack
 
 
 def signatures(elements: np.ndarray, scheme: int = 0, percent: int = PERCENT) -> np.ndarray:
@@ -111,15 +118,19 @@ def signatures(elements: np.ndarray, scheme: int = 0, percent: int = PERCENT) ->
     top = elements >> np.uint64(32)
     out = []
     for instance, size in ((j, last), (j + 1, following)):
-        n1, n2, k2 = parameters(most_different(size, percent), scheme)
+        n1, n2, k2, slack = parameters(most_different(size, percent), scheme)
         cell = ((top * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         sums = np.zeros(n1 * n2, np.uint64)
         sums[cell[starts]] = np.add.reduceat(content, starts)
         sums = sums.reshape(n1, n2)
+        vacant = (sums == 0).sum(axis=1)
+        weak = vacant >= n2 - k2  # partitions of which a subset is empty
+        skip = slack > 0 and int(weak.sum()) <= slack
         for s, subset in enumerate(combinations(range(n2), n2 - k2)):
             head = np.full(n1, (instance << 16) + (scheme << 8) + s, np.uint64)
-            out.append(mixed([head, np.arange(n1, dtype=np.uint64), *(sums[:, p] for p in subset)]))
+            signature = mixed([head, np.arange(n1, dtype=np.uint64), *(sums[:, p] for p in subset)])
+            out.append(signature[sums[:, subset].any(axis=1)] if skip else signature)
     return np.concatenate(out)
 
 

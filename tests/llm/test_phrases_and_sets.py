@@ -251,7 +251,7 @@ def test_shingle_sets():
     assert sets[0].tolist() == sets[1].tolist() and all((np.diff(x) > 0).all() for x in sets)
 
 
-@pytest.mark.parametrize("crowd", [8, 0])
+@pytest.mark.parametrize("crowd", [16, 0])
 def test_similar_documents(spark, monkeypatch, crowd):
     r = random.Random(21)
     texts = similar_texts(r, 14)
