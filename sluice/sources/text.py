@@ -6,66 +6,129 @@ import os
 import subprocess
 import sys
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regexes import groups_at_start, java_literal, matches_at_start
-from ..operators.rows import ARRIVAL, ORDER, SOURCE
+from ..operators.rows import ARRIVAL, ORDER, SOURCE, work_folder
 from ..plans import infer
 from ..plans.infer import Layout
+from ..plans.samples import of_files
 from ..plans.spec import QuerySpec
+from . import documents
 
 #: Lines looked at before a source is split.
 SAMPLE = 20
-#: Room for the order of lines of one file: row and partition numbers of its read.
-FILE_ORDER = 1 << 53
+#: Bits of a line's order that are its place in the file; those above are the file's number.
+PLACE_BITS = 41
 
 
-#: Files that are read one by one, so that their lines have their places at once; more are read as one.
-MANY = 1000
+def plain(path: str) -> str:
+    return os.path.expanduser(path) if path.startswith("~") else path
 
 
 def files_of(spark: SparkSession, *paths: str) -> list[str]:
-    """The files of paths, folders and globs: paths in the given order, the files of each by name."""
+    """The files of paths, folders and globs: paths in the given order, the files of each by name.
+
+    All paths are listed together; those that are no file are listed again alone.
+    """
+    if not paths:
+        return []
+    if len(paths) == 1:
+        return sorted(spark.read.text(plain(paths[0])).inputFiles())
+    known = {unquote(urlparse(f).path): f for f in spark.read.text([plain(p) for p in paths]).inputFiles()}
     out: list[str] = []
     for path in paths:
-        out += sorted(spark.read.text(os.path.expanduser(path) if path.startswith("~") else path).inputFiles())
+        file = known.get(os.path.abspath(unquote(urlparse(path).path) if "://" in path or path.startswith("file:") else plain(path)))
+        out += [file] if file else sorted(spark.read.text(plain(path)).inputFiles())
     return out
 
 
-def lines_of_file(spark: SparkSession, file: str, k: int = 0) -> DataFrame:
-    """_raw, _ord, _arrival and _source of every line of the k-th file."""
-    name = F.lit(unquote(os.path.basename(file)))
-    place = F.monotonically_increasing_id() + F.lit(k * FILE_ORDER)
-    return spark.read.text(unquote(file)).select(F.col("value").alias("_raw"), place.alias(ORDER), F.current_timestamp().alias(ARRIVAL), name.alias(SOURCE))
+def as_path(file: str) -> str:
+    """A listed file in the way that a scan names it."""
+    return file.replace(":///", ":/", 1)
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """_raw, _ord, _arrival and _source of every line, by file and place.
+def base_name(file: str) -> str:
+    return unquote(file).rpartition("/")[2]
+
+
+def scans(files: list[str]) -> list[list[tuple[int, str]]]:
+    """The (number, file) pairs to be read at once: one scan, unless a file was named several times."""
+    out: list[list[tuple[int, str]]] = []
+    times: dict[str, int] = {}
+    for k, f in enumerate(files):
+        n = times[f] = times.get(f, -1) + 1
+        if n == len(out):
+            out.append([])
+        out[n].append((k, f))
+    return out
 
-    Up to MANY files _ord is a number; of more files it is (file, block, row).
+
+def lines_of_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """_raw, _ord, _arrival, _source and _file of every line, _start of its split and whether there is _more of the file behind; one scan of all files.
+
+    _ord is the file's number and the line's place: where its split begins, and its row
+    in the task.  A split that another of the same file follows is as large as splits
+    may be, so it is alone in its task, and its rows are fewer than its bytes.
     """
+    place = F.col("_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+    def one(pairs: list[tuple[int, str]]) -> DataFrame:
+        some = [f for _, f in pairs]
+        # the place is taken from the scan itself, before rows meet anything else
+        read = spark.read.text([unquote(f) for f in some]).select(F.col("value").alias("_raw"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("_more"))
+        read = read.withColumn("_place", place)
+        if len(pairs) == 1:
+            k, f = pairs[0]
+            read = read.withColumn("_file", F.lit(k).cast("long")).withColumn(SOURCE, F.lit(base_name(f)))
+        else:  # as long as the list of files that the driver plans the scan with
+            index = spark.createDataFrame([(as_path(f), k, base_name(f)) for k, f in pairs], f"_path string, _file long, {SOURCE} string")
+            read = read.join(F.broadcast(index), "_path")
+        return read.select("_raw", (F.shiftleft("_file", PLACE_BITS) + F.col("_place")).alias(ORDER), F.current_timestamp().alias(ARRIVAL), SOURCE, "_file", "_start", "_more")
+
+    return reduce(DataFrame.unionByName, [one(pairs) for pairs in scans(files)])
+
+
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """_raw, _ord, _arrival and _source of every line; _ord is a number that rises by file and place."""
     files = files_of(spark, *paths)
-    if len(files) > MANY:
-        lines = spark.read.text([os.path.expanduser(p) if p.startswith("~") else p for p in paths])
-        place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-        return lines.select(F.col("value").alias("_raw"), place.alias(ORDER), F.current_timestamp().alias(ARRIVAL), F.col("_metadata.file_name").alias(SOURCE))
-    if not files:
-        return lines_of(spark, [])
-    return reduce(DataFrame.unionByName, [lines_of_file(spark, f, k) for k, f in enumerate(files)])
-
-
-def head(spark: SparkSession, files: list[str], n: int = SAMPLE) -> list[tuple]:
-    """(place, line) of the first n lines that aren't blank.  Spark reads the first blocks only."""
-    out: list[tuple] = []
-    for k, file in enumerate(files):
-        rows = lines_of_file(spark, file, k).filter("_raw != ''").limit(n - len(out)).collect()
-        out += [(r[ORDER], r["_raw"]) for r in rows]
-        if len(out) >= n:
-            break
-    return out
+    return lines_of_files(spark, files).drop("_file", "_start", "_more") if files else lines_of(spark, [])
+
+
+def heads(spark: SparkSession, files: list[str], n: int) -> DataFrame:
+    """_file, _nth (from 0), _ord and _raw of the first n lines of each file that aren't blank, in one job, saved.
+
+    A task whose split another of the same file follows has no other and ends after n
+    lines, so of large files only beginnings are read; smaller files, of which a task
+    has several, are gone through.
+    """
+
+    def first(batches):
+        file, seen = None, 0
+        for batch in batches:
+            ids, starts, more = (batch.column(c).to_pylist() for c in ("_file", "_start", "_more"))
+            kept, nth = [], []
+            for k, f in enumerate(ids):
+                if f != file:
+                    file, seen = f, 0
+                if starts[k] == 0 and seen < n:
+                    kept.append(k)
+                    nth.append(seen)
+                    seen += 1
+            if kept:
+                part = batch.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([part.column("_file"), pa.array(nth, pa.int64()), part.column(ORDER), part.column("_raw")], names=["_file", "_nth", ORDER, "_raw"])
+            if ids and more[-1] and (starts[-1] or seen >= n):
+                return
+
+    folder = work_folder(spark)
+    rows = lines_of_files(spark, files).filter("_raw != ''").select("_file", "_start", "_more", ORDER, "_raw")
+    rows.mapInArrow(first, f"_file long, _nth long, {ORDER} long, _raw string").write.parquet(folder)
+    return spark.read.schema(f"_file long, _nth long, {ORDER} long, _raw string").parquet(folder)
 
 
 def lines_of(spark: SparkSession, lines: list[str], source: str = "-") -> DataFrame:
@@ -164,13 +227,21 @@ def json_document(df: DataFrame) -> DataFrame:
 
 
 def json_documents(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Files that are a JSON document each, as JSON lines in the order of the files."""
+    """Files that are a JSON document each, as JSON lines in the order of the files; large ones are read in blocks.
+
+    Only on a file system that pyarrow can't open is each file read whole, in one row.
+    """
+    index = spark.createDataFrame([(k, as_path(f), base_name(f)) for k, f in enumerate(files)], f"k long, _path string, {SOURCE} string")
+    if documents.opens(files[0]):
+        found = documents.elements(spark, files).join(F.broadcast(index), "k")
+        text = F.regexp_replace("text", r"\s*\n\s*", " ")
+        return found.select(text.alias("_raw"), (F.shiftleft("k", PLACE_BITS) + F.col("at")).alias(ORDER), F.current_timestamp().alias(ARRIVAL), SOURCE)
 
-    def one(k: int, file: str) -> DataFrame:
-        name = F.lit(unquote(os.path.basename(file)))
-        return spark.read.text(unquote(file), wholetext=True).select(F.lit(k * FILE_ORDER).cast("long").alias("k"), name.alias(SOURCE), F.col("value").alias("text"))
+    def one(pairs: list[tuple[int, str]]) -> DataFrame:
+        texts = spark.read.text([unquote(f) for _, f in pairs], wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"))
+        return texts.join(F.broadcast(index.filter(F.col("k").isin([k for k, _ in pairs]))), "_path").select(F.shiftleft("k", PLACE_BITS).alias("k"), SOURCE, "text")
 
-    return elements(reduce(DataFrame.unionByName, [one(k, f) for k, f in enumerate(files)]))
+    return elements(reduce(DataFrame.unionByName, [one(pairs) for pairs in scans(files)]))
 
 
 def is_object(line: str) -> bool:
@@ -178,9 +249,19 @@ def is_object(line: str) -> bool:
 
 
 def first_object(df: DataFrame) -> tuple | None:
-    """(place, line) of the first line that is a JSON object; reading ends where one is found."""
-    found = df.filter(F.ltrim("_raw").startswith("{") & F.from_json(F.regexp_replace("_raw", r",\s*\z", ""), "map<string,string>").isNotNull())
-    row = found.select(ORDER, "_raw").orderBy(ORDER).first()
+    """(place, line) of the first line that is a JSON object; each task ends at the first that it finds."""
+    found = df.filter(F.ltrim("_raw").startswith("{") & F.from_json(F.regexp_replace("_raw", r",\s*\z", ""), "map<string,string>").isNotNull()).select(ORDER, "_raw")
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                # rows come in the order of places, but for files that share a task
+                k = min(range(batch.num_rows), key=batch.column(0).to_pylist().__getitem__)
+                yield batch.slice(k, 1)
+                return
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
+    row = found.mapInArrow(first, kinds).orderBy(ORDER).first()
     return (row[ORDER], row["_raw"]) if row else None
 
 
@@ -206,13 +287,12 @@ def json_lines(df: DataFrame, found: list[tuple], asked: bool, files: list[str]
 
 
 def open_table(
-    df: DataFrame, delimiter: str | None = None, detect_logs: bool = False, sample: list[tuple] | None = None, repeated: tuple = (), custom: tuple = (), files: tuple = ()
+    df: DataFrame, delimiter: str | None = None, detect_logs: bool = False, sample: list[tuple] | None = None, repeated: DataFrame | None = None, custom: tuple = (), files: tuple = ()
 ) -> tuple[DataFrame, Layout]:
     """Lines as a table: layout from the first lines, header and preamble left out, blank lines dropped.
 
-    sample: (place, line) of the first lines, if the caller has them.  repeated:
-    places where files behind the first repeat the header; a line there that equals
-    it is dropped.  custom: log formats that are tried before the known ones.
+    sample: (place, line) of the first lines, if the caller has them.  repeated: the
+    places (_ord, _raw) of the first lines of files; one that equals the header is dropped.  custom: log formats that are tried before the known ones.
     files: the files that the lines are from, if they may be JSON documents.
     An inferred layout that doesn't fit is changed by ``relayout``.  Lines that
     don't fit the layout come with _ok false.
@@ -240,8 +320,8 @@ def open_table(
     if layout.header is not None and found:
         head_order, first = found[layout.header]
         rows = rows.filter(F.col(ORDER) > F.lit(head_order))
-        if repeated:
-            rows = rows.filter(~(F.col(ORDER).isin(list(repeated)) & (F.col("_raw") == first)))
+        if repeated is not None:  # one line a file, as many as the scan's files, which the driver lists
+            rows = rows.join(F.broadcast(repeated.filter(F.col("_raw") == first).select(ORDER)), ORDER, "left_anti")
     return parse(rows, layout), layout
 
 
@@ -265,13 +345,16 @@ def relayout(layout: Layout, found: list[tuple], rest: list[tuple], share: float
     return (layout, found) if new.delimiter in ("raw", layout.delimiter) else (new, major)
 
 
-def open_files(spark: SparkSession, paths: list[str], delimiter: str | None = None, detect_logs: bool = False, custom: tuple = ()) -> tuple[DataFrame, Layout]:
-    """One path, folder or glob as a table; of a folder's files each may repeat the header."""
+def open_files(spark: SparkSession, paths: list[str], delimiter: str | None = None, detect_logs: bool = False, custom: tuple = (), found: DataFrame | None = None) -> tuple[DataFrame, Layout]:
+    """Paths, folders or globs as a table; each file may repeat the header.  found: ``heads`` of the files, if the caller has them."""
     files = files_of(spark, *paths)
-    if len(files) > MANY:
-        return open_table(read_lines(spark, *paths), delimiter, detect_logs, custom=custom)
-    starts = tuple(h[0][0] for k, f in enumerate(files) if k and (h := head_of(spark, f, k, 1)))
-    return open_table(read_lines(spark, *paths), delimiter, detect_logs, head(spark, files, LOOKED_AT), starts, custom, tuple(files))
+    if not files:
+        return open_table(lines_of(spark, []), delimiter, detect_logs, [], custom=custom)
+    found = heads(spark, files, LOOKED_AT) if found is None else found
+    sample = [(r[ORDER], r["_raw"]) for r in found.orderBy(ORDER).limit(LOOKED_AT).select(ORDER, "_raw").collect()]
+    starts = found.filter("_nth = 0") if len(files) > 1 else None
+    lines = lines_of_files(spark, files).drop("_file", "_start", "_more")
+    return open_table(lines, delimiter, detect_logs, sample, starts, custom, tuple(files))
 
 
 def switch(lines: DataFrame, spec: QuerySpec, delimiter: str) -> tuple[DataFrame, Layout, QuerySpec]:
@@ -285,14 +368,15 @@ def open_excluded(df: DataFrame, delimiter: str | None = None) -> tuple[DataFram
     return open_table(split_ok(df)[1], delimiter)
 
 
-def head_of(spark: SparkSession, file: str, k: int, n: int) -> list[tuple]:
-    return [(r[ORDER], r["_raw"]) for r in lines_of_file(spark, file, k).filter("_raw != ''").limit(n).collect()]
+#: Lines of each file that say how it is delimited.
+OF_EACH = 15
 
 
 def open_merged(spark: SparkSession, paths: list[str], delimiter: str | None = None) -> tuple[DataFrame, Layout]:
     """Several files as one table with _source; raw if they aren't delimited alike."""
-    if delimiter is None:
-        heads = [head_of(spark, f, k, 15) for k, f in enumerate(files_of(spark, *paths))]
-        kinds = {infer.infer_delimiter([x for _, x in h]) for h in heads if h}
-        delimiter = kinds.pop() if len(kinds) == 1 else "raw"
-    return open_files(spark, paths, delimiter)
+    files, found = files_of(spark, *paths), None
+    if delimiter is None and files:
+        found = heads(spark, files, LOOKED_AT)
+        kinds = of_files(found.filter(F.col("_nth") < OF_EACH)).select("delimiter").distinct().limit(2).collect()
+        delimiter = kinds[0][0] if len(kinds) == 1 else "raw"
+    return open_files(spark, paths, delimiter, found=found)
