@@ -19,12 +19,15 @@ def number(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Lower-cased runs of text and integers, ordered as such; the first run is always text."""
+    """Lower-cased runs of text and integers, ordered as such, as one string that sorts by its bytes; the first run is always text."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    texts = F.split(low, r"\d+", -1)
+    # a text ends with a mark below whatever may go on; integers of any length go by their number of digits, then by the digits
+    ended = F.concat(F.replace(low, F.lit("\0"), F.lit("\0\2")), F.lit("\0\1"))
+    runs = F.transform(F.split(low, r"\d+", -1), lambda t: F.concat(F.replace(t, F.lit("\0"), F.lit("\0\2")), F.lit("\0\1")))
     digits = F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)"), F.lit(1)), lambda d: F.regexp_replace(d, r"\A0+(?=\d)", ""))
-    # integers of any length: first by their number of digits, then by the digits
-    return F.transform(texts, lambda t, k: F.struct(t.alias("t"), F.length(F.get(digits, k)).alias("n"), F.get(digits, k).alias("d")))
+    counted = F.transform(digits, lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))
+    mixed = F.array_join(F.transform(runs, lambda t, k: F.concat(t, F.coalesce(F.get(counted, k), F.lit("")))), "")
+    return F.when(low.rlike(r"\d"), mixed).otherwise(ended)
 
 
 def split_part(c: Column, delimiter: str, index: int) -> Column:

@@ -161,7 +161,7 @@ def column_stats_time(df: DataFrame, name: str, order: str = ORDER, hint: str |
     return df.agg(
         F.count("*").alias("count"), F.count_distinct(F.coalesce(c, F.lit(""))).alias("distinct"),
         F.min_by(F.when(ts.isNotNull(), c), F.when(ts.isNotNull(), F.struct(ts, F.col(order)))).alias("earliest"),
-        F.max_by(F.when(ts.isNotNull(), c), F.when(ts.isNotNull(), F.struct(ts, -F.col(order)))).alias("latest"),
+        F.min_by(F.when(ts.isNotNull(), c), F.when(ts.isNotNull(), F.struct(-F.unix_micros(ts), F.col(order)))).alias("latest"),
         F.count_if(ts.isNull() & (F.coalesce(F.trim(c), F.lit("")) != "")).alias("skipped"),
     )
 

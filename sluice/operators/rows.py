@@ -140,19 +140,25 @@ def pivot_columns(df: DataFrame, keys: list[str], reveal: bool = False) -> list[
 # sort
 
 
-def sort_keys(name: str, kind: str, hint: str | None = None, descending: bool = False, strict_text: bool = False) -> list[Column]:
-    """Order by a column of a type: what can't be read as the type comes after, by natural order, blanks last."""
+#: Orders by whether they descend; what is null comes last either way.
+SORT_WAY = {False: lambda c: c.asc_nulls_last(), True: lambda c: c.desc_nulls_last()}
+
+
+def sort_columns(name: str, kind: str, hint: str | None = None, descending: bool = False, strict_text: bool = False) -> list[tuple[Column, bool]]:
+    """(key, whether it descends) in turn: what can't be read as the type comes after, by natural order, blanks last."""
     c = F.coalesce(cell(name), F.lit(""))
-    way = (lambda x: x.desc_nulls_last()) if descending else (lambda x: x.asc_nulls_last())
     if strict_text:
-        return [way(c)]
+        return [(c, descending)]
     key = {"numeric": number(c), "datetime": datetimes.parse(c, hint)}.get(kind)
-    blank = F.trim(c) == ""
-    keys = [blank.asc()]
-    if key is not None:
-        keys += [key.isNull().asc(), way(key)]
-        return [*keys, way(F.when(key.isNull(), natural_key(c)))]
-    return [*keys, way(natural_key(c))]
+    blank = (F.trim(c) == "", False)
+    if key is None:
+        return [blank, (natural_key(c), descending)]
+    return [blank, (key.isNull(), False), (key, descending), (F.when(key.isNull(), natural_key(c)), descending)]
+
+
+def sort_keys(name: str, kind: str, hint: str | None = None, descending: bool = False, strict_text: bool = False) -> list[Column]:
+    """The same as sort orders."""
+    return [SORT_WAY[down](c) for c, down in sort_columns(name, kind, hint, descending, strict_text)]
 
 
 def sort_rows(df: DataFrame, s: Sort, kind: str, hint: str | None = None, strict: bool = False, order: str = ORDER) -> DataFrame:

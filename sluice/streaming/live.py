@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import select
+import json
+import re
 import subprocess
-import sys
 import threading
-import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators import rows
+from ..operators import rows, store
 from ..operators.rows import ARRIVAL, ORDER, SOURCE, data_columns
+from ..operators.runs import SortedRuns
 from ..plans.build import build
 from ..plans.infer import Layout
 from ..plans.spec import QuerySpec
-from ..sources.text import parse
+from ..sources.text import open_table, parse
+from .growing import grown, listing
+from .keyed import follow_interval  # noqa: F401
+from .pipes import CommandSource, LineLog, Recorder  # noqa: F401
 
 
 def follow(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
@@ -36,49 +36,27 @@ def follow(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataF
     return lines.select(F.col("value").alias("_raw"), place.alias("_place"), F.current_timestamp().alias(ARRIVAL), F.col("_metadata.file_name").alias(SOURCE))
 
 
-class Feeder:
+class Feeder(Recorder):
     """Puts what comes through a pipe into a followed folder, whole lines in whole files.
 
-    A line's beginning is held until its end has come.  Lines are written when
-    nothing came for ``idle`` seconds, ``hold`` seconds after the first of them, or
-    from ``most`` bytes on.  The folder must be one that a local path names.
+    Files are numbered on from those that are there, and stay; the segments of a
+    ``LineLog`` and its stream (``pipes.follow_log``) go once they were read.
     """
 
     def __init__(self, folder: str, idle: float = 0.02, hold: float = 0.2, most: int = 1 << 20):
-        self.folder, self.idle, self.hold, self.most = folder, idle, hold, most
-        self.files = 0
-
-    def write(self, data: bytes) -> None:
-        if not data:
-            return
-        os.makedirs(self.folder, exist_ok=True)
-        temp = os.path.join(self.folder, f".{uuid.uuid4().hex}")
-        with open(temp, "wb") as f:
-            f.write(data)
-        os.replace(temp, os.path.join(self.folder, f"part-{self.files:09d}.txt"))
-        self.files += 1
+        super().__init__(LineLog(folder), idle, hold, most)
+        found = [re.fullmatch(r"part-(\d+)\.txt", x.rpartition("/")[2]) for x in listing(self.log.folder)]
+        self.files = max((int(m[1]) + 1 for m in found if m), default=0)
+
+    def seal(self, data: bytes) -> None:
+        if data:
+            self.log.put(data, f"part-{self.files:09d}.txt")
+            self.files += 1
 
     def run(self, stream) -> int:
-        """Read a stream with a file number to its end; returns the files written."""
-        number, held, since = stream.fileno(), b"", 0.0
-        while True:
-            ready = select.select([number], [], [], self.idle if held else None)[0]
-            data = os.read(number, 1 << 16) if ready else None
-            if data:
-                since = since if held else time.monotonic()
-                held += data
-            whole = held.rfind(b"\n") + 1
-            if data == b"":
-                self.write(held if held.endswith(b"\n") or not held else held + b"\n")
-                return self.files
-            if whole and (not ready or len(held) >= self.most or time.monotonic() - since >= self.hold):
-                self.write(held[:whole])
-                held, since = held[whole:], time.monotonic()
-
-    def start(self, stream) -> threading.Thread:
-        thread = threading.Thread(target=self.run, args=(stream,), daemon=True)
-        thread.start()
-        return thread
+        """Read a stream to its end; returns the files there are then."""
+        super().run(stream)
+        return self.files
 
 
 def feed_command(command: str, folder: str, allow: bool = False) -> tuple[subprocess.Popen, threading.Thread]:
@@ -89,6 +67,58 @@ def feed_command(command: str, folder: str, allow: bool = False) -> tuple[subpro
     return process, Feeder(folder).start(process.stdout)
 
 
+class Pace(StreamingQueryListener):
+    """Adapts how many bytes a batch of a growing source takes to what waits and how long batches take.
+
+    A batch that was full is followed by one twice as large, as long as batches end
+    within target seconds; one that took longer, or was far from full, by one half as
+    large.  The size goes to the source through the file that its option pace names.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, target: float = 5.0, least: int = 1 << 16, most: int = 1 << 30, start: int | None = None):
+        self.spark, self.path, self.target, self.least, self.most = spark, path, target, least, most
+        self.sizes = [start or least]
+        self.set(self.sizes[0])
+
+    def set(self, size: int) -> None:
+        store.write_text(self.spark, self.path, str(size))
+
+    def next_size(self, size: int, taken: int, seconds: float) -> int:
+        if seconds > self.target or taken < size // 4:
+            return max(self.least, size // 2)
+        return min(self.most, 2 * size) if taken >= size // 2 else size
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        taken = sum(grown_bytes(s.startOffset, s.endOffset) for s in progress.sources)
+        size = self.next_size(self.sizes[-1], taken, progress.batchDuration / 1000)
+        if size != self.sizes[-1]:
+            self.sizes.append(size)
+            self.set(size)
+
+    def onQueryIdle(self, event) -> None:
+        size = max(self.least, self.sizes[-1] // 2)
+        if size != self.sizes[-1]:
+            self.sizes.append(size)
+            self.set(size)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def grown_bytes(start: str | None, end: str | None) -> int:
+    """Bytes between two offsets of a growing source, as a query's progress shows them; 0 of other sources."""
+
+    def files(offset: str | None) -> dict:
+        found = json.loads(offset or "{}")
+        return json.loads(found.get("files", "{}")) if isinstance(found, dict) else {}
+
+    return sum(high - low for _, low, high in grown(files(start), files(end)))
+
+
 def pressure(query: StreamingQuery) -> float:
     """Rows that come in for each row that is processed, by the last batch; above 1 the query falls behind."""
     last = query.lastProgress
@@ -143,6 +173,104 @@ def accounted(lines: DataFrame, layout: Layout, header: str | None, folder: str,
     return kept.drop("_place").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+class Split:
+    """One stream of lines as two tables: rows that fit a layout, and lines that don't.
+
+    Both are written from one reading of each batch, by one job; a batch counts in
+    either table once that job is committed, so shown and excluded lines together are
+    those of the source up to the same batch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, layout: Layout):
+        self.spark, self.folder, self.layout = spark, folder.rstrip("/"), layout
+
+    def start(self, lines: DataFrame, checkpoint: str, header: str | None = None, **trigger) -> StreamingQuery:
+        kept = lines.filter("_raw != ''")
+        if header is not None:
+            kept = kept.filter(F.col("_raw") != header)
+
+        def batch(new: DataFrame, number: int) -> None:
+            ordered = new.withColumn(ORDER, F.monotonically_increasing_id() + F.lit(number) * F.lit(1 << 40)).drop("_place")
+            parse(ordered, self.layout).write.partitionBy("_ok").mode("overwrite").parquet(f"{self.folder}/batch={number}")
+
+        return kept.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+    def batches(self) -> list[int]:
+        """The batches whose job was committed."""
+        found = [x for x in store.names(self.spark, self.folder) if x.startswith("batch=")]
+        return sorted(int(x[6:]) for x in found if "_SUCCESS" in store.names(self.spark, f"{self.folder}/{x}"))
+
+    def table(self, ok: bool) -> DataFrame:
+        names = [*self.layout.names, ORDER, ARRIVAL, SOURCE, "_raw"]
+        kinds = ", ".join(f"`{n}` {({ORDER: 'long', ARRIVAL: 'timestamp'}).get(n, 'string')}" for n in names)
+        paths = [f"{self.folder}/batch={k}" for k in self.batches()]
+        reader = self.spark.read.schema(f"{kinds}, _ok boolean")
+        found = reduce(DataFrame.unionByName, [reader.parquet(p) for p in paths]) if paths else self.spark.createDataFrame([], f"{kinds}, _ok boolean")
+        return found.filter(F.col("_ok") == ok).drop("_ok")
+
+    def shown(self) -> DataFrame:
+        return self.table(True).drop("_raw")
+
+    def excluded(self) -> DataFrame:
+        return self.table(False).select("_raw", ORDER, ARRIVAL, SOURCE)
+
+    def reopened(self, delimiter: str | None = None) -> tuple[DataFrame, Layout]:
+        """The excluded lines as a table of their own; its layout is inferred from those that there are by now."""
+        return open_table(self.excluded(), delimiter)
+
+
+def kept_sorted(df: DataFrame, runs: SortedRuns, checkpoint: str, **trigger) -> StreamingQuery:
+    """A stream's rows as a sorted table: each batch is a run, and only runs of its size are read again (``SortedRuns``)."""
+
+    def batch(new: DataFrame, number: int) -> None:
+        placed = new.withColumn(ORDER, F.monotonically_increasing_id() + F.lit(number) * F.lit(1 << 40)).drop("_place")
+        runs.add(placed, number)
+
+    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+class Window:
+    """The changes of a rolling window (``keyed.rolling``), batch by batch, and what is inside by now."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: list[str]):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
+
+    def start(self, changes: DataFrame, checkpoint: str, every: float) -> StreamingQuery:
+        self.columns = [c for c in changes.columns if c != "op"]
+
+        def batch(new: DataFrame, number: int) -> None:
+            new.write.mode("overwrite").parquet(f"{self.folder}/{number:012d}")
+            if number and number % MERGE == 0:
+                self.merge(number)
+
+        writer = changes.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint)
+        return writer.trigger(processingTime=f"{every} seconds").start()
+
+    def parts(self) -> list[str]:
+        """The newest table of merged batches and the batches behind it, those that are whole."""
+        found = sorted(x for x in store.names(self.spark, self.folder) if "_SUCCESS" in store.names(self.spark, f"{self.folder}/{x}"))
+        merged = [x for x in found if x.endswith("m")]
+        return [*merged[-1:], *(x for x in found if not x.endswith("m") and (not merged or x > merged[-1][:-1]))]
+
+    def merge(self, number: int) -> None:
+        """What is inside after a batch, as one table; tables it stands for go once the next one is written."""
+        parts = self.parts()
+        self.inside(parts).withColumn("op", F.lit(1)).coalesce(8).write.mode("overwrite").parquet(f"{self.folder}/{number:012d}m")
+        for x in store.names(self.spark, self.folder):
+            if x[:12] < parts[0][:12]:
+                store.delete(self.spark, f"{self.folder}/{x}")
+
+    def inside(self, parts: list[str]) -> DataFrame:
+        """Rows that came in and haven't left."""
+        log = self.spark.read.parquet(*[f"{self.folder}/{x}" for x in parts])
+        rest = [c for c in log.columns if c not in ("op", *self.key)]
+        left = log.groupBy(*self.key).agg(F.sum("op").alias("op"), *[F.first(c).alias(c) for c in rest]).filter("op > 0")
+        return left.select(*[c for c in log.columns if c != "op"])
+
+    def view(self) -> DataFrame:
+        return self.inside(self.parts())
+
+
 def appended(df: DataFrame, spec: QuerySpec, name: str, checkpoint: str, path: str | None = None, **trigger) -> StreamingQuery:
     """Filters and computed columns only: rows are added as they come, into a table in memory, or to Parquet files at path."""
     from ..operators.columns import add_computed
@@ -202,43 +330,3 @@ def recomputed(df: DataFrame, spec: QuerySpec, folder: str, checkpoint: str, sho
 def needs_recompute(spec: QuerySpec) -> bool:
     """Whether a query must see all rows again when new ones come."""
     return bool(spec.sort or spec.unique or spec.pivot or spec.window)
-
-
-def follow_interval(seconds: float) -> float:
-    """How often a rolling window of so many seconds is evaluated anew."""
-    return min(5.0, max(1.0, seconds / 10))
-
-
-# the source's classes go to executors by value, so these need no package of their own
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-class CommandSource(DataSource):
-    """A shell command's output as a source, format("command"), for callers that opted in with allow=true."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "command"
-
-    def schema(self) -> str:
-        return "value string"
-
-    def reader(self, schema) -> "CommandReader":
-        if self.options.get("allow") != "true":
-            raise PermissionError("commands run only with allow=true")
-        return CommandReader(self.options["command"])
-
-
-class CommandReader(DataSourceReader):
-    def __init__(self, command: str):
-        self.command = command
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import subprocess
-
-        with subprocess.Popen(["sh", "-c", self.command], stdout=subprocess.PIPE, text=True, errors="ignore") as p:
-            for line in p.stdout:
-                yield (line.rstrip("\n"),)
