@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_plans, queries_sources
+from . import queries_plans, queries_sources, queries_streams
 from .functions import datetimes
 from .functions.regexes import replace_first
 from .operators import columns as cols
@@ -361,8 +361,8 @@ SQL = {
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in SQL} | queries_sources.queries() | queries_plans.queries()
+    return {name: globals()[name] for name in SQL} | queries_sources.queries() | queries_plans.queries() | queries_streams.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | queries_sources.SQL | queries_plans.SQL
+    return SQL | queries_sources.SQL | queries_plans.SQL | queries_streams.SQL

@@ -173,8 +173,12 @@ def sink_text(spark, d):
 
 
 def command_source(spark, d):
+    """What a command prints of a table's lines."""
+    from .streaming.growing import store
+
     spark.dataSource.register(live.CommandSource)
-    return spark.read.format("command").option("command", "seq 1 1000").option("allow", "true").load().select(F.col("value").cast("long").alias("n"))
+    command = f"cat {store(event_lines(spark, d))[1]}/part-* | grep click"
+    return spark.read.format("command").option("command", command).option("allow", "true").load().select("value")
 
 
 def switch_delimiter(spark, d):
@@ -317,7 +321,7 @@ SQL = {
     "sink_text": "select 0::bigint as n, 'r_regionkey' || chr(9) || 'r_name' as line union all select row_number() over (order by r_regionkey), r_regionkey || chr(9) || r_name from region",
     "switch_delimiter": "select log, 'raw' as delimiter, cast(0 as int) as filters, 'key' as first from (select 'made by hand' as log union all select 'key,name,nation' union all select c_custkey || ',' || c_name || ',' || c_nationkey from customer)",
     "excluded_reopened": f"{CUSTOMERS}, '|' as delimiter from customer where c_custkey % 7 = 3",
-    "command_source": "select range as n from range(1, 1001)",
+    "command_source": "select event_id || ',' || event_type || ',' || user_id as value from events where event_type = 'click'",
     "stream_append": "select cast(event_id as varchar) as id, event_type as kind, cast(user_id as varchar) as user from events where event_type = 'click'",
     "stream_pivot": "select count(*) as count, event_type as kind, cast(max(event_id) as varchar) as last_id, cast(arg_max(user_id, event_id) as varchar) as last_user from events group by event_type",
     "stream_recompute": "select distinct cast(user_id as varchar) as user from events",
