@@ -11,9 +11,9 @@ some more partitions than that takes, so linked sets agree in slack + 1 of them;
 that has empty subsets in no more than slack partitions need not sign those, which
 would bring together sets that have nothing in common.
 
-1. Sets that share a signature form a group.  Each set is first compared with the
-   smallest one that it meets; those that link are one cluster, and no pair inside a
-   cluster is looked at any more.
+1. Sets that share a signature form a group.  In ROUNDS rounds each group names one of
+   its sets, and each set is compared with one that its groups name; those that link
+   are one cluster, and no pair inside a cluster is looked at any more.
 2. Groups that still hold several clusters emit pairs across them, if these are at most
    CROWD for each member.  The sets of larger groups are signed anew by the next
    scheme, whose signatures cover more elements and which finds all links by itself.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import saved, tidy, whole_text
 from .collocations import is_set, mixed
 from .simhash import components
-from .words import chunks, split_words
+from .words import bytes_of, chunks, split_words
 
 SHINGLE, PERCENT = 4, 85
 #: (k2, parts of a subset) of each scheme.
@@ -48,6 +48,8 @@ SCHEMES = ((1, 1), (2, 3), (3, 3))
 SMALL_K = 8
 #: Pairs across clusters for each member, above which a group is signed anew.
 CROWD = 16
+#: Rounds in which sets meet one other each, before pairs across clusters are compared.
+ROUNDS = 3
 #: Elements for each cell of a histogram, a byte each; cells are a power of two.
 PER_CELL = 8
 #: Bits of the table of shared signatures, as a power of two: 16 MB.
@@ -159,39 +161,53 @@ def cells_apart(a: bytes, b: bytes) -> int:
     return int(np.maximum(0, np.maximum(x_low - y_high, y_low - x_high)).sum())
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s, t, cells): size, hashes and histogram of each row's set."""
+def digests(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, s, t, cells, sigs): size, hashes, histogram and signatures of each row's set."""
 
     def rows(batches):
         for batch in batches:
             for a, b in chunks(batch.column(1), CHUNK):
                 sets = shingle_sets(batch.column(1).slice(a, b - a))
                 ids = np.array([identity(x) for x in sets], np.int64).reshape(-1, 2)
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([histogram(x) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s", "t", "cells"])
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([histogram(x) for x in sets], pa.binary()), packed_signatures(sets, 0, percent)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s", "t", "cells", "sigs"])
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return texts.mapInArrow(tidy(rows), "doc_id long, n long, s long, t long, cells binary")
+    return texts.mapInArrow(tidy(rows), "doc_id long, n long, s long, t long, cells binary, sigs binary")
 
 
-def signed(texts: DataFrame, scheme: int, percent: int, table=None) -> DataFrame:
-    """(sig, s) for each signature of the set of each text; with a table those that it has."""
+def packed_signatures(sets: list[np.ndarray], scheme: int, percent: int) -> pa.Array:
+    return pa.array([signatures(x, scheme, percent).tobytes() for x in sets], pa.binary())
+
+
+def signed_texts(texts: DataFrame, scheme: int, percent: int) -> DataFrame:
+    """(s, sigs) of the sets of texts."""
 
     def rows(batches):
-        known = table.value if table is not None else None
         for batch in batches:
             for a, b in chunks(batch.column(0), CHUNK):
-                sets = [x for x in shingle_sets(batch.column(0).slice(a, b - a)) if len(x)]
-                each = [signatures(x, scheme, percent) for x in sets]
-                if not each:
-                    continue
-                sig, s = np.concatenate(each), np.repeat(np.array([identity(x)[0] for x in sets], np.int64), [len(x) for x in each])
+                sets = shingle_sets(batch.column(0).slice(a, b - a))
+                yield pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "sigs": packed_signatures(sets, scheme, percent)})
+
+    return texts.select("text").mapInArrow(tidy(rows), "s long, sigs binary")
+
+
+def each_signature(signed: DataFrame, table=None) -> DataFrame:
+    """(sig, s) for each signature of (s, sigs); with a table those that it has."""
+
+    def rows(batches):
+        known = table.value if table is not None else None
+        for batch in batches:
+            for a, b in chunks(batch.column(1), 8 * CHUNK):
+                raw, at = bytes_of(batch.column(1).slice(a, b - a))
+                sig = np.ascontiguousarray(raw).view(np.uint64)
+                s = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(at) // 8)
                 if known is not None:
                     kept = is_set(known, (sig >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
                     sig, s = sig[kept], s[kept]
-                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig.view(np.int64)), "s": pa.array(s)})
+                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig.view(np.int64)), "s": pa.array(s, pa.int64())})
 
-    return texts.select("text").mapInArrow(tidy(rows), "sig long, s long")
+    return signed.select("s", "sigs").mapInArrow(tidy(rows), "sig long, s long")
 
 
 def shared_table(shared: DataFrame) -> np.ndarray:
@@ -204,36 +220,15 @@ def shared_table(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def groups(texts: DataFrame, scheme: int, percent: int) -> DataFrame:
-    """(sig, s) of the signatures that several sets share, saved.
+def groups(signed: DataFrame) -> DataFrame:
+    """(sig, s) of the signatures that several sets of (s, sigs) may share, saved.
 
     Signatures that occur once are left out where the table knows that; where it is
-    full, all rows are shuffled, and the last filter is exact.
+    full, all rows are shuffled.
     """
-    often = signed(texts, scheme, percent).groupBy("sig").count().filter("count > 1")
-    table = texts.sparkSession.sparkContext.broadcast(shared_table(often))
-    rows = signed(texts, scheme, percent, table).groupBy("sig", "s").count().select("sig", "s")
-    return saved(rows)
-
-
-def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, x) of the sets (s, low) that are wanted, from the text of document low."""
-
-    def rows(batches):
-        for batch in batches:
-            for a, b in chunks(batch.column(0), CHUNK):
-                sets = shingle_sets(batch.column(0).slice(a, b - a))
-                yield pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "x": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
-
-    found = texts_of(docs, wanted).mapInArrow(tidy(rows), "s long, x array<long>")
-    return saved(found.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the documents that stand for the wanted sets (s, low)."""
-    low = wanted.select("low").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.join(low, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+    often = each_signature(signed).select("sig").groupBy("sig").count().filter("count > 1")
+    table = signed.sparkSession.sparkContext.broadcast(shared_table(often))
+    return saved(each_signature(signed, table).groupBy("sig", "s").count().select("sig", "s"))
 
 
 def able(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,22 +257,52 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -
     return saved(both.select("u", "v", "nu", "nv", same.alias("same")).filter(100 * F.col("same") >= percent * (F.col("nu") + F.col("nv") - F.col("same"))).select("u", "v"))
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(links between sets that make all components, the root of each linked set)."""
-    texts, found, roots = docs.select(whole_text().alias("text")), [], None
+def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, x) of the sets (s, low) that are wanted, from the text of document low."""
+
+    def rows(batches):
+        for batch in batches:
+            for a, b in chunks(batch.column(0), CHUNK):
+                sets = shingle_sets(batch.column(0).slice(a, b - a))
+                yield pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "x": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+
+    found = texts_of(docs, wanted).mapInArrow(tidy(rows), "s long, x array<long>")
+    return saved(found.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the documents that stand for the wanted sets (s, low)."""
+    low = wanted.select("low").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return rows.join(low, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+
+
+def clustered(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(sig, s, root): the members of groups with their clusters, of the groups that hold several."""
+    if roots is None:
+        placed = met.withColumn("root", F.col("s"))
+    else:
+        placed = met.join(roots, met.s == roots.node, "left").select("sig", "s", F.coalesce("root", "s").alias("root"))
+    several = placed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig")
+    return saved(placed.join(several, "sig"))
+
+
+def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(links between sets that make all components, the root of each linked set); signed: (s, sigs), sets: (s, n, low, cells)."""
+    found, roots = [], None
     for scheme in range(len(SCHEMES)):
-        met = groups(texts, scheme, percent)
-        ends = met.groupBy("sig").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low < high")
-        stars = met.join(ends, "sig").filter("s > low").groupBy("s").agg(F.min("low").alias("v")).select(F.col("s").alias("u"), "v")
-        if roots is not None:  # what is one cluster needs no comparison
-            a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
-            stars = stars.join(a, "u", "left").join(b, "v", "left").filter(~F.coalesce("ru", "u").eqNullSafe(F.coalesce("rv", "v"))).select("u", "v")
-        found.append(verified(stars, docs, sets, percent))
-        roots = components(reduce(DataFrame.union, found))
-        placed = saved(met.join(roots, met.s == roots.node, "left").select("sig", "s", F.coalesce("root", "s").alias("root")))
-        clusters = placed.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
-        several = clusters.filter("k > 1").select("sig", ((F.col("n") * F.col("n") - F.col("q")) > 2 * crowd * F.col("n")).alias("crowded"))
-        held = saved(placed.join(several, "sig"))
+        met = groups(signed)
+        for k in range(ROUNDS):
+            held = clustered(met, roots)
+            turn = F.xxhash64("s", F.lit(k))
+            named = held.groupBy("sig").agg(F.min_by("s", turn).alias("low"), F.min_by("root", turn).alias("low_root"))
+            stars = held.join(named, "sig").filter("root <> low_root").groupBy("s").agg(F.min("low").alias("v"))
+            found.append(verified(stars.select(F.col("s").alias("u"), "v"), docs, sets, percent))
+            roots = components(reduce(DataFrame.union, found))
+            met = held.select("sig", "s")
+        held = clustered(met, roots)
+        clusters = held.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        held = saved(held.join(clusters.select("sig", ((F.col("n") * F.col("n") - F.col("q")) > 2 * crowd * F.col("n")).alias("crowded")), "sig"))
         last = scheme == len(SCHEMES) - 1
         fit = held if last else held.filter("not crowded")
         one, two = fit.select("sig", F.col("s").alias("u"), F.col("root").alias("ru")), fit.select("sig", F.col("s").alias("v"), F.col("root").alias("rv"))
@@ -288,7 +313,7 @@ def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, crowd: int =
         crowded = saved(held.filter("crowded").select("s").distinct().join(sets, "s").select("s", "low"))
         if not crowded.limit(1).count():
             break
-        texts = texts_of(docs, crowded)
+        signed = saved(signed_texts(texts_of(docs, crowded), scheme + 1, percent).join(crowded.select("s"), "s", "left_semi"))
     return reduce(DataFrame.union, found), roots
 
 
@@ -300,9 +325,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id counts only if its component has no other.  An empty table gives no rows,
     texts may be of any length, other columns are not looked at.
     """
-    rows = saved(digests(docs))
+    rows = saved(digests(docs, percent))
     classes = saved(rows.filter("n > 0").groupBy("s", "t", "n", "cells").agg(F.min("doc_id").alias("low")))
-    _, roots = links(docs, classes, percent)
+    _, roots = links(docs, rows.filter("n > 0").select("s", "sigs"), classes, percent)
     rooted = classes.join(roots, classes.s == roots.node, "left").select("s", "t", "low", F.coalesce("root", "s").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = rooted.join(lowest, "root").select("s", "t", "component_id")

@@ -258,7 +258,7 @@ def test_similar_documents(spark, monkeypatch, crowd):
     rows = [(1000 - k, t, "en") for k, t in enumerate(texts)]
     rows += [(2000, None, "en"), (2001, "", None), (2002, " \t", "en"), (2003, "one", "en"), (2004, "ONE", "en"), (2005, "one two three", "en"), (2006, "x" * 40_000, "en"), (2007, " ".join(f"v{k}" for k in range(9000)), "en")]
     rows += [(2008, rows[-1][1] + " more", "en"), rows[3], rows[3], (None, rows[3][1], "en"), (None, "nobody else", "en"), (5, texts[7] + " end", "en"), (5, "another text of that id", "en"), (6, "x" * 40_000, "en")]
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1 if not crowd else 2)
     monkeypatch.setattr(jaccard, "TABLE_BITS", 10 if not crowd else 27)
     monkeypatch.setattr(jaccard.links, "__defaults__", (jaccard.PERCENT, crowd))
     found = jaccard.similar_documents(table(spark, rows))
