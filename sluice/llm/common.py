@@ -144,6 +144,14 @@ def tidy(rows):
     return tidied
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

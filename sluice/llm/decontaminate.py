@@ -6,8 +6,8 @@ all test items are joined to those at every position of every training text; a
 hit fixes an alignment, and there all words of the item are compared with the
 text.  What leaked is the longest run of the item's words, of OVERLAP words at
 least or the whole item, of which at least 0.8 agree.  The masks alone could miss
-that in items of 5, 6, 7 and 10 words, which get seeds of fewer words, one of which
-no allowed substitution spoils.  All letters are lower-cased.
+that in items of up to 7 and of 10 words, which get seeds of runs of words, one of which
+no allowed substitution spoils; items of up to 4 words are seeds as a whole.  All letters are lower-cased.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, whole_text
+from .common import WORD_GAP, unused, whole_text
 
 #: Word positions that a seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 8))
-#: Words of a run that serves as a seed too, by the words of an item that the masks can miss; LEAST: the shortest items.
-RUNS, LEAST = {5: 2, 6: 3, 7: 3, 10: 3}, 5
+#: Words of a run that serves as a seed too, by the words of an item that the masks can miss; items of 1 to 4 words must agree as a whole.
+RUNS = {1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 3, 7: 3, 10: 3}
 SIMILARITY = 0.8
 #: Words of a partial overlap, at least: from 11 on, no run that agrees to 0.8 can escape all masks.
 OVERLAP = 11
@@ -48,7 +48,7 @@ def seeds(hashes: DataFrame, columns: list[str], runs: dict[int, Column] | None
 def compared(docs: DataFrame, items: DataFrame, fold=F.lower) -> DataFrame:
     """(doc_id, item_id, at, same) of each alignment that a seed hits: same has 1 for each word of the item that agrees, else 0."""
     tests = items.select("item_id", word_hashes(whole_text(), fold).alias("w")).distinct()
-    tests = tests.filter(F.size("w") >= LEAST)
+    tests = tests.filter(F.size("w") > 0)
     sizes = [r[0] for r in tests.select(F.size("w")).filter(F.size("w").isin(list(RUNS))).distinct().collect()]
     of_items = {n: F.size("w").isin([k for k in sizes if RUNS[k] == n]) & (F.col("at") % n == 0) for n in {RUNS[k] for k in sizes}}
     of_texts = {n: F.lit(True) for n in of_items}
@@ -77,7 +77,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, fol
 
     docs: (doc_id, text); items: (item_id, text).  at: the text's word under the
     item's first, negative if the text starts inside the item.  Words outside the
-    text don't agree.  Items of fewer words than LEAST, null and empty texts have
+    text don't agree.  Null and empty texts have
     no leaks.  Repeated rows give one row.  fold: what makes cases of letters one.
     """
     matched = agreed(F.col("same"))
@@ -97,8 +97,8 @@ def overlaps(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
     similarity of the run's words agree.  Of equally long runs the first is given.
     at: the text's word under the item's first, negative if the text starts inside
     the item; words outside the text don't agree.  Words that a text adds or leaves
-    out part an item into runs of two alignments.  Items of fewer words than LEAST,
-    null and empty texts overlap with nothing; repeated rows give one row; texts may
+    out part an item into runs of two alignments.  Null and empty
+    texts, and items without words, overlap with nothing; repeated rows give one row; texts may
     be of any length; other columns are not looked at.
     """
     size, agree = F.size("same"), agreed(F.col("same"))
@@ -116,15 +116,19 @@ def overlaps(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that overlap with no item, whole or in part, in whichever case of letters."""
-    bad = overlaps(docs, items).select(F.col("doc_id").alias("sluice_leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("sluice_leaked")), "left_anti")
+    """The rows of docs, all columns as they are and of any name, that overlap with no item, whole or in part, in whichever case of letters.
+
+    Null and empty texts stay; rows of one doc_id, repeated ones among them, stay or go together.
+    """
+    name = unused(docs, "sluice_leaked")
+    bad = overlaps(docs, items).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 OVERLAPS_SQL = r"""
 with d as (select distinct doc_id, regexp_split_to_array(trim(lower(coalesce(text, '')), E' \t\n\x0B\f\r'), '[\x20\x09-\x0D]+') w from documents),
 b as (select distinct item_id, regexp_split_to_array(trim(lower(coalesce(text, '')), E' \t\n\x0B\f\r'), '[\x20\x09-\x0D]+') w from benchmark),
-dn as (select row_number() over () t, * from d), bn as (select row_number() over () u, * from b where len(w) >= 5),
+dn as (select row_number() over () t, * from d), bn as (select row_number() over () u, * from b where w <> ['']),
 dw as (select t, doc_id, unnest(w) x, generate_subscripts(w, 1) p from dn),
 bw as (select u, item_id, len(w) n, unnest(w) x, generate_subscripts(w, 1) p from bn),
 m as (select t, u, doc_id, item_id, dw.p - bw.p a, n, list(bw.p) ps from dw join bw using (x) group by t, u, doc_id, item_id, dw.p - bw.p, n having count(*) >= 0.8 * least(n, 11)),

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, last_made, saved, tidy, whole_text
+from .common import drop, last_made, saved, tidy, unused, whole_text
 
 MIN_WORDS = 50
 #: Bits of the first hash; fewer in tests.
@@ -365,18 +365,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, made: tuple[str, st
     """
     names = [c for c in docs.columns if c not in made]
     runs = runs_to_delete(docs, min_words).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("sluice_id"), F.col("th").alias("sluice_th"), F.col("runs").alias("sluice_runs"))
-    same = F.col("doc_id").eqNullSafe(F.col("sluice_id")) & (F.xxhash64(whole_text()) == F.col("sluice_th"))
+    of_id, of_text, of_runs = (unused(docs, f"sluice_{x}") for x in ("id", "th", "runs"))
+    runs = runs.select(F.col("doc_id").alias(of_id), F.col("th").alias(of_text), F.col("runs").alias(of_runs))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(whole_text()) == F.col(of_text))
     joined = docs.select(*[f"`{c}`" for c in names]).join(runs, same, "left")
 
     def cut(batches):
         for batch in batches:
             old = batch.column("text").to_pylist()
-            texts = [t if not r else without_lines(t, r) for t, r in zip(old, batch.column("sluice_runs").to_pylist())]
+            texts = [t if not r else without_lines(t, r) for t, r in zip(old, batch.column(of_runs).to_pylist())]
             n, left = ([t.count("\n") + 1 if t else 0 for t in x] for x in (old, texts))
             columns = {f: batch.column(f) for f in names} | {"text": pa.array(texts, pa.string())}
             columns |= {made[0]: pa.array(n, pa.int64()), made[1]: pa.array([a - b for a, b in zip(n, left)], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return joined.select(*[f"`{c}`" for c in names], "sluice_runs").mapInArrow(tidy(cut), f"{kinds}, {made[0]} long, {made[1]} long")
+    return joined.select(*[f"`{c}`" for c in names], of_runs).mapInArrow(tidy(cut), f"{kinds}, {made[0]} long, {made[1]} long")
