@@ -45,7 +45,8 @@ BASE = (
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", hint="eyJ"),
+    # a header of at most 400 letters: without a bound, a text of beginnings only would take time with the square of its length
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,400}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", version=2, hint="eyJ"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
 )
 RULES = BASE + MORE
