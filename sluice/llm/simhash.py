@@ -3,8 +3,9 @@
 Fingerprints that differ in at most 3 bits differ in at most 3 of their 8 bytes, so
 they agree in at least 5 positional bytes.  Postings of single bytes would hold a
 256th of the corpus each, so the index has a posting for the values of every 3 byte
-positions: 56 for each distinct fingerprint.  Two fingerprints that agree in 5 bytes
-meet in at least 10 of them.  The meetings of each pair are tallied, pairs that reach
+positions, 56 for each distinct fingerprint, or of every 4 positions, 70, where there are
+too many fingerprints for 3.  Two fingerprints that agree in 5 bytes meet in at least 10
+of them, or in 5 of those of 4.  The meetings of each pair are tallied, pairs that reach
 this guaranteed minimum are kept, and their bits compared.
 
 A posting of more than HOT fingerprints emits no pairs.  Its fingerprints go to
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import drop, last_made, saved, tidy, whole_text
 
 MAX_BITS = 3
-#: Byte positions of a posting, how many postings two linked fingerprints share at least, and the positions of hot ones.
-POSTINGS, MINIMUM = list(combinations(range(8), 3)), 10
+#: Distinct fingerprints up to which postings are of 3 byte positions; beyond, of 4, of whose values there are 256 times as many.
+SHORT_POSTINGS = 1 << 26
+#: The byte positions of hot postings.
 SUBSETS = list(combinations(range(8), 8 - MAX_BITS))
 #: Fingerprints of a posting from which it is solved by the longer ones.
 HOT = 8
@@ -147,7 +150,7 @@ def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(key))
 
 
-def meetings(distinct: DataFrame, hot: int) -> DataFrame:
+def meetings(distinct: DataFrame, hot: int, positions: int) -> DataFrame:
     """(u, v) for each posting in which two fingerprints meet, u the larger as unsigned; (u, null) for u in a hot posting."""
 
     def rows(batches):
@@ -167,7 +170,7 @@ def meetings(distinct: DataFrame, hot: int) -> DataFrame:
                 own = np.unique(np.concatenate(large)).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"u": pa.array(own), "v": pa.nulls(len(own), pa.int64())})
 
-    return keyed_by(distinct, POSTINGS).mapInArrow(tidy(rows), "u long, v long")
+    return keyed_by(distinct, list(combinations(range(8), positions))).mapInArrow(tidy(rows), "u long, v long")
 
 
 def forests(fingerprints: DataFrame) -> DataFrame:
@@ -190,10 +193,16 @@ def forests(fingerprints: DataFrame) -> DataFrame:
     return keyed_by(fingerprints, SUBSETS).mapInArrow(tidy(rows), "u long, v long")
 
 
-def links(distinct: DataFrame, hot: int | None = None) -> DataFrame:
-    """(u, v): verified links of distinct fingerprints (fp), those of hot postings as spanning forests."""
-    met = saved(meetings(distinct, hot or HOT).groupBy("u", "v").agg(F.count("*").alias("n")))
-    tallied = met.filter((F.col("n") >= MINIMUM) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
+def links(distinct: DataFrame, hot: int | None = None, positions: int | None = None) -> DataFrame:
+    """(u, v): verified links of distinct fingerprints (fp), those of hot postings as spanning forests.
+
+    positions: the bytes of a posting, by the number of fingerprints, so that postings
+    stay short and the tally stays the way by which links are found.
+    """
+    positions = positions or (3 if distinct.count() <= SHORT_POSTINGS else 4)
+    minimum = comb(8 - MAX_BITS, positions)
+    met = saved(meetings(distinct, hot or HOT, positions).groupBy("u", "v").agg(F.count("*").alias("n")))
+    tallied = met.filter((F.col("n") >= minimum) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
     crowded = met.filter("v is null").select(F.col("u").alias("fp"))
     return tallied.union(forests(crowded)).distinct()
 
