@@ -26,8 +26,8 @@ FOLDS, HELD = 5, 1
 #: Words that are units of their own; words whose counts executors hold; training rounds and folds of each.
 SHORT, KNOWN = 2048, 150_000
 ROUNDS = ((0, 2), (3, 4))
-#: A corpus of fewer training tokens is read twice.
-SMALL = 10_000_000
+#: Groups in which the tasks' copies are averaged first, so that no task gets one from every other.
+SLOTS = 64
 #: Bytes of text that a task encodes at once, and tokens that it gathers before it scores or trains on them.
 CHUNK, BUFFER = 5_000_000, 1_500_000
 SHAPES = 25
@@ -265,20 +265,25 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], folds: tuple[in
         if trainer.seen:
             values = gru.flat(trainer.p).astype("<f4")
             parts = [values[k : k + size].tobytes() for k in range(0, len(values), size)]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "seen": pa.array([trainer.seen] * len(parts), pa.int64()), "weights": pa.array(parts, pa.binary())})
+            slot = TaskContext.get().partitionId() % SLOTS
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "slot": pa.array([slot] * len(parts), pa.int32()), "seen": pa.array([trainer.seen] * len(parts), pa.int64()), "weights": pa.array(parts, pa.binary())})
 
     def averaged(batches):
-        sums: dict[int, np.ndarray] = {}
-        seen: dict[int, int] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for part, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[part] = sums.get(part, 0) + n * np.frombuffer(data, "<f4").astype(np.float64)
-                seen[part] = seen.get(part, 0) + n
+            for part, slot, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[part, slot] = sums.get((part, slot), 0) + n * np.frombuffer(data, "<f4").astype(np.float64)
+                seen[part, slot] = seen.get((part, slot), 0) + n
         if sums:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "weights": pa.array([(x / seen[k]).astype("<f4").tobytes() for k, x in sums.items()], pa.binary())})
-
-    own = rows.filter(F.col("fold").isin(list(folds))).select("units").mapInArrow(tidy(trained), "part int, seen long, weights binary")
-    found = sorted(own.repartition("part").mapInArrow(tidy(averaged), "part int, weights binary").collect())
+            keys = list(sums)
+            columns = [pa.array([p for p, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([(sums[k] / seen[k]).astype("<f4").tobytes() for k in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "slot", "seen", "weights"])
+
+    kinds = "part int, slot int, seen long, weights binary"
+    own = rows.filter(F.col("fold").isin(list(folds))).select("units").mapInArrow(tidy(trained), kinds)
+    slots = own.repartition("part", "slot").mapInArrow(tidy(averaged), kinds).withColumn("slot", F.lit(0))
+    found = sorted(slots.repartition("part").mapInArrow(tidy(averaged), kinds).select("part", "weights").collect())
     if not found:
         return weights
     return gru.unflat(weights, np.frombuffer(b"".join(bytes(r["weights"]) for r in found), "<f4"))
@@ -286,9 +291,8 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], folds: tuple[in
 
 def train(rows: DataFrame, v: dict) -> dict[str, np.ndarray]:
     weights = start_weights(v["mass"])
-    for _ in range(2 if v["tokens"] < SMALL else 1):
-        for folds in ROUNDS:
-            weights = train_round(rows, weights, folds)
+    for folds in ROUNDS:
+        weights = train_round(rows, weights, folds)
     return weights
 
 

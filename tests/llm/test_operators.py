@@ -526,7 +526,7 @@ def naive_leaks(rows, items):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
         for i, s in items:
             v = [x for x in re.split(r"[\x20\x09-\x0D]+", (s or "").lower()) if x]
-            for at in range(-len(v) + 1, len(w)) if len(v) >= 5 else ():
+            for at in range(-len(v) + 1, len(w)) if v else ():
                 n = sum(0 <= at + k < len(w) and w[at + k] == x for k, x in enumerate(v))
                 if n >= 0.8 * len(v):
                     out.add((d, i, at, len(v), n))
@@ -562,7 +562,13 @@ def test_op5_short_items(spark):
             rows.append((len(rows), "a b c " + " ".join("x" if k in spoiled else w for k, w in enumerate(t.split())) + " d e"))
     df, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(x) for x in decontaminate.leaks(df, bench).select("doc_id", "item_id", "at", "item_words", "matched").collect()}
-    assert got == naive_leaks(rows, items) and {x[1] for x in got} == set(range(5, 16))
+    assert got == naive_leaks(rows, items) and {x[1] for x in got} == set(range(1, 16))
+    con = pytest.importorskip("duckdb").connect()
+    some = df.filter("doc_id % 3 = 0 or doc_id < 9")
+    con.register("documents", some.select("doc_id", "text").toPandas())
+    con.register("benchmark", bench.union(spark.createDataFrame([(20, ""), (21, None), (22, " \n")], bench.schema)).toPandas())
+    found = decontaminate.overlaps(some, bench).select("doc_id", "item_id", "at", "item_words", "start", "words", "matched").collect()
+    assert Counter(con.sql(decontaminate.OVERLAPS_SQL).fetchall()) == Counter(map(tuple, found)) and {x["item_words"] for x in found} >= {1, 2, 3, 4}
 
 
 def test_op5_capitals_with_marks(spark):
@@ -607,6 +613,24 @@ def test_op5_partial_overlaps(spark):
 # secrets
 
 
+@pytest.mark.parametrize("start", ["eyJ", "eyJ-", "eyJaaaaaaaaaa.", "eyJaaaaaaaaaa.eyJ", "ghp_", "xoxb-", "xoxb-1234567890", "AKIA", "-----BEGIN ", "password", "password=", "token  ", "0123456789abcdef", "0123456789abcdefg"])
+def test_op6_takes_time_in_proportion(spark, start):
+    """A million characters of what a rule's matches begin with."""
+    import time
+
+    text = start * (1_000_000 // len(start))
+    began = time.perf_counter()
+    secret_scan.scan(spark.createDataFrame([("b", text, [r.key for r in secret_scan.RULES])], "blob string, text string, todo array<string>")).count()
+    assert time.perf_counter() - began < 30
+
+
+def test_op6_tokens_with_headers(spark):
+    good = "eyJ" + "a" * 20 + ".eyJ" + "b" * 3000 + ".sig-1"
+    df = spark.createDataFrame([("b", "x " + good + " y eyJshort.eyJ" + "c" * 20 + ".s", [r.key for r in secret_scan.RULES])], "blob string, text string, todo array<string>")
+    found = [(r["start"], r["end"]) for r in secret_scan.scan(df).filter("kind = 'jwt'").collect()]
+    assert found == [(2, 2 + len(good))]
+
+
 def naive_spans(t):
     spans = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
@@ -953,15 +977,15 @@ def test_op10_close_sets(probe):
     assert len({(int(values[g]), expected[v]) for g, v in zip(got, values.tolist())}) == len(set(got.tolist())) == len(set(expected.values()))
 
 
-@pytest.mark.parametrize("hot", [64, simhash.HOT, 2])
-def test_op10_links_and_chains(spark, hot):
+@pytest.mark.parametrize(("hot", "positions"), [(64, 3), (64, 4), (simhash.HOT, 3), (simhash.HOT, 4), (2, 3)])
+def test_op10_links_and_chains(spark, hot, positions):
     r = random.Random(4)
     chain = [r.getrandbits(64)]
     for _ in range(60):
         chain.append(chain[-1] ^ sum(1 << b for b in r.sample(range(64), 3)))
     values = list(dict.fromkeys([*chain, *[r.getrandbits(64) for _ in range(200)]]))
     df = spark.createDataFrame([(int(np.array([v], np.uint64).view(np.int64)[0]),) for v in values], "fp long")
-    edges = simhash.links(df, hot)
+    edges = simhash.links(df, hot, positions)
     linked = {tuple(int(np.array([x], np.int64).view(np.uint64)[0]) for x in e) for e in edges.collect()}
     every = {(max(a, b), min(a, b)) for k, a in enumerate(values) for b in values[:k] if (a ^ b).bit_count() <= 3}
     assert hot < 60 or linked == every  # hot postings give each fingerprint the root of its links
@@ -1023,3 +1047,16 @@ def test_pipeline_leaves_no_folders(spark, monkeypatch):
     monkeypatch.setattr(common, "MADE", [])
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert len(common.MADE) == 1
+
+
+def test_pipeline_with_columns_of_its_own_names(spark):
+    """Users' columns may have the names that stages use inside."""
+    sf = "/root/testdata/sf0.001"
+    names = [f"sluice_{x}" for x in ("kept", "leaked", "id", "th", "runs", "n_lines", "n_deleted", "kept_")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({n: F.lit(n) for n in names}).cache()
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+    row = docs.first()
+    assert docs.count() and all(row[n] == n for n in names)
