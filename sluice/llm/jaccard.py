@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tidy, whole_text
+from .common import MADE, clear, drop, last_made, saved, tidy, whole_text
 from .collocations import is_set, mixed
 from .simhash import components
 from .words import bytes_of, chunks, split_words
@@ -249,12 +249,15 @@ def able(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of sets that link; sets: (s, n, low, cells)."""
+    first = len(MADE)
     some = able(pairs, sets, percent)
     wanted = sets.join(some.select(F.col("u").alias("s")).union(some.select("v")).distinct(), "s").select("s", "low")
     elements = elements_of(docs, saved(wanted))
     both = some.join(elements.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(elements.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b")).cast("long")
-    return saved(both.select("u", "v", "nu", "nv", same.alias("same")).filter(100 * F.col("same") >= percent * (F.col("nu") + F.col("nv") - F.col("same"))).select("u", "v"))
+    linked = saved(both.select("u", "v", "nu", "nv", same.alias("same")).filter(100 * F.col("same") >= percent * (F.col("nu") + F.col("nv") - F.col("same"))).select("u", "v"))
+    clear(docs.sparkSession, first, last_made())
+    return linked
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -292,8 +295,11 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PE
     found, roots = [], None
     for scheme in range(len(SCHEMES)):
         met = groups(signed)
+        read = last_made()  # the table that met reads
         for k in range(ROUNDS):
             held = clustered(met, roots)
+            drop(docs.sparkSession, read)
+            read = last_made()
             turn = F.xxhash64("s", F.lit(k))
             named = held.groupBy("sig").agg(F.min_by("s", turn).alias("low"), F.min_by("root", turn).alias("low_root"))
             stars = held.join(named, "sig").filter("root <> low_root").groupBy("s").agg(F.min("low").alias("v"))
@@ -301,6 +307,7 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PE
             roots = components(reduce(DataFrame.union, found))
             met = held.select("sig", "s")
         held = clustered(met, roots)
+        drop(docs.sparkSession, read)
         clusters = held.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
         held = saved(held.join(clusters.select("sig", ((F.col("n") * F.col("n") - F.col("q")) > 2 * crowd * F.col("n")).alias("crowded")), "sig"))
         last = scheme == len(SCHEMES) - 1
