@@ -34,7 +34,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 INSIDE = 50
 SCALE = 1_000_000
 #: Bytes of texts in a shard, and bitmap bytes that are extended at once.
-SHARD, SLICE = 16 << 20, 1 << 18
+SHARD, SLICE = 10 << 20, 1 << 17
 #: Bits of a bit table, as a power of two: 8 MB.
 TABLE_BITS = 26
 #: Parts in which a language's phrases are ranked first.
