@@ -34,7 +34,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 INSIDE = 50
 SCALE = 1_000_000
 #: Bytes of texts in a shard, and bitmap bytes that are extended at once.
-SHARD, SLICE = 10 << 20, 1 << 17
+SHARD, SLICE = 6 << 20, 1 << 17
 #: Bits of a bit table, as a power of two: 8 MB.
 TABLE_BITS = 26
 #: Parts in which a language's phrases are ranked first.
@@ -61,8 +61,8 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, at))
     piece = np.cumsum(mark, dtype=np.int32)[starts] + np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     place = np.cumsum(solid, dtype=np.int32)
-    gaps = np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)
-    return packed(raw[solid], place[starts] - 1), counts, np.arange(len(starts)) + gaps
+    gaps = np.cumsum(np.diff(piece, prepend=piece[:1]) != 0, dtype=np.int32)
+    return packed(raw[solid], place[starts] - 1), counts, np.arange(len(starts), dtype=np.int32) + gaps
 
 
 def mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -130,12 +130,13 @@ class Shard:
             kept = is_set(known, buckets([self.hashes]))[ids]
             ids, place = ids[kept], place[kept]
         order = np.argsort(ids, kind="stable")
-        word, place = ids[order].astype(np.int64), place[order]
+        word, place = ids[order], place[order]
+        del ids, order, both, coded, codes, words
         block = place >> 3
         new = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.word, self.block = word[new], block[new]
         self.bits = np.bitwise_or.reduceat((1 << (place & 7)).astype(np.uint8), new) if len(new) else np.zeros(0, np.uint8)
-        self.by_block = np.argsort(self.block, kind="stable")
+        self.by_block = np.argsort(self.block, kind="stable").astype(np.int32)
         self.blocks = int(self.block.max()) + 2 if len(new) else 0
         self.block_start = np.searchsorted(self.block[self.by_block], np.arange(self.blocks + 1))
 
@@ -159,34 +160,33 @@ class Shard:
 
     def walk(self, depth: int, tables: list[np.ndarray]):
         """(word hashes by place, counts) of phrases of depth words; tables[d]: bits of frequent phrases of d words."""
-
-        def down(chain: list[np.ndarray], phrase, block, bits):
-            # chain: the words of each phrase, place by place
-            here, (phrase, word, block, bits) = len(chain) + 1, self.extended(phrase, block, bits)
-            if not len(phrase):
-                return
-            order = np.argsort(phrase * len(self.hashes) + word, kind="stable")
-            phrase, word, block, bits = phrase[order], word[order], block[order], bits[order]
-            starts = np.flatnonzero((np.diff(phrase, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
-            longer = [c[phrase[starts]] for c in chain] + [word[starts]]
-            hashes = [self.hashes[c] for c in longer]
-            keep = np.ones(len(starts), bool)
-            if here > 2:
-                keep = is_set(tables[here - 1], buckets(hashes[1:]))
-            if here < depth:
-                keep &= is_set(tables[here], buckets(hashes))
-            if here == depth:
-                counts = np.add.reduceat(np.bitwise_count(bits), starts, dtype=np.int64)
-                yield [h[keep] for h in hashes], counts[keep]
-            else:
-                sizes = np.diff(starts, append=len(phrase))
-                rank = np.cumsum(keep) - 1
-                stay = np.repeat(keep, sizes)
-                yield from down([c[keep] for c in longer], np.repeat(rank, sizes)[stay], block[stay], bits[stay])
-
         for k in range(0, len(self.word), SLICE):
             part = slice(k, k + SLICE)
-            yield from down([np.arange(len(self.hashes))], self.word[part], self.block[part], self.bits[part])
+            yield from self.down(depth, tables, [np.arange(len(self.hashes))], self.word[part], self.block[part], self.bits[part])
+
+    def down(self, depth: int, tables: list[np.ndarray], chain: list[np.ndarray], phrase, block, bits):
+        """``walk`` from phrases on whose words, place by place, are in chain; a method, as an inner function that calls itself would keep the shard until the collector runs."""
+        here, (phrase, word, block, bits) = len(chain) + 1, self.extended(phrase, block, bits)
+        if not len(phrase):
+            return
+        order = np.argsort(phrase.astype(np.int64) * len(self.hashes) + word, kind="stable")
+        phrase, word, block, bits = phrase[order], word[order], block[order], bits[order]
+        starts = np.flatnonzero((np.diff(phrase, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        longer = [c[phrase[starts]] for c in chain] + [word[starts]]
+        hashes = [self.hashes[c] for c in longer]
+        keep = np.ones(len(starts), bool)
+        if here > 2:
+            keep = is_set(tables[here - 1], buckets(hashes[1:]))
+        if here < depth:
+            keep &= is_set(tables[here], buckets(hashes))
+        if here == depth:
+            counts = np.add.reduceat(np.bitwise_count(bits), starts, dtype=np.int64)
+            yield [h[keep] for h in hashes], counts[keep]
+        else:
+            sizes = np.diff(starts, append=len(phrase))
+            rank = np.cumsum(keep) - 1
+            stay = np.repeat(keep, sizes)
+            yield from self.down(depth, tables, [c[keep] for c in longer], np.repeat(rank, sizes)[stay], block[stay], bits[stay])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -208,6 +208,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
             s = Shard(texts, langs, seed)
             if len(s.hashes):
                 yield pa.RecordBatch.from_pydict({"key": keys_of([s.hashes]), "lang": pa.array(s.langs, pa.string()), "word": s.words.cast(pa.string()), "n": pa.array(s.word_counts())})
+            del s  # before the next one is made
 
     counts = texts_of(docs).mapInArrow(tidy(rows), "key binary, lang string, word string, n long")
     return counts.groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))

@@ -1,8 +1,10 @@
 """Fill-in-middle, collocations and the Jaccard join against brute force."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -153,6 +155,22 @@ def test_hashes_that_meet_are_made_anew(spark, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs).collect())) == good
 
 
+def test_a_walked_shard_is_given_back_at_once():
+    texts = pa.array(["a b c a b c", "b c a"])
+    gc.collect()
+    gc.disable()
+    try:
+        for depth in (2, 3):
+            shard = collocations.Shard(texts, ["en", "en"], 0)
+            full = [np.full(1 << (collocations.TABLE_BITS - 6), ~np.uint64(0))] * 4 if depth > 2 else [None] * 4
+            assert sum(n.sum() for _, n in shard.walk(depth, full)) == (7 if depth == 2 else 5)
+            last = weakref.ref(shard)
+            del shard
+            assert last() is None
+    finally:
+        gc.enable()
+
+
 def test_products_beyond_64_bits(spark):
     big = 3_000_000_000_000
     keys = [bytes([k]) * 8 for k in (1, 2)]
