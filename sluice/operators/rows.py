@@ -156,9 +156,12 @@ def sort_columns(name: str, kind: str, hint: str | None = None, descending: bool
     return [blank, (key.isNull(), False), (key, descending), (F.when(key.isNull(), natural_key(c)), descending)]
 
 
-def sort_keys(name: str, kind: str, hint: str | None = None, descending: bool = False, strict_text: bool = False) -> list[Column]:
-    """The same as sort orders."""
-    return [SORT_WAY[down](c) for c, down in sort_columns(name, kind, hint, descending, strict_text)]
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sort_rows(df: DataFrame, s: Sort, kind: str, hint: str | None = None, strict: bool = False, order: str = ORDER) -> DataFrame:
@@ -172,7 +175,11 @@ def sort_rows(df: DataFrame, s: Sort, kind: str, hint: str | None = None, strict
         c = F.col(f"`{s.column}`")
         return df.orderBy(c.desc_nulls_last() if s.descending else c.asc_nulls_last(), order)
     text = strict and kind == "numeric" and not df.agg(F.bool_and(looks_numeric(cell(s.column)))).first()[0]
-    return df.orderBy(*sort_keys(s.column, kind, hint, s.descending, text), order)
+    keys = sort_columns(s.column, kind, hint, s.descending, text)
+    names = [unused(df, f"_sort{k}") for k in range(len(keys))]
+    # as columns, since a sort evaluates its expressions at every comparison
+    keyed = df.withColumns({name: c for name, (c, _) in zip(names, keys)})
+    return keyed.orderBy(*[SORT_WAY[down](F.col(name)) for name, (_, down) in zip(names, keys)], order).drop(*names)
 
 
 def number_rows(df: DataFrame, name: str = "place") -> DataFrame:

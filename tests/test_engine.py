@@ -120,6 +120,16 @@ def test_sorts(people):
     assert rows.row_at(200, "50%") == 100 and rows.row_at(10, "99") == 9
 
 
+@pytest.mark.parametrize("kind", ["numeric", "datetime", "string"])
+def test_sort_compares_columns_and_no_expressions(people, kind):
+    df = people.withColumn("_SORT0", F.lit("x"))
+    out = rows.sort_rows(df, Sort("age"), kind)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    order = next(x for x in plan.splitlines() if "Sort [" in x).lower()
+    assert "rlike" not in order and "lower(" not in order and "trim(" not in order
+    assert out.columns == df.columns
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("10:00", 0), ("10:58", 1), ("10:59", 2), ("?", 3)], "t string, _ord long").withColumn("t", F.when(F.col("t") != "?", F.concat(F.lit("2024-01-01 "), "t", F.lit(":00"))).otherwise("?"))
     assert [r["_ord"] for r in rows.time_window(df, TimeWindow(300, False, "t")).orderBy("_ord").collect()] == [1, 2, 3]
