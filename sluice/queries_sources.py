@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,10 @@ from .plans.infer import Layout
 from .plans.spec import Filter, QuerySpec, Sort
 from .sources import sinks, text
 from .streaming import live
+from .streaming.growing import store
+
+#: Bytes that are copied at once.
+COPIED = 8 << 20
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,10 +31,37 @@ def customers(spark, d) -> DataFrame:
 
 
 def one_file(spark: SparkSession, lines: DataFrame, header: list[str] = (), order: str = "n") -> str:
-    """Lines (n, value) by n, after the header, as a folder with one file."""
-    folder = work_folder(spark)
+    """Lines (n, value) by n, after the header, as a folder with one file.
+
+    Ranges of n are sorted and written by tasks of their own; one task then copies their
+    bytes one after the other and holds no more than COPIED of them.  Only on a file system
+    that pyarrow can't open does one task sort all lines.
+    """
+    folder, parts = work_folder(spark), work_folder(spark)
     head = spark.createDataFrame([(k - len(header), x) for k, x in enumerate(header)], "n long, value string")
-    head.unionByName(lines.select(F.col(order).cast("long").alias("n"), "value")).coalesce(1).sortWithinPartitions("n").select("value").write.text(folder)
+    rows = head.unionByName(lines.select(F.col(order).cast("long").alias("n"), "value"))
+    if not text.documents.opens(folder):
+        rows.coalesce(1).sortWithinPartitions("n").select("value").write.text(folder)
+        return folder
+    rows.orderBy("n").select("value").write.text(parts)
+    system, where = store(folder)
+    system.create_dir(where)
+    found = system.get_file_info(FileSelector(store(parts)[1]))
+    numbered = [(re.match(r"part-(\d+)", x.base_name), x.path) for x in found]
+    paths = [path for _, path in sorted((int(m[1]), path) for m, path in numbered if m)]
+
+    def copy(batches):
+        for _ in batches:
+            unfinished = f"{where}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(unfinished) as out:
+                for path in paths:
+                    with system.open_input_stream(path) as part:
+                        while data := part.read(COPIED):
+                            out.write(data)
+            system.move(unfinished, f"{where}/part-00000.txt")
+            yield pa.RecordBatch.from_pydict({"id": pa.array([0], pa.int64())})
+
+    spark.range(1, numPartitions=1).mapInArrow(copy, "id long").collect()
     return folder
 
 

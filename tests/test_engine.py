@@ -3,6 +3,7 @@
 import csv
 import datetime
 import io
+import os
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluice import cli
+from sluice import cli, queries_sources
 from sluice.functions import datetimes, regexes, values
 from sluice.operators import columns as cols
 from sluice.operators import rows
@@ -120,6 +121,28 @@ def test_sorts(people):
     assert rows.row_at(200, "50%") == 100 and rows.row_at(10, "99") == 9
 
 
+def test_one_file_is_sorted_by_many_tasks(spark):
+    lines = spark.range(30_000, numPartitions=7).select((29_999 - F.col("id")).alias("n"), F.concat(F.lit("line "), 29_999 - F.col("id")).alias("value"))
+    tracker, group = spark.sparkContext.statusTracker(), "one file"
+    spark.sparkContext.setJobGroup(group, group)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries_sources, "COPIED", 1000, raising=False)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            folder = queries_sources.one_file(spark, lines, ["a", "b"])
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            spark.sparkContext._jsc.clearJobGroup()
+    where = folder.removeprefix("file:")
+    files = [f for f in os.listdir(where) if not f.startswith((".", "_"))]
+    assert len(files) == 1
+    with open(f"{where}/{files[0]}") as f:
+        assert f.read().splitlines() == ["a", "b", *[f"line {k}" for k in range(30_000)]]
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    # the stage that sorts and writes has a task for each range, where it had one in all
+    assert len([s for s in stages if (i := tracker.getStageInfo(s)) and i.numTasks > 1]) >= 2
+
+
 @pytest.mark.parametrize("kind", ["numeric", "datetime", "string"])
 def test_sort_compares_columns_and_no_expressions(people, kind):
     df = people.withColumn("_SORT0", F.lit("x"))
