@@ -815,6 +815,17 @@ def test_op8_labelled_documents(spark):
     assert n[1, True] > 0.97 * (n[1, True] + n.get((1, False), 0)) and n[0, False] > 0.9 * (n[0, False] + n.get((0, True), 0))
 
 
+def test_models_hold_every_n_gram_of_a_large_corpus(spark):
+    r = np.random.default_rng(5)
+    codes = r.integers(2, 102, (200, 11_000))
+    rows = [(k, " ".join(f"w{c}x" for c in row), "xx") for k, row in enumerate(codes.tolist())]
+    starts = np.concatenate([np.zeros((200, 2), np.int64), codes], 1)
+    grams = np.unique((starts[:, :-2] << 40 | starts[:, 1:-1] << 20 | starts[:, 2:]).ravel())
+    (model,) = quality.language_models(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert len(model["xx"]["known"]) == 100
+    assert [len(x["keys"]) for x in model["xx"]["words"]] == [len(np.unique(grams & (1 << bits) - 1)) for bits in (20, 40, 60)]
+
+
 def test_op8_kneser_ney_sums_to_one():
     r = np.random.default_rng(3)
     columns = [np.array(x, np.int64) for x in zip(*{tuple(g) for g in r.integers(0, 9, (400, 3)).tolist()})]
