@@ -11,15 +11,18 @@ some more partitions than that takes, so linked sets agree in slack + 1 of them;
 that has empty subsets in no more than slack partitions need not sign those, which
 would bring together sets that have nothing in common.
 
-1. Sets that share a signature form a group.  In ROUNDS rounds each group names one of
-   its sets, and each set is compared with one that its groups name; those that link
-   are one cluster, and no pair inside a cluster is looked at any more.
-2. Groups that still hold several clusters emit pairs across them, if these are at most
-   CROWD for each member.  The sets of larger groups are signed anew by the next
-   scheme, whose signatures cover more elements and which finds all links by itself.
-   The last scheme's groups emit all pairs across clusters.
-3. A pair is compared if sizes and histograms of some 8 elements a cell allow it to link
-   (both only ever rule out pairs that can't), and then element by element.
+1. Sets that share a signature form a list; lists of the same sets are one.  The members of
+   a list meet as sketches: bits by cell of the domain that tell whether a set has an odd
+   number of elements there, so that two sketches differ in no more bits than the sets do
+   in elements.  In ROUNDS rounds each member names the first one that its sketch lets it
+   link to, such pairs are compared element by element, and those that link are one
+   cluster, of which no pair is looked at any more.
+2. Lists in which more members may link than have been named are looked at once more for
+   pairs across clusters.  Lists of more than DIRECT * CROWD members are only cut into runs
+   in the rounds.  Then they emit pairs across clusters, if these are at most CROWD for each
+   member; the sets of others are signed anew by the next scheme, whose signatures cover
+   more elements and which finds all links by itself.  The last scheme's lists emit all
+   pairs across clusters.
 
 Equal sets are one from the start.  Sets go by a 64-bit hash of their elements, equal
 documents by one of 128 bits.
@@ -38,22 +41,28 @@ from pyspark.sql import functions as F
 
 from .common import MADE, clear, drop, last_made, saved, tidy, whole_text
 from .collocations import is_set, mixed
-from .simhash import components
-from .words import bytes_of, chunks, split_words
+from .simhash import components, runs_of
+from .words import bytes_of, chunks, packed, split_words
 
 SHINGLE, PERCENT = 4, 85
 #: (k2, parts of a subset) of each scheme.
 SCHEMES = ((1, 1), (2, 3), (3, 3))
 #: In the first scheme, subsets of two parts for sets that may differ in fewer elements than this.
 SMALL_K = 8
-#: Pairs across clusters for each member, above which a group is signed anew.
+#: Pairs across clusters for each member, above which the sets of a long list are signed anew.
 CROWD = 16
-#: Rounds in which sets meet one other each, before pairs across clusters are compared.
-ROUNDS = 3
-#: Elements for each cell of a histogram, a byte each; cells are a power of two.
-PER_CELL = 8
-#: Bits of the table of shared signatures, as a power of two: 16 MB.
-TABLE_BITS = 27
+#: Lists of up to DIRECT * CROWD members meet in tasks, TILE by TILE members at a time.
+DIRECT, TILE = 256, 256
+#: Members of a longer list that each of its runs meets.
+PIVOTS = 16
+#: Rounds in which sets name one other each, before pairs across clusters are compared.
+ROUNDS = 1
+#: Signatures of a bucket, as a power of two, and the fewest buckets.
+TABLE_BITS, BUCKETS = 20, 1024
+#: Bits of the table of wanted documents, as a power of two: 16 MB.
+WANTED_BITS = 27
+#: Signatures that a task sorts into buckets at once, pairs that it compares at once.
+BLOCK, PAIRS = 1 << 21, 1 << 18
 #: Bytes of texts that are worked on at once.
 CHUNK = 4 << 20
 
@@ -145,20 +154,46 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
 
 
 def histogram(elements: np.ndarray) -> bytes:
-    """Elements by cell of the domain, 255 at most."""
-    bits = max(1, (len(elements) // PER_CELL).bit_length())
-    counts = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """A bit for each cell of the domain: whether the elements there are odd in number.  At least 64 cells, n / 2 to n for larger sets."""
+    bits = max(6, (len(elements) - 1).bit_length() - 1)
+    cells = (elements >> np.uint64(20)) & np.uint64((1 << bits) - 1)
+    odd = np.bincount(cells.astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, a row each, with so many words: cells that become one add up."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
 def cells_apart(a: bytes, b: bytes) -> int:
-    """How much two histograms differ at least: no more than the sets do."""
-    x, y = sorted((np.frombuffer(c, np.uint8) for c in (a, b)), key=len)
-    y = y.reshape(len(x), -1)  # the cells of the finer one that make up each of the other
-    full = 1 << 40  # a full cell may stand for any larger number
-    x_low, y_low = x.astype(np.int64), y.sum(axis=1, dtype=np.int64)
-    x_high, y_high = np.where(x == 255, full, x_low), np.where((y == 255).any(axis=1), full, y_low)
-    return int(np.maximum(0, np.maximum(x_low - y_high, y_low - x_high)).sum())
+    """How much two sketches differ: no more than the sets do."""
+    x, y = (np.frombuffer(c, np.uint64).reshape(1, -1) for c in (a, b))
+    width = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+
+
+def may_link(raw: np.ndarray, at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches let rows i and j link; a row's sketch is the words from at on."""
+    ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    width = np.diff(at)
+    least = np.minimum(width[i], width[j])
+    for w in np.unique(least[ok]).tolist():
+        these = np.flatnonzero(ok & (least == w))
+        rows, where = np.unique(np.concatenate([i[these], j[these]]), return_inverse=True)
+        cells = np.empty((len(rows), w), np.uint64)
+        for wide in np.unique(width[rows]).tolist():
+            same = np.flatnonzero(width[rows] == wide)
+            cells[same] = folded(raw[at[rows[same]][:, None] + np.arange(wide)], w)
+        one, two = where[: len(these)], where[len(these) :]
+        most = (100 - percent) * (n[i[these]] + n[j[these]])
+        for k in range(0, len(these), step := max(1, PAIRS // w)):
+            apart = np.bitwise_count(cells[one[k : k + step]] ^ cells[two[k : k + step]]).sum(axis=1, dtype=np.int64)
+            ok[these[k : k + step]] = (100 + percent) * apart <= most[k : k + step]
+    return ok
 
 
 def digests(docs: DataFrame, percent: int) -> DataFrame:
@@ -177,62 +212,202 @@ def digests(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def packed_signatures(sets: list[np.ndarray], scheme: int, percent: int) -> pa.Array:
-    return pa.array([signatures(x, scheme, percent).tobytes() for x in sets], pa.binary())
+    """The first 48 bits of each signature."""
+    return pa.array([np.ascontiguousarray(signatures(x, scheme, percent).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in sets], pa.binary())
+
+
+def signed_texts(docs: DataFrame, wanted: DataFrame, scheme: int, percent: int) -> DataFrame:
+    """(s, sigs) of the wanted sets (s, low)."""
+
+    def signed(texts):
+        sets = shingle_sets(texts)
+        return pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "sigs": packed_signatures(sets, scheme, percent)})
+
+    return of_texts(docs, wanted, signed, "s long, sigs binary").join(wanted.select("s"), "s", "left_semi")
 
 
-def signed_texts(texts: DataFrame, scheme: int, percent: int) -> DataFrame:
-    """(s, sigs) of the sets of texts."""
+def postings(signed: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, sig, s) of (s, sigs): 32 bits of each signature in the bucket, and its sets, as blocks."""
+
+    def blocks(sig, s):
+        bucket = (((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, sig, s = bucket[order], (sig >> np.uint64(16)).astype(np.uint32)[order], s[order]
+        starts = np.flatnonzero(np.diff(bucket.astype(np.int32), prepend=-1))
+        for k in range(0, len(starts), 4096):
+            some = starts[k : k + 4096]
+            end = starts[k + 4096] if k + 4096 < len(starts) else len(sig)
+            part = slice(some[0], end)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[some].astype(np.int32)), packed(sig[part].view(np.uint8), 4 * (some - some[0])), packed(s[part].view(np.uint8), 8 * (some - some[0]))], names=["bucket", "sig", "s"])
 
     def rows(batches):
+        held, size = [], 0
         for batch in batches:
-            for a, b in chunks(batch.column(0), CHUNK):
-                sets = shingle_sets(batch.column(0).slice(a, b - a))
-                yield pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "sigs": packed_signatures(sets, scheme, percent)})
+            for a, b in chunks(batch.column(1), 2 * CHUNK):
+                raw, at = bytes_of(batch.column(1).slice(a, b - a))
+                sig = np.zeros((len(raw) // 6, 8), np.uint8)
+                sig[:, 2:] = raw.reshape(-1, 6)
+                sig = sig.view(np.uint64).ravel()
+                held.append((sig, np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(at) // 6)))
+                size += len(sig)
+                if size >= BLOCK:
+                    yield from blocks(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if size:
+            yield from blocks(*map(np.concatenate, zip(*held)))
+
+    return signed.select("s", "sigs").mapInArrow(tidy(rows), "bucket int, sig binary, s binary")
 
-    return texts.select("text").mapInArrow(tidy(rows), "s long, sigs binary")
 
+def lists(signed: DataFrame) -> DataFrame:
+    """(members): the sets of (s, sigs) that share a signature, in order, 8 bytes each; the same sets once.  Saved.
 
-def each_signature(signed: DataFrame, table=None) -> DataFrame:
-    """(sig, s) for each signature of (s, sigs); with a table those that it has."""
+    Other signatures of a bucket that agree in 32 bits count as the same.
+    """
+    total = (signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // 6
+    cut = postings(signed, min(1 << 16, max(BUCKETS, total >> TABLE_BITS)))
+
+    def shared(parts):
+        sig, s = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((s, sig))
+        sig, s = sig[order], s[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (s[1:] != s[:-1])
+        sig, s = sig[new], s[new]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        sizes = np.diff(starts, append=len(sig))
+        held = s[np.repeat(sizes > 1, sizes)]
+        ends = np.cumsum(sizes[sizes > 1])
+        return pa.RecordBatch.from_pydict({"members": packed(held.view(np.uint8), 8 * (ends - sizes[sizes > 1]))})
 
     def rows(batches):
-        known = table.value if table is not None else None
+        parts, now = [], None
         for batch in batches:
-            for a, b in chunks(batch.column(1), 8 * CHUNK):
-                raw, at = bytes_of(batch.column(1).slice(a, b - a))
-                sig = np.ascontiguousarray(raw).view(np.uint64)
-                s = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(at) // 8)
-                if known is not None:
-                    kept = is_set(known, (sig >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
-                    sig, s = sig[kept], s[kept]
-                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig.view(np.int64)), "s": pa.array(s, pa.int64())})
+            starts, sizes = runs_of(bucket := batch.column(0).to_numpy()) if len(batch) else ((), ())
+            for a, k in zip(starts, sizes):
+                if parts and bucket[a] != now:
+                    yield shared(parts)
+                    parts = []
+                now = bucket[a]
+                sig, s = (np.frombuffer(bytes_of(batch.column(c).slice(a, k))[0].tobytes(), kind) for c, kind in ((1, np.uint32), (2, np.int64)))
+                parts.append((sig, s))
+        if parts:
+            yield shared(parts)
 
-    return signed.select("s", "sigs").mapInArrow(tidy(rows), "sig long, s long")
+    return saved(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(rows), "members binary").distinct())
 
 
-def shared_table(shared: DataFrame) -> np.ndarray:
-    """Bits set at signatures: at most 2^TABLE_BITS of them reach the driver, 64 in a row."""
-    bucket = F.shiftrightunsigned("sig", 64 - TABLE_BITS)
-    slots = shared.select(F.shiftright(bucket, 6).alias("slot"), F.expr("shiftleft(1L, cast(shiftrightunsigned(sig, %d) & 63 as int))" % (64 - TABLE_BITS)).alias("bits"))
-    found = slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
+def tiles(met: DataFrame, limit: int, long: bool) -> DataFrame:
+    """(key, side, s): the members of lists (members) where they meet, across two sides or all on side 0.
 
+    Members of lists up to the limit all meet; with long those of longer ones as runs, each with the list's first members.
+    """
 
-def groups(signed: DataFrame) -> DataFrame:
-    """(sig, s) of the signatures that several sets of (s, sigs) may share, saved.
+    def batch_of(key, side, s):
+        return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "side": pa.array(side, pa.int8()), "s": pa.array(s, pa.int64())})
 
-    Signatures that occur once are left out where the table knows that; where it is
-    full, all rows are shuffled.
+    def rows(batches):
+        for batch in batches:
+            for a, b in chunks(batch.column(1), CHUNK):
+                gid = np.ascontiguousarray(batch.column(0).slice(a, b - a).to_numpy()).view(np.uint64)
+                raw, at = bytes_of(batch.column(1).slice(a, b - a))
+                s, at = np.frombuffer(raw.tobytes(), np.int64), at // 8
+                sizes = np.diff(at)
+                short = sizes <= min(TILE, limit)
+                some = s[np.repeat(short, sizes)]
+                yield batch_of(np.repeat(gid[short], sizes[short]), np.zeros(len(some), np.int8), some)
+                for k in np.flatnonzero(~short).tolist():
+                    own = s[at[k] : at[k + 1]]
+                    runs = [own[x : x + TILE] for x in range(0, len(own), TILE)]
+                    if len(own) <= limit:
+                        pairs = [(x, y) for x in range(len(runs)) for y in range(x, len(runs))]
+                    elif long:
+                        pairs = [(x, x) for x in range(len(runs))]
+                    else:
+                        continue
+                    for x, y in pairs:
+                        first = own[:PIVOTS] if x == y and x and len(own) > limit else own[:0]
+                        meet = np.concatenate([runs[x], *([runs[y]] if x < y else []), first])
+                        side = np.zeros(len(meet), np.int8)
+                        side[len(runs[x]) :] = x < y
+                        yield batch_of(np.repeat(mixed([gid[k : k + 1], *(np.array([z + 1], np.uint64) for z in (x, y))]), len(meet)), side, meet)
+
+    return met.select(F.xxhash64("members"), "members").mapInArrow(tidy(rows), "key long, side byte, s long")
+
+
+def meetings(met: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int, every: bool) -> DataFrame:
+    """(u, v, nu, nv): pairs of the rows (key, side, s) of a key that may link, of different clusters; saved.
+
+    Each row's pair with the first such row of its key, or with every one.  (u, null) tells
+    a key u that has further ones.  Sets: (s, n, low, cells).
     """
-    often = each_signature(signed).select("sig").groupBy("sig").count().filter("count > 1")
-    table = signed.sparkSession.sparkContext.broadcast(shared_table(often))
-    return saved(each_signature(signed, table).groupBy("sig", "s").count().select("sig", "s"))
+    held = met.join(sets.select("s", "n", "cells"), "s")
+    if roots is None:
+        held = held.withColumn("root", F.col("s"))
+    else:
+        held = held.join(roots, held.s == roots.node, "left").withColumn("root", F.coalesce("root", "s"))
+    held = held.select("key", "side", "s", "root", "n", "cells").repartition("key").sortWithinPartitions("key", "s")
+
+    def pairs_of(starts, sizes, side):
+        i, j, size = [], [], 0
+        for m in np.unique(sizes[sizes > 1]).tolist():
+            a, b = np.triu_indices(m, 1)
+            for k in np.array_split(starts[sizes == m], -(-len(a) * int((sizes == m).sum()) // PAIRS)):
+                one, two = (k[:, None] + a).ravel(), (k[:, None] + b).ravel()
+                crossing = (side[one] != side[two]) | (side[one] == 2)
+                i.append(one[crossing])
+                j.append(two[crossing])
+                size += len(one)
+                if size >= PAIRS:
+                    yield np.concatenate(i), np.concatenate(j)
+                    i, j, size = [], [], 0
+        if size:
+            yield np.concatenate(i), np.concatenate(j)
+
+    def work(keyed):
+        key, side, s, root, n = (keyed.column(k).to_numpy() for k in range(5))
+        raw, at = bytes_of(keyed.column(5))
+        raw, at = np.frombuffer(raw.tobytes(), np.uint64), at // 8
+        starts, sizes = runs_of(key)
+        tile = np.repeat(np.arange(len(starts)), sizes)
+        whole = np.add.reduceat(side.astype(np.int64), starts) == 0
+        side = np.where(whole[tile], 2, side)
+        for i, j in pairs_of(starts, sizes, side):
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            ok = may_link(raw, at, n, i, j, percent)
+            i, j = i[ok], j[ok]
+            if not every:
+                order = np.lexsort((i, j))
+                i, j = i[order], j[order]
+                first = np.append(True, j[1:] != j[:-1])[: len(j)]
+                more = np.unique(key[i[~first]])
+                i, j = i[first], j[first]
+                yield pa.RecordBatch.from_pydict({"u": pa.array(more), "v": pa.nulls(len(more), pa.int64()), "nu": pa.nulls(len(more), pa.int64()), "nv": pa.nulls(len(more), pa.int64())})
+            swap = s[i] < s[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(s[i]), "v": pa.array(s[j]), "nu": pa.array(n[i]), "nv": pa.array(n[j])})
+
+    def rows(batches):
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            key = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield from work(batch.slice(0, cut))
+            rest = batch.slice(cut)
+        if rest is not None:
+            yield from work(rest)
+
+    return saved(held.mapInArrow(tidy(rows), "u long, v long, nu long, nv long").distinct())
 
 
 def able(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, nu, nv): the distinct pairs that may link by their sizes and histograms; sets: (s, n, low, cells)."""
+    """(u, v, nu, nv): the distinct pairs that may link by their sizes and sketches; sets: (s, n, low, cells)."""
     side = lambda key: sets.select(F.col("s").alias(key), F.col("n").alias(f"n{key}"), F.col("cells").alias(f"c{key}"))
     both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
     both = both.filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
@@ -247,10 +422,9 @@ def able(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(both.mapInArrow(tidy(rows), "u long, v long, nu long, nv long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of sets that link; sets: (s, n, low, cells)."""
+def verified(some: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of sets that link, of (u, v, nu, nv); sets: (s, n, low, cells)."""
     first = len(MADE)
-    some = able(pairs, sets, percent)
     wanted = sets.join(some.select(F.col("u").alias("s")).union(some.select("v")).distinct(), "s").select("s", "low")
     elements = elements_of(docs, saved(wanted))
     both = some.join(elements.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(elements.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
@@ -263,64 +437,95 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(s, x) of the sets (s, low) that are wanted, from the text of document low."""
 
+    def sets_of(texts):
+        sets = shingle_sets(texts)
+        return pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "x": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+
+    found = of_texts(docs, wanted, sets_of, "s long, x array<long>")
+    return saved(found.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+
+
+def wanted_table(wanted: DataFrame) -> np.ndarray:
+    """Bits set at the documents of (s, low): at most 2^WANTED_BITS of them reach the driver, 64 in a row."""
+    bucket = F.shiftrightunsigned(F.xxhash64("low"), 64 - WANTED_BITS)
+    slots = wanted.select(F.shiftright(bucket, 6).alias("slot"), F.expr("shiftleft(1L, cast(%s & 63 as int))" % f"shiftrightunsigned(xxhash64(low), {64 - WANTED_BITS})").alias("bits"))
+    found = slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (WANTED_BITS - 6), np.uint64)
+    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def of_texts(docs: DataFrame, wanted: DataFrame, made, schema: str) -> DataFrame:
+    """What made gives for arrays of the texts of the documents that stand for the wanted sets (s, low), and for a few others.
+
+    The table of wanted documents goes to the tasks, so texts are not shuffled.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(wanted_table(wanted))
+
     def rows(batches):
         for batch in batches:
-            for a, b in chunks(batch.column(0), CHUNK):
-                sets = shingle_sets(batch.column(0).slice(a, b - a))
-                yield pa.RecordBatch.from_pydict({"s": pa.array([identity(x)[0] for x in sets], pa.int64()), "x": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+            bucket = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint64) >> np.uint64(64 - WANTED_BITS)
+            texts = batch.column(1).filter(pa.array(is_set(table.value, bucket.astype(np.int64))))
+            for a, b in chunks(texts, CHUNK):
+                yield made(texts.slice(a, b - a))
 
-    found = texts_of(docs, wanted).mapInArrow(tidy(rows), "s long, x array<long>")
-    return saved(found.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long")), whole_text().alias("text")).mapInArrow(tidy(rows), schema)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the documents that stand for the wanted sets (s, low)."""
-    low = wanted.select("low").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.join(low, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+def members_of(met: DataFrame) -> DataFrame:
+    """(sig, s) of the members of lists."""
 
+    def rows(batches):
+        for batch in batches:
+            for a, b in chunks(batch.column(1), CHUNK):
+                raw, at = bytes_of(batch.column(1).slice(a, b - a))
+                sig = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(at) // 8)
+                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig), "s": pa.array(np.frombuffer(raw.tobytes(), np.int64))})
 
-def clustered(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    return met.select(F.xxhash64("members"), "members").mapInArrow(tidy(rows), "sig long, s long")
+
+
+def clustered(met: DataFrame, roots: DataFrame) -> DataFrame:
     """(sig, s, root): the members of groups with their clusters, of the groups that hold several."""
-    if roots is None:
-        placed = met.withColumn("root", F.col("s"))
-    else:
-        placed = met.join(roots, met.s == roots.node, "left").select("sig", "s", F.coalesce("root", "s").alias("root"))
+    placed = met.join(roots, met.s == roots.node, "left").select("sig", "s", F.coalesce("root", "s").alias("root"))
     several = placed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig")
     return saved(placed.join(several, "sig"))
 
 
 def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(links between sets that make all components, the root of each linked set); signed: (s, sigs), sets: (s, n, low, cells)."""
-    found, roots = [], None
+    found, roots, limit = [], None, DIRECT * crowd
+    long = F.octet_length("members") > 8 * limit
     for scheme in range(len(SCHEMES)):
-        met = groups(signed)
-        read = last_made()  # the table that met reads
-        for k in range(ROUNDS):
-            held = clustered(met, roots)
-            drop(docs.sparkSession, read)
-            read = last_made()
-            turn = F.xxhash64("s", F.lit(k))
-            named = held.groupBy("sig").agg(F.min_by("s", turn).alias("low"), F.min_by("root", turn).alias("low_root"))
-            stars = held.join(named, "sig").filter("root <> low_root").groupBy("s").agg(F.min("low").alias("v"))
-            found.append(verified(stars.select(F.col("s").alias("u"), "v"), docs, sets, percent))
-            roots = components(reduce(DataFrame.union, found))
-            met = held.select("sig", "s")
-        held = clustered(met, roots)
-        drop(docs.sparkSession, read)
+        met = lists(signed)
+        tried, again, some = [], None, tiles(met, limit, True)
+        for k in range(ROUNDS + 1):
+            if k == ROUNDS:
+                some = tiles(met, limit, False).join(again, "key", "left_semi")
+            pairs = meetings(some, sets, roots, percent, k == ROUNDS)
+            again = pairs.filter("v is null").select(F.col("u").alias("key"))
+            pairs = pairs.filter("v is not null")
+            for before in tried:
+                pairs = pairs.join(before.select("u", "v"), ["u", "v"], "left_anti")
+            tried.append(pairs)
+            found.append(verified(pairs, docs, sets, percent))
+            roots = components(found[-1] if roots is None else found[-1].union(roots))
+        if not met.filter(long).limit(1).count():
+            break
+        held = clustered(members_of(met.filter(long)), roots)
         clusters = held.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
         held = saved(held.join(clusters.select("sig", ((F.col("n") * F.col("n") - F.col("q")) > 2 * crowd * F.col("n")).alias("crowded")), "sig"))
         last = scheme == len(SCHEMES) - 1
         fit = held if last else held.filter("not crowded")
         one, two = fit.select("sig", F.col("s").alias("u"), F.col("root").alias("ru")), fit.select("sig", F.col("s").alias("v"), F.col("root").alias("rv"))
-        found.append(verified(one.join(two, "sig").filter("u > v and ru <> rv").select("u", "v"), docs, sets, percent))
-        roots = components(reduce(DataFrame.union, found))
+        found.append(verified(able(one.join(two, "sig").filter("u > v and ru <> rv").select("u", "v"), sets, percent), docs, sets, percent))
+        roots = components(found[-1].union(roots))
         if last:
             break
         crowded = saved(held.filter("crowded").select("s").distinct().join(sets, "s").select("s", "low"))
         if not crowded.limit(1).count():
             break
-        signed = saved(signed_texts(texts_of(docs, crowded), scheme + 1, percent).join(crowded.select("s"), "s", "left_semi"))
+        signed = saved(signed_texts(docs, crowded, scheme + 1, percent))
     return reduce(DataFrame.union, found), roots
 
 

@@ -262,6 +262,27 @@ def test_histograms_never_exceed_the_difference():
         assert found <= len(np.setxor1d(a, b)) and found == jaccard.cells_apart(jaccard.histogram(b), jaccard.histogram(a))
 
 
+def test_sketches_rule_out_sets_that_share_two_thirds():
+    r = np.random.default_rng(6)
+    for n in (100, 147, 400, 629, 2000):
+        for _ in range(20):
+            x = np.unique(r.integers(0, 1 << 63, n + n // 5).astype(np.uint64) * np.uint64(2))
+            a, b = x[:n], x[len(x) - n :]
+            assert 0.6 < len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.7
+            assert 185 * jaccard.cells_apart(jaccard.histogram(a), jaccard.histogram(b)) > 15 * 2 * n
+
+
+def test_lists_in_tiles_and_runs(spark, monkeypatch):
+    texts = similar_texts(random.Random(22), 6)
+    copies = [" ".join(f"w{x}" for x in range(120) if x != 7 * k) for k in range(1, 15)]
+    rows = [(k, t, "en") for k, t in enumerate(texts + copies)]
+    for name, value in (("TILE", 3), ("PIVOTS", 2), ("DIRECT", 1), ("PAIRS", 8), ("BLOCK", 100), ("BUCKETS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard.links, "__defaults__", (jaccard.PERCENT, 8))
+    found = jaccard.similar_documents(table(spark, rows))
+    assert sorted(map(tuple, found.collect()), key=str) == joined(rows)
+
+
 def test_shingle_sets():
     texts = ["A b  c d\te", "a B c d e", "a b c", "a b c a b c a b c", "", " \n", "a b c d a b c d a b c d"]
     sets = jaccard.shingle_sets(pa.array(texts))
