@@ -18,8 +18,8 @@ would bring together sets that have nothing in common.
    link to, such pairs are compared element by element, and those that link are one
    cluster, of which no pair is looked at any more.
 2. Lists in which more members may link than have been named are looked at once more for
-   pairs across clusters.  Lists of more than DIRECT * CROWD members are only cut into runs
-   in the rounds.  Then they emit pairs across clusters, if these are at most CROWD for each
+   pairs across clusters, and so are those of more than TILE members, which the rounds only
+   cut into runs.  Lists of more than DIRECT * CROWD members emit pairs across clusters, if these are at most CROWD for each
    member; the sets of others are signed anew by the next scheme, whose signatures cover
    more elements and which finds all links by itself.  The last scheme's lists emit all
    pairs across clusters.
@@ -53,7 +53,7 @@ SMALL_K = 8
 CROWD = 16
 #: Lists of up to DIRECT * CROWD members meet in tasks, TILE by TILE members at a time.
 DIRECT, TILE = 256, 256
-#: Members of a longer list that each of its runs meets.
+#: Members of a list of more than TILE that each of its runs meets.
 PIVOTS = 16
 #: Rounds in which sets name one other each, before pairs across clusters are compared.
 ROUNDS = 1
@@ -154,8 +154,8 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
 
 
 def histogram(elements: np.ndarray) -> bytes:
-    """A bit for each cell of the domain: whether the elements there are odd in number.  At least 64 cells, n / 2 to n for larger sets."""
-    bits = max(6, (len(elements) - 1).bit_length() - 1)
+    """A bit for each cell of the domain: whether the elements there are odd in number.  At least 64 cells, 2 to 4 for each element of larger sets."""
+    bits = max(6, (len(elements) - 1).bit_length() + 1)
     cells = (elements >> np.uint64(20)) & np.uint64((1 << bits) - 1)
     odd = np.bincount(cells.astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -297,10 +297,11 @@ def lists(signed: DataFrame) -> DataFrame:
     return saved(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(rows), "members binary").distinct())
 
 
-def tiles(met: DataFrame, limit: int, long: bool) -> DataFrame:
+def tiles(met: DataFrame, limit: int, runs: bool) -> DataFrame:
     """(key, side, s): the members of lists (members) where they meet, across two sides or all on side 0.
 
-    Members of lists up to the limit all meet; with long those of longer ones as runs, each with the list's first members.
+    Members of lists of up to TILE all meet.  Longer ones are cut: with runs into runs, each with the
+    list's first members, else, up to the limit, so that all meet.
     """
 
     def batch_of(key, side, s):
@@ -318,18 +319,17 @@ def tiles(met: DataFrame, limit: int, long: bool) -> DataFrame:
                 yield batch_of(np.repeat(gid[short], sizes[short]), np.zeros(len(some), np.int8), some)
                 for k in np.flatnonzero(~short).tolist():
                     own = s[at[k] : at[k + 1]]
-                    runs = [own[x : x + TILE] for x in range(0, len(own), TILE)]
-                    if len(own) <= limit:
-                        pairs = [(x, y) for x in range(len(runs)) for y in range(x, len(runs))]
-                    elif long:
-                        pairs = [(x, x) for x in range(len(runs))]
+                    cut = [own[x : x + TILE] for x in range(0, len(own), TILE)]
+                    if runs:
+                        pairs = [(x, x) for x in range(len(cut))]
+                    elif len(own) <= limit:
+                        pairs = [(x, y) for x in range(len(cut)) for y in range(x, len(cut))]
                     else:
                         continue
                     for x, y in pairs:
-                        first = own[:PIVOTS] if x == y and x and len(own) > limit else own[:0]
-                        meet = np.concatenate([runs[x], *([runs[y]] if x < y else []), first])
+                        meet = np.concatenate([cut[x], cut[y] if x < y else own[: PIVOTS if runs and x else 0]])
                         side = np.zeros(len(meet), np.int8)
-                        side[len(runs[x]) :] = x < y
+                        side[len(cut[x]) :] = x < y
                         yield batch_of(np.repeat(mixed([gid[k : k + 1], *(np.array([z + 1], np.uint64) for z in (x, y))]), len(meet)), side, meet)
 
     return met.select(F.xxhash64("members"), "members").mapInArrow(tidy(rows), "key long, side byte, s long")
@@ -388,7 +388,7 @@ def meetings(met: DataFrame, sets: DataFrame, roots: DataFrame | None, percent:
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             yield pa.RecordBatch.from_pydict({"u": pa.array(s[i]), "v": pa.array(s[j]), "nu": pa.array(n[i]), "nv": pa.array(n[j])})
 
-    def rows(batches):
+    def found(batches):
         rest = None
         for batch in batches:
             if not len(batch):
@@ -403,6 +403,21 @@ def meetings(met: DataFrame, sets: DataFrame, roots: DataFrame | None, percent:
         if rest is not None:
             yield from work(rest)
 
+    def rows(batches):
+        made, size = [], 0
+        for batch in found(batches):
+            made.append(batch)
+            size += len(batch)
+            if size >= PAIRS:  # pairs that lists of a task have in common are one
+                made = once(made)
+                if (size := sum(map(len, made))) >= PAIRS // 2:
+                    yield from made
+                    made, size = [], 0
+        yield from once(made)
+
+    def once(made):
+        return pa.Table.from_batches(made).group_by(["u", "v", "nu", "nv"]).aggregate([]).to_batches() if made else []
+
     return saved(held.mapInArrow(tidy(rows), "u long, v long, nu long, nv long").distinct())
 
 
@@ -495,13 +510,13 @@ def clustered(met: DataFrame, roots: DataFrame) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(links between sets that make all components, the root of each linked set); signed: (s, sigs), sets: (s, n, low, cells)."""
     found, roots, limit = [], None, DIRECT * crowd
-    long = F.octet_length("members") > 8 * limit
+    size = F.octet_length("members") / 8
     for scheme in range(len(SCHEMES)):
         met = lists(signed)
         tried, again, some = [], None, tiles(met, limit, True)
         for k in range(ROUNDS + 1):
             if k == ROUNDS:
-                some = tiles(met, limit, False).join(again, "key", "left_semi")
+                some = tiles(met.filter(size <= TILE), limit, False).join(again, "key", "left_semi").union(tiles(met.filter(size > TILE), limit, False))
             pairs = meetings(some, sets, roots, percent, k == ROUNDS)
             again = pairs.filter("v is null").select(F.col("u").alias("key"))
             pairs = pairs.filter("v is not null")
@@ -510,9 +525,9 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PE
             tried.append(pairs)
             found.append(verified(pairs, docs, sets, percent))
             roots = components(found[-1] if roots is None else found[-1].union(roots))
-        if not met.filter(long).limit(1).count():
+        if not met.filter(size > limit).limit(1).count():
             break
-        held = clustered(members_of(met.filter(long)), roots)
+        held = clustered(members_of(met.filter(size > limit)), roots)
         clusters = held.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
         held = saved(held.join(clusters.select("sig", ((F.col("n") * F.col("n") - F.col("q")) > 2 * crowd * F.col("n")).alias("crowded")), "sig"))
         last = scheme == len(SCHEMES) - 1
