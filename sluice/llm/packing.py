@@ -29,6 +29,8 @@ TIERS = (512, 1024, 2048, 4096)
 BLOCK_IDS = 3_000_000
 #: Ids of a step group, as near as whole windows allow.
 STEP_IDS = 64 * 4096
+#: Encoded pieces that a worker keeps where memory allows: some 100 bytes each.
+MANY_PIECES = 600_000
 
 
 def pack(lengths: list[int], pool: list[tuple[int, int, int]], last: bool, tiers: tuple[int, ...] = TIERS):
@@ -99,16 +101,17 @@ def step_groups(sizes: list[int], step: int = STEP_IDS) -> list[int]:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int64()), ("step_group", pa.int64()), ("ids", pa.binary())])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, tiers: tuple[int, ...] = TIERS, block_ids: int = BLOCK_IDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, tiers: tuple[int, ...] = TIERS, block_ids: int = BLOCK_IDS, limit: int | None = None) -> DataFrame:
     """Pieces of all (doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset, window, step_group, ids.
 
     ids are little-endian unsigned 32-bit.  A null text is an empty one: its one
     id is end_id.  Repeated rows are documents of their own; an empty table gives
     no piece.  Numbers of sequences and groups have the task in the upper bits.
+    limit: encoded pieces of text that a worker keeps.
     """
 
     def packed(batches):
-        width = encoder(tokenizer, pieces).dtype
+        width = encoder(tokenizer, pieces, limit=limit).dtype
         task = TaskContext.get().partitionId() << 36
         counts = {"window": 0, "group": 0}
         held: list[tuple[int | None, bytes]] = []
@@ -141,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, ti
             fresh = size = 0
             return pa.RecordBatch.from_pydict(columns, SCHEMA)
 
-        for key, ids in encoded(batches, tokenizer, pieces, end_id, chars=3_000_000):
+        for key, ids in encoded(batches, tokenizer, pieces, end_id, chars=3_000_000, limit=limit):
             held.append((key, ids))
             fresh += 1
             size += len(ids) // width.itemsize

@@ -134,17 +134,17 @@ def release() -> None:
         del state[key]
 
 
-def encoder(path: str, pieces: str, plain: bool = False) -> PieceEncoder:
-    """The worker's encoder of this file."""
-    state, key = worker_state(), ("encoder", path, plain)
+def encoder(path: str, pieces: str, plain: bool = False, limit: int | None = None) -> PieceEncoder:
+    """The worker's encoder of this file; limit: pieces that it keeps."""
+    state, key = worker_state(), ("encoder", path, plain, limit)
     if key not in state:
-        state[key] = PieceEncoder(path, pieces, plain=plain)
+        state[key] = PieceEncoder(path, pieces, plain=plain, limit=limit)
     return state[key]
 
 
-def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 5_000_000):
+def encoded(batches, path: str, pieces: str, end_id: int, plain: bool = False, chars: int = 5_000_000, limit: int | None = None):
     """(doc_id, ids with the end id) of each row (doc_id, text) of Arrow batches, in order."""
-    enc = encoder(path, pieces, plain)
+    enc = encoder(path, pieces, plain, limit)
     end = np.array([end_id], enc.dtype).tobytes()
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -20,6 +20,7 @@ P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from sluice.llm import decontaminate, gru, html_text, line_dedup, lm_score, mph, packing, quality, secret_scan, simhash, token_counts, token_files, tokens  # noqa: E402
+from sluice.llm import queries as llm_queries  # noqa: E402
 from sluice.llm.common import shared_dir  # noqa: E402
 
 #: Columns whose names operators use inside.
@@ -211,6 +212,18 @@ def test_op3_pieces(docs, empty):
     assert packing.pack_documents(empty, P.path("word_bpe_49k.json"), "word", 2).count() == 0
 
 
+def test_op3_keeps_as_many_pieces_as_asked(docs, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    assert tokens.encoder(path, "word", limit=50).limit == 50 and tokens.encoder(path, "word").limit == 200_000
+    rows = lambda **more: sorted((r["doc_id"] or 0, r["doc_tokens"], r["start"], bytes(r["ids"])) for r in packing.pack_documents(docs.coalesce(1), path, "word", 2, **more).collect())
+    assert rows(limit=50) == rows()
+    asked = []
+    monkeypatch.setattr(llm_queries, "table", lambda *_: docs)
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **more: asked.append(more) or docs.selectExpr("doc_id", *(f"0L as {c}" for c in ("start", "length", "doc_tokens", "sequence_id", "offset", "window", "step_group")), "binary(text) as ids"))
+    llm_queries.op3_packing(None, "")
+    assert asked[0]["limit"] >= 500_000
+
+
 def test_step_groups_are_even():
     sizes = [4096] * 100 + [512] * 300 + [1024] * 77
     groups = packing.step_groups(sizes)
