@@ -14,13 +14,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import saved, tidy, whole_text
-from .words import chunks, distinct, split_words
+from .words import chunks, split_words
 
 FOLDS, HELD = 5, 1
 #: Words that are units of their own; words whose counts executors hold; training rounds and folds of each.
@@ -190,19 +191,20 @@ def encode(v: dict, keys: pa.Array, texts: pa.Array, first_row: int) -> pa.Recor
     the score besides the model's part; rare are the words that aren't known.
     """
     words, counts = split_words(texts)
-    codes, values = distinct(words)
-    values.append(b"")
-    place = np.fromiter((v["words"].get(w, -1) for w in values), np.int64, len(values))
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    values = pa.concat_arrays([coded.dictionary, pa.array([b""], pa.binary())])
+    place = pc.index_in(values, value_set=pa.array(v["words"], pa.binary())).fill_null(-1).to_numpy().astype(np.int64)
     strange = np.flatnonzero(place < 0)
     units = v["units"][place]
-    units[strange] = v["rare"] + rare_units([values[k] for k in strange.tolist()])
+    units[strange] = v["rare"] + rare_units(values.take(pa.array(strange)).to_pylist())
     log_n = np.log10(v["n"] + 0.5)[place]
     log_n[strange] = 0
     inside = np.where((place >= 0) & (place < v["own"]), 0, log_n - np.log10(v["mass"][units]))
     # one end, the last of the distinct words, behind each text
     docs = np.repeat(np.arange(len(counts)), counts)
     sizes = counts + 1
-    every = np.full(int(sizes.sum()), len(values) - 1)
+    every = np.full(int(sizes.sum()), len(values) - 1, np.int64)
     every[np.arange(len(codes)) + docs] = codes
     docs = np.repeat(np.arange(len(counts)), sizes)
     sums = lambda x: np.bincount(docs, x[every], len(counts))
@@ -299,20 +301,23 @@ def train(rows: DataFrame, v: dict) -> dict[str, np.ndarray]:
 def model_scores(weights: dict[str, np.ndarray], documents: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's units, its state carried from its first to its last."""
     sums = np.zeros(len(documents))
-    h, held = None, []
+    h, held, room = None, [], gru.Room()
+    E, O = gru.behind_ones(weights["E"]), gru.with_one(weights["O"], weights["o"])
 
     def add():
-        states, units, own = (np.concatenate(x) for x in zip(*held))
+        states, units, own = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*held))
         held.clear()
-        return np.bincount(own, gru.log_probabilities(weights, states, units), len(sums))
+        return np.bincount(own, gru.log_probabilities(weights, states, units, room, O), len(sums))
 
     for inputs, fresh, units, mask, number, count in gru.lanes_of(documents, len(weights["E"]) - 1):
         h = np.zeros((count, gru.HIDDEN), np.float32) if h is None else h[:count]
-        states, _ = gru.run(weights, inputs, fresh, h)
-        h = states[-1]
+        states, _ = gru.forward(weights, E, inputs, fresh, h, room)
+        h = states[-1, 1:].T.copy()
         real = np.flatnonzero(mask.ravel())
-        held.append((states[1:].reshape(-1, gru.HIDDEN)[real], units.ravel()[real], number.ravel()[real]))
-        if sum(len(x[1]) for x in held) > 24_000:
+        rows = gru.by_step(states[1:], room).reshape(-1, 1 + gru.HIDDEN)
+        full = len(real) == len(rows) > 6_000
+        held.append((rows if full else rows.take(real, axis=0, mode="clip"), units.ravel()[real], number.ravel()[real]))
+        if full or sum(len(x[1]) for x in held) > 6_000:
             sums += add()
     if held:
         sums += add()

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -451,6 +452,44 @@ def test_gru_gradient():
         assert slope == pytest.approx(float((found[name] * direction).sum()), rel=0.05, abs=2e-3), name
 
 
+def test_gru_windows_of_many_lanes():
+    """A wide window's gradients are those of its lanes apart, and its arrays are used again."""
+    r = np.random.default_rng(1)
+    p = {k: (v + r.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in uniform_weights(5, 300).items()}
+    steps, lanes = gru.WINDOW, gru.LANES
+    inputs, units = r.integers(0, 300, (steps, lanes)), r.integers(0, 5 * gru.SIZE, (steps, lanes))
+    units[:, : lanes // 2] = 7  # one class has more rows than are worked on at once
+    fresh, mask = r.random((steps, lanes)) < 0.02, r.random((steps, lanes)) < 0.9
+    h = r.normal(0, 0.5, (lanes, gru.HIDDEN)).astype(np.float32)
+
+    class Plain(gru.Trainer):
+        def step(self, name, grad, at=None):
+            self.found.setdefault(name, np.zeros_like(self.p[name], np.float64))[slice(None) if at is None else at] += grad
+
+    def found(some):
+        trainer = Plain(p)
+        trainer.found = {}
+        last = trainer.window(inputs[:, some], fresh[:, some], units[:, some], mask[:, some], h[some])
+        return trainer.found, last
+
+    whole, last = found(slice(None))
+    apart = {k: np.zeros(v.shape) for k, v in p.items()}
+    for some in (slice(0, 1), slice(1, 8), slice(8, 100), slice(100, lanes)):
+        part, states = found(some)
+        np.testing.assert_allclose(last[some], states, atol=1e-5)
+        for k, g in part.items():
+            apart[k] += g * mask[:, some].sum() / mask.sum()
+    for k in p:
+        np.testing.assert_allclose(whole[k], apart[k], atol=1e-6 + 1e-4 * np.abs(apart[k]).max(), err_msg=k)
+    trainer = gru.Trainer(p)
+    trainer.window(inputs, fresh, units, mask, h)
+    tracemalloc.start()
+    trainer.window(inputs, fresh, units, mask, h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6_000_000, most
+
+
 def test_gru_scores_like_a_slow_one():
     r = np.random.default_rng(4)
     p = {k: (v + r.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in uniform_weights(3, 3 * gru.SIZE + 1).items()}
