@@ -237,29 +237,28 @@ class Trainer:
         U, W = np.concatenate([p["U"][:, 2 * n :], p["U"][:, : 2 * n]], axis=1), np.ascontiguousarray(p["W"].T)
         dU, dW, dE = np.zeros((3 * n, n), np.float32), np.zeros((3 * n, 1 + INPUT), np.float32), room("dE", steps * lanes, INPUT)
         together = max(1, min(steps, 128 // lanes))
-        d = np.empty((4 * n, together, lanes), np.float32)
-        rest, some, carry = np.empty((2 * n, lanes), np.float32), np.empty((n, lanes), np.float32), np.zeros((n, lanes), np.float32)
+        d, by = np.empty((4 * n, together, lanes), np.float32), np.empty((together, 4 * n, lanes), np.float32)
+        some, carry = np.empty((n, lanes), np.float32), np.zeros((n, lanes), np.float32)
         begins = fresh.any(axis=1).tolist()
         for last in range(steps, 0, -together):
             first = max(0, last - together)
+            # what the gradient of a state is multiplied by to be that of its share's, r's, z's and new part's sums
+            part, to = parts[first:last], by[: last - first]
+            new, to_new, rest = part[:, 3 * n :], to[:, 3 * n :], ONE - part[:, n : 3 * n]
+            np.multiply(part[:, n : 3 * n], rest, out=to[:, n : 3 * n])
+            np.multiply(new, new, out=to_new)
+            np.subtract(ONE, to_new, out=to_new)
+            to_new *= rest[:, n:]
+            np.multiply(to_new, part[:, n : 2 * n], out=to[:, :n])
+            to[:, n : 2 * n] *= to_new
+            to[:, n : 2 * n] *= part[:, :n]
+            to[:, 2 * n : 3 * n] *= (befores[first][None] if last - first == 1 else np.stack(befores[first:last])) - new
             for t in range(last - 1, first - 1, -1):
-                dh, part, now = every[t], parts[t], d[:, t - first]
-                r, z, new = part[n : 2 * n], part[2 * n : 3 * n], part[3 * n :]
-                to_share, to_r, to_z, to_new = now[:n], now[n : 2 * n], now[2 * n : 3 * n], now[3 * n :]
+                dh = every[t]
                 dh += carry
-                np.subtract(ONE, part[n : 3 * n], out=rest)
-                np.multiply(part[n : 3 * n], rest, out=now[n : 3 * n])
-                np.multiply(new, new, out=to_new)
-                np.subtract(ONE, to_new, out=to_new)
-                to_new *= dh
-                to_new *= rest[n:]
-                np.multiply(to_new, r, out=to_share)
-                to_r *= to_new
-                to_r *= part[:n]
-                to_z *= dh
-                to_z *= np.subtract(befores[t], new, out=some)
-                np.matmul(U, now[: 3 * n], out=carry)
-                carry += np.multiply(dh, z, out=some)
+                np.multiply(to[t - first].reshape(4, n, lanes), dh, out=d.reshape(4, n, together, lanes)[:, :, t - first])
+                np.matmul(U, d[: 3 * n, t - first], out=carry)
+                carry += np.multiply(dh, parts[t, 2 * n : 3 * n], out=some)
                 if begins[t]:
                     carry *= ~fresh[t]
             before = rows[first:last].reshape(-1, 1 + n)[:, 1:]
